@@ -34,25 +34,22 @@ def orphan_references(
     """
     names = list(child_key)
     set_ = lambda ks: [F.col(k).isNotNull() for k in ks]
-    all_of = lambda cs: [c for c in cs]
     kids = children.withColumns({f"_k_{n}": c for n, c in child_key.items()})
     keys = [f"_k_{n}" for n in names]
-    for c in all_of(set_(keys)):
+    for c in set_(keys):
         kids = kids.where(c)
     elders = parents.select(*[c.alias(f"_k_{n}") for n, c in parent_key.items()], F.col(parent_from).alias("_from"), F.col(parent_to).alias("_to"))
     for c in set_(keys):
         elders = elders.where(c)
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast("timestamp_ntz")
     tag = F.lit(parent_table).alias("parent_table")
-    time = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    time = lambda c: F.col(c).cast("timestamp_ntz")
+    ever = lambda text: F.lit(text).cast("timestamp_ntz")
     long = elders.select(
-        tag, *keys, F.lit(1).alias("_parent"), F.coalesce(time("_from"), F.lit(-(2**62))).alias("_from"),
-        F.coalesce(time("_to"), F.lit(2**62)).alias("_to"), F.lit(0).alias("_kids"), F.unix_micros(none).alias("_at"),
+        tag, *keys, F.lit(1).alias("_parent"), F.coalesce(time("_from"), ever("0001-01-01 00:00:00")).alias("_from"),
+        F.coalesce(time("_to"), ever("9999-12-31 23:59:59.999999")).alias("_to"), F.lit(0).alias("_kids"), none.alias("_at"),
     ).unionByName(
-        kids.select(
-            tag, *keys, F.lit(0).alias("_parent"), F.unix_micros(none).alias("_from"), F.unix_micros(none).alias("_to"),
-            F.lit(1).alias("_kids"), time(child_at).alias("_at"),
-        )
+        kids.select(tag, *keys, F.lit(0).alias("_parent"), none.alias("_from"), none.alias("_to"), F.lit(1).alias("_kids"), time(child_at).alias("_at"))
     )
     groups = long.groupBy("parent_table", *keys).agg(
         F.max("_parent").alias("_parent"), F.min("_from").alias("_first"), F.max("_to").alias("_last"),
