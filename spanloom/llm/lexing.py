@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 
 CODE = 0
-#: C: in a block comment; in a block comment that began in a directive line.
-C_BLOCK, C_BLOCK_DIRECTIVE = 1, 2
+#: C: in a block comment that began after code, in a directive line, or with nothing before it on its line.
+C_BLOCK, C_BLOCK_DIRECTIVE, C_BLOCK_FRESH = 1, 2, 3
 #: Python: in a triple-quoted string of either quote, plain or raw.
 PY_SINGLE, PY_DOUBLE = 1, 2
-STATES = {"c": 3, "py": 3, "json": 1}
+STATES = {"c": 4, "py": 3, "json": 1}
 
 
 def unify(text: str) -> str:
@@ -55,7 +55,7 @@ C_KEYWORDS = frozenset(
     " static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn"
     " _Static_assert _Thread_local __attribute__ __extension__ __inline __inline__ __restrict __const __volatile__ __asm__ asm typeof __typeof__".split()
 )
-C_SKIP = re.compile(r"""//[^\n]*|/\*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+C_SKIP = re.compile(r"""//[^\n]*|/\*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)+'""", re.S)
 
 
 def splice(text: str) -> str:
@@ -66,19 +66,27 @@ def splice(text: str) -> str:
 def c_end_state(chunk: str, state: int) -> int:
     """The state in which ``chunk`` ends."""
     text, at = splice(chunk), 0
+    before = {CODE: "", C_BLOCK: "x", C_BLOCK_DIRECTIVE: "#", C_BLOCK_FRESH: ""}[state]  # of the line, without comments
     if state:
         at = text.find("*/")
         if at < 0:
             return state
         at += 2
     while m := C_SKIP.search(text, at):
+        gap = text[at : m.start()]
+        nl = gap.rfind("\n")
+        before = gap[nl + 1 :] if nl >= 0 else before + gap
+        if len(before) > 99:
+            before = before.lstrip()[:1] or " "
         at = m.end()
         if m[0] == "/*":
-            begin = m.start()
             end = text.find("*/", at)
             if end < 0:
-                return C_BLOCK_DIRECTIVE if text[text.rfind("\n", 0, begin) + 1 : begin].lstrip().startswith("#") else C_BLOCK
+                head = before.lstrip()[:1]
+                return C_BLOCK_FRESH if not head else C_BLOCK_DIRECTIVE if head == "#" else C_BLOCK
             at = end + 2
+        elif m[0][:2] != "//":
+            before += "x"
     return CODE
 
 
@@ -171,19 +179,45 @@ def _directive(line: str) -> str | None:
     return {"else": "#l", "endif": "#x"}.get(word or "")
 
 
+def _directive_line(text: str, at: int) -> tuple[str, int, bool]:
+    """(the directive's text from ``at`` on without comments, where its line ends, whether a comment in it doesn't end).
+
+    A condition that follows such a comment in the next chunk is not seen; the directive then
+    counts as one on no symbol.
+    """
+    parts = []
+    while True:
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        b = C_SKIP.search(text, at, end)
+        while b and b[0] != "/*" and b[0][:2] != "//":
+            b = C_SKIP.search(text, b.end(), end)
+        if not b:
+            parts.append(text[at:end])
+            return "".join(parts), end, False
+        parts.append(text[at : b.start()])
+        if b[0] != "/*":
+            return "".join(parts), end, False
+        close = text.find("*/", b.end())
+        if close < 0:
+            return "".join(parts), len(text), True
+        parts.append(" ")
+        at = close + 2
+
+
 def c_tokens(chunk: str, state: int = CODE) -> tuple[list[str], int]:
     """(codes, end state). Codes: i identifier, n number, s string, c character, X no token, ``#...`` conditional directives, else the token itself."""
     text, at, out = splice(chunk), 0, []
-    fresh, n = True, len(text)
+    fresh, n = state in (CODE, C_BLOCK_FRESH), len(text)
     if state:
         at = text.find("*/")
         if at < 0:
             return out, state
         at += 2
-        fresh = state == C_BLOCK
-        if not fresh:
-            at = text.find("\n", at) + 1 or n
-            fresh = True
+        if state == C_BLOCK_DIRECTIVE:
+            _, at, open_ = _directive_line(text, at)
+            if open_:
+                return out, state
     match = C_TOKEN.match
     while at < n:
         m = match(text, at)
@@ -194,32 +228,15 @@ def c_tokens(chunk: str, state: int = CODE) -> tuple[list[str], int]:
             fresh = True
             continue
         if kind == "open":
-            return out, C_BLOCK
+            return out, C_BLOCK_FRESH if fresh else C_BLOCK
         if kind == "hash" and fresh:
-            parts = []
-            while True:
-                end = text.find("\n", at)
-                end = n if end < 0 else end
-                b = C_SKIP.search(text, at, end)
-                while b and b[0] != "/*" and b[0][:2] != "//":
-                    b = C_SKIP.search(text, b.end(), end)
-                if not b:
-                    parts.append(text[at:end])
-                    at = end
-                    break
-                parts.append(text[at : b.start()])
-                if b[0] != "/*":
-                    at = end
-                    break
-                close = text.find("*/", b.end())
-                if close < 0:
-                    return out, C_BLOCK_DIRECTIVE
-                parts.append(" ")
-                at = close + 2
+            line, at, open_ = _directive_line(text, at)
             if m[0] == "##":
                 out.append("X")
-            elif mark := _directive("".join(parts)):
+            elif mark := _directive(line):
                 out.append(mark)
+            if open_:
+                return out, C_BLOCK_DIRECTIVE
             continue
         fresh = False
         if kind == "id":
