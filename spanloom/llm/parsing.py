@@ -5,9 +5,9 @@ start in, and maps compose. With its start state known, each chunk turns into a
 Conditional directives then pick the stretches of tokens that stay, the stretches' bracket summaries
 are joined, and balanced streams are parsed statement by statement by the grammars.
 
-Files up to ``split_chars`` characters run through these steps where they lie, without a shuffle.
-Longer ones are spread: their chunks are mapped and tokenised by many tasks and only states and
-token codes meet again.
+Contents are read once. Files up to ``split_chars`` characters run through these steps where they
+lie, without a shuffle. Longer ones are spread: their chunks are mapped and tokenised by many tasks
+and only states and token codes meet again.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import grammars, lexing
+from spanloom.operators.skew import sized_broadcast
+from spanloom.session import Rounds
 
 LANGUAGES = {".c": "c", ".h": "c", ".py": "py", ".json": "json"}
 CHUNK_CHARS = 32_768
@@ -133,10 +135,20 @@ def text_valid(lang: str, text: str, defines=frozenset(), undefines=frozenset(),
     return tokens is not None and c_tokens_valid(tokens, frozenset(defines), frozenset(undefines), frozenset(fallback))
 
 
-def _judge_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ok = [text_valid(*row) for row in zip(b["lang"], b["content"], b["defines"], b["undefines"], b["fallback"])]
-        yield pd.DataFrame({"key": b["key"], "valid": ok})
+def _judge(split_chars: int):
+    """One pass over the files: a verdict for each, or the chunks of a C text beyond ``split_chars``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, lang, text, *flags in zip(b["key"], b["lang"], b["content"], b["defines"], b["undefines"], b["fallback"]):
+                if lang == "c" and len(text) > split_chars:
+                    rows += [(key, None, no, piece) for no, piece in enumerate(lexing.chunks(lexing.unify(text), CHUNK_CHARS))]
+                else:
+                    rows.append((key, text_valid(lang, text, *flags), None, None))
+            yield pd.DataFrame(rows, columns=["key", "valid", "no", "chunk"]).astype({"valid": "boolean", "no": "Int32"})
+
+    return run
 
 
 def _map_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,13 +157,6 @@ def _map_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": b["key"], "no": b["no"], "map": maps})
 
 
-def _cut_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for key, text in zip(b["key"], b["content"]):
-            pieces = lexing.chunks(lexing.unify(text), CHUNK_CHARS)
-            yield pd.DataFrame({"key": key, "no": range(len(pieces)), "chunk": pieces})
-
-
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         done = [lexing.c_tokens(t, s) for t, s in zip(b["chunk"], b["state"])]
@@ -172,34 +177,35 @@ def _judge_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def judged_files(files: DataFrame, configs: DataFrame, split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """``files`` (file_id, repository, process_name, path, content) with ``lang`` and ``valid``.
+    """``key`` (the file_id) and ``valid`` of each of ``files`` (file_id, process_name, path, content).
 
-    ``valid`` is null for a null content or another extension. Empty or comment-only C and Python is
+    Null contents and other extensions have no row. Empty or comment-only C and Python is
     valid, an empty JSON text is not. A process without a row in ``configs`` (several rows: their
-    flags together) has no symbols. Repeated rows are judged alike and stay; other columns stay.
+    flags together) has no symbols. Repeated rows are judged alike.
     """
     flags = configs.groupBy("process_name").agg(
         *[F.array_distinct(F.flatten(F.collect_list(flag_names(F.col(c))))).alias(n) for c, n in (("defines", "_on"), ("undefines", "_off"), ("fallback_undefines", "_fb"))]
     )
     none = F.array().cast("array<string>")
-    keyed = files.withColumn("lang", language_of(F.col("path"))).join(flags, "process_name", "left")
+    keyed = files.withColumn("lang", language_of(F.col("path"))).join(sized_broadcast(flags, configs.count()), "process_name", "left")
     args = [
         "lang", "content", F.coalesce("_on", none).alias("defines"), F.coalesce("_off", none).alias("undefines"), F.coalesce("_fb", none).alias("fallback"),
     ]
-    usable = keyed.where("content is not null and lang is not null")
-    size = F.length("content")
-    spread = (size > split_chars) & (F.col("lang") == "c")
-    short = usable.where(~spread).select(F.col("file_id").alias("key"), *args)
-    verdicts = short.mapInPandas(_judge_short, "key bigint, valid boolean")
-    long = usable.where(spread).select(F.col("file_id").alias("key"), *args)
-    pieces = long.select("key", "content").dropDuplicates(["key"]).mapInPandas(_cut_chunks, "key bigint, no int, chunk string").repartition("key", "no")
+    rows = keyed.where("content is not null and lang is not null").select(F.col("file_id").alias("key"), *args)
+    judged = Rounds(files.sparkSession).cut(rows.mapInPandas(_judge(split_chars), "key bigint, valid boolean, no int, chunk string"))
+    verdicts = judged.where("chunk is null").select("key", "valid")
+    long = judged.where("chunk is not null").select("key", "no", "chunk")
+    if not long.limit(1).count():
+        return verdicts
+    pieces = long.dropDuplicates(["key", "no"]).repartition("key", "no")
     maps = pieces.mapInPandas(_map_chunks, "key bigint, no int, map string")
     starts = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("m")).select(
         "key", F.posexplode(F.pandas_udf(_start_states, "array<int>")(F.col("m.map"))).alias("no", "state")
     )
     coded = pieces.join(starts, ["key", "no"]).mapInPandas(_tokenise, "key bigint, no int, codes string, ends int")
     whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "codes"))).alias("c"), F.max_by("ends", "no").alias("ends"))
-    ready = whole.join(long.drop("lang", "content").dropDuplicates(["key"]), "key").select("key", F.col("c.codes").alias("runs"), "ends", "defines", "undefines", "fallback")
+    about = keyed.select(F.col("file_id").alias("key"), *args[2:]).dropDuplicates(["key"])
+    ready = whole.join(about, "key").select("key", F.col("c.codes").alias("runs"), "ends", "defines", "undefines", "fallback")
     return verdicts.unionByName(ready.mapInPandas(_judge_tokens, "key bigint, valid boolean"))
 
 
