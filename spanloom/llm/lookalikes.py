@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import Rounds
+
 #: Letters and signs of the same shape, by their Latin or plain form. Fixed values.
 SAME_SHAPE = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⅭ", "D": "ᎠⅮ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀⅠ", "J": "ЈᎫͿ", "K": "КΚᏦK", "L": "ᏞⅬ",
@@ -123,29 +125,39 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
 
 
 class Rewriter:
-    """Greedy rewriting by an automaton over all members that aren't their class's representative."""
+    """Greedy rewriting of all members that aren't their class's representative, the longest first.
+
+    Members of several characters are found by an automaton; then each character that is a member
+    by itself is replaced from a table, which is what an automaton of depth one comes to.
+    """
 
     def __init__(self, rules: dict[str, str]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for member, best in rules.items():
-            if member:
-                self.automaton.add_word(member, (len(member), best))
-        self.automaton.make_automaton()
         self.blank = {ord(m): None for m, b in rules.items() if b == "" and len(m) == 1}
+        self.single = {ord(m): b for m, b in rules.items() if len(m) == 1 and b}
+        self.several = ahocorasick.Automaton()
+        long = {m: b for m, b in rules.items() if len(m) > 1}
+        for member, best in long.items():
+            self.several.add_word(member, (len(member), best))
+        if long:
+            self.several.make_automaton()
+        #: An ASCII text without these characters is its own form.
+        self.touched = {c for m in rules if m.isascii() for c in m}
 
     def __call__(self, text: str) -> str:
         """The text's one form."""
-        text = unicodedata.normalize("NFD", text.translate(self.blank) if not text.isascii() else text)
-        parts, at = [], 0
-        for end, (n, best) in self.automaton.iter_long(text):
-            start = end + 1 - n
-            parts.append(text[at:start])
-            parts.append(best)
-            at = end + 1
-        parts.append(text[at:])
-        return unicodedata.normalize("NFC", "".join(parts))
+        if text.isascii() and self.touched.isdisjoint(text):
+            return text
+        text = unicodedata.normalize("NFD", text.translate(self.blank))
+        if len(self.several):
+            parts, at = [], 0
+            for end, (n, best) in self.several.iter_long(text):
+                parts += (text[at : end + 1 - n], best)
+                at = end + 1
+            if parts:
+                text = "".join([*parts, text[at:]])
+        return unicodedata.normalize("NFC", text.translate(self.single))
 
 
 def member_counts(texts: DataFrame, text: str) -> dict[str, int]:
@@ -196,10 +208,10 @@ def unified(docs: DataFrame, key: str, text: str, hashes: bool = False) -> DataF
 def lookalike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``{key}_a`` < ``{key}_b`` of each two rows whose texts differ in characters and look the same.
 
-    Only hashes are shuffled. Forms with a single raw text are dropped by a grouping with partial
+    Only hashes are kept and shuffled; they are written once, so each text is rewritten once. Forms with a single raw text are dropped by a grouping with partial
     aggregates before any rows meet. Null, empty and blank texts are in no pair.
     """
-    rows = unified(docs, key, text, hashes=True).where("form is not null").distinct()
+    rows = Rounds(docs.sparkSession).cut(unified(docs, key, text, hashes=True).where("form is not null").distinct())
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     kept = rows.join(mixed, "form")
     a = kept.select("form", F.col("raw").alias("raw_a"), F.col(key).alias(f"{key}_a"))
