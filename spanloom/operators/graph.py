@@ -156,3 +156,48 @@ def goal_values(edges: DataFrame, goal: str, subgoal: str, facts: DataFrame) ->
         if not delta.limit(1).count():
             return known
         known = rounds.cut(known.unionByName(delta), known)
+
+
+def components(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """``node``, ``component`` (its least member): strongly connected components with a cycle, self-edges included.
+
+    First nodes are trimmed that nothing enters or leaves, from both ends, until only cycles and
+    what lies between them is left. Then each node takes the least node that reaches it, and the
+    component of a colour is what can reach the colour's node within the colour; the rest goes on.
+    """
+    rounds = Rounds(edges.sparkSession)
+    every = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct()
+    found = every.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
+    e = rounds.cut(every.where("s <> t"))
+    left = e.count()
+    while left:
+        step = e
+        for _ in range(HOPS):
+            into, out = step.select(F.col("t").alias("s")).distinct(), step.select(F.col("s").alias("t")).distinct()
+            step = step.join(into, "s", "left_semi").join(out, "t", "left_semi").select("s", "t")
+        e = rounds.cut(step, e)
+        before, left = left, e.count()
+        if left == before:
+            break
+    while left:
+        colour = rounds.cut(e.select(F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            step = colour
+            for _ in range(HOPS):
+                sent = e.join(step, e["s"] == step["node"]).select(F.col("t").alias("node"), "c")
+                step = sent.unionByName(step).groupBy("node").agg(F.min("c").alias("c"))
+            moved = rounds.cut(step.join(colour.withColumnRenamed("c", "old"), "node"))
+            colour = moved.drop("old")
+            if not moved.where("c <> old").limit(1).count():
+                break
+        inside = e.join(colour.select(F.col("node").alias("s"), F.col("c").alias("cs")), "s").join(colour.select(F.col("node").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct")
+        inside = rounds.cut(inside.select("s", "t"))
+        seeds = colour.where("node = c").select("node")
+        back = reachable(inside, "t", "s", seeds).join(colour, "node")
+        group = rounds.cut(back.select("node", F.col("c").alias("component")))
+        several = group.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        found = found.unionByName(group.join(several, "component", "left_semi").select("node", "component"))
+        gone = group.select("node")
+        e = rounds.cut(e.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "t"), "t", "left_anti").select("s", "t"), e)
+        left = e.count()
+    return found.groupBy("node").agg(F.min("component").alias("component"))
