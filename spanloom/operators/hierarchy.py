@@ -54,11 +54,11 @@ def _climb(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     left = state.where("not done").count()
     while left:
         below = state.where("not done").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("kids"))
-        grown = rounds.cut(state.join(below, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"), state)
+        grown = state.join(below, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
         per_node = grown.where("kids > 0").select("node", F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"), "kids")
         moved = _jump(grown.where("not done").drop("kids"), per_node, left)
         moved = moved.select("node", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"), "size")
-        state = rounds.cut(moved.unionByName(grown.where("done").drop("kids")), grown)
+        state = rounds.cut(moved.unionByName(grown.where("done").drop("kids")), state)
         before, left = left, state.where("not done").count()
         if left == before:
             break
