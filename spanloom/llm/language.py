@@ -25,8 +25,8 @@ from spanloom.llm import lexing
 LANGS = ("en", "de", "fr", "es", "it", "pl", "ru", "ja", "zh")
 CHUNK_CHARS = 32_768
 BUCKETS = 1 << 14
-#: The classifier is fitted on so many labelled documents (those of least hash) and so many of their texts at most.
-SAMPLE_DOCUMENTS, SAMPLE_TEXTS = 4000, 9000
+#: The classifier is fitted on about so many labelled documents, of so many characters, and so many of their texts at most.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_TEXTS = 4000, 20_000, 9000
 
 WORD = r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*['’]?"
 WORDS = re.compile(rf"(?<![\w/.\\%@#=-]){WORD}(?:[,;:.!?…]?\s+[«»\"“„(]?{WORD}){{3,}}(?![\w/\\=(\[])")
@@ -230,19 +230,24 @@ def labelled(weights: np.ndarray, text: str) -> list[tuple[str, str]]:
     return out
 
 
-def training_samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """(text, language) of sentences of labelled documents: a bounded sample, the ``documents`` of least hash."""
-    rows = docs.where("text is not null").where(F.col("lang").isin(*LANGS)).select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(documents).collect()
-    out = []
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"])):
-        for line in r["text"].split("\n"):
-            out += [(run, r["lang"]) for run in natural(line)]
+def training_samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_TEXTS, longest: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(text, language) of sentences of labelled documents: a bounded sample.
+
+    Of the labelled documents of up to ``longest`` characters about ``documents`` are taken, those
+    with a hash below a threshold that follows from their number, so that no task sends more than
+    its part to the driver; and of their texts as many of each language at most.
+    """
+    labelled_ = docs.where(F.col("lang").isin(*LANGS))
+    share = min(1.0, documents / max(1, labelled_.count()))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    rows = labelled_.where("text is not null").where(F.length("text") <= longest).select("text", "lang", h.alias("h")).where(F.col("h") < int(share * (1 << 30))).collect()
     taken: dict[str, int] = {}
     kept = []
-    for text, lang in out:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= most // len(LANGS):
-            kept.append((text, lang))
+    for _, text, lang in sorted({(r["h"], r["text"], r["lang"]) for r in rows}):
+        for run in (run for line in text.split("\n") for run in natural(line)):
+            taken[lang] = taken.get(lang, 0) + 1
+            if taken[lang] <= most // len(LANGS):
+                kept.append((run, lang))
     return kept
 
 
