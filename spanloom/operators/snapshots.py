@@ -50,9 +50,12 @@ def snapshot_changes(
     n_runs = runs.count()  # bounds the rows of ``parts``; read from the file's footers
     right = sized_broadcast(parts.select(*[F.col(k).alias(f"_r_{k}") for k in run_key], "_parts"), n_runs)
     cond = [held[k].eqNullSafe(right[f"_r_{k}"]) for k in run_key]
-    placed = held.join(right, cond).select(*series, F.explode("_parts").alias("_p"), key, "_row")
-    signed = placed.select(*series, F.col("_p.to").alias(run), key, F.col("_p.sign").alias("_sign"), *[F.col("_row")[f].alias(f) for f in fields])
-    signed = signed.repartition(*series, run, key)
+    # all snapshots' rows of a key in one partition: the copies for the next snapshot are made after
+    # the shuffle, and all grouping from here on is local
+    placed = held.join(right, cond).select(*series, "_parts", key, "_row").repartition(*series, key)
+    signed = placed.select(*series, F.explode("_parts").alias("_p"), key, "_row").select(
+        *series, F.col("_p.to").alias(run), key, F.col("_p.sign").alias("_sign"), *[F.col("_row")[f].alias(f) for f in fields]
+    )
     left = uncancelled(signed, [*series, run, key], fields, "_sign")
     change = F.when(F.col("only") > 0, "added").when(F.col("only") < 0, "removed").otherwise("changed")
     return left.select(*series, run, key, change.alias("change"))
