@@ -98,21 +98,17 @@ def layers(edges: DataFrame, source: str, target: str) -> DataFrame:
     e = rounds.cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null and s <> t").distinct())
     out = e.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     nodes = e.select(F.explode(F.array("s", "t")).alias("node")).distinct()
-    state = rounds.cut(nodes.join(out, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("layer")))
-    done, n = rounds.cut(state.where("open = 0").select("node", "layer")), 0
-    fresh = done
+    state = nodes.join(out, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("layer"))
+    state, n = rounds.cut(state.withColumn("peeled", F.when(F.col("open") == 0, 0))), 0
     while True:
         n += 1
-        met = fresh.join(e, fresh["node"] == e["t"]).groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("k"), (F.max("layer") + 1).alias("up"))
-        state = rounds.cut(
-            state.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")), state
+        met = state.where(F.col("peeled") == n - 1).join(e, F.col("node") == F.col("t")).groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("k"), (F.max("layer") + 1).alias("up"))
+        moved = state.join(met, "node", "left").select(
+            "node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), "peeled"
         )
-        fresh = state.where("open = 0").select("node", "layer")
-        if not fresh.limit(1).count():
-            break
-        fresh = rounds.cut(fresh)
-        done = rounds.cut(done.unionByName(fresh), done)
-    return done
+        state = rounds.cut(moved.withColumn("peeled", F.when(F.col("peeled").isNotNull(), F.col("peeled")).when(F.col("open") == 0, n)), state)
+        if not state.where(F.col("peeled") == n).limit(1).count():
+            return state.where("peeled is not null").select("node", "layer")
 
 
 def nearest_ancestor(edges: DataFrame, source: str, target: str, marked: DataFrame, max_depth: int) -> DataFrame:

@@ -322,34 +322,34 @@ def u6_equality_samples(spark, d):
 LABEL = "'[' || coalesce(f.file, '') || ':' || f.start_line || '-' || f.end_line || ']' || f.name"
 
 
-@query("p24_label_parse", f"""
+@query("pr24_label_parse", f"""
 WITH l AS (SELECT DISTINCT id, name, file, start_line, end_line FROM graph_functions WHERE start_line > 0)
 SELECT id, file, start_line, end_line, name FROM l
 """)
-def p24_label_parse(spark, d):
+def pr24_label_parse(spark, d):
     f = table(spark, d, "graph_functions").where("start_line > 0").select("id", F.format_string("[%s:%d-%d]%s", F.coalesce("file", F.lit("")), "start_line", "end_line", "name").alias("label")).distinct()
     part = lambda i: F.regexp_extract("label", r"^\[(.*):(\d+)-(\d+)\](.*)$", i)
     return f.select("id", F.nullif(part(1), F.lit("")).alias("file"), part(2).cast("int").alias("start_line"), part(3).cast("int").alias("end_line"), part(4).alias("name"))
 
 
-@query("p25_arrow_split", """
+@query("pr25_arrow_split", """
 WITH e AS (SELECT DISTINCT source, target FROM graph_calls WHERE kind = 'direct' AND source IS NOT NULL AND target IS NOT NULL)
 SELECT source, target, 1 AS position, '[a->b]' || source AS label FROM e UNION ALL SELECT source, target, 2, '[c]' || target FROM e
 """)
-def p25_arrow_split(spark, d):
+def pr25_arrow_split(spark, d):
     e = _edges(spark, d, ("direct",)).withColumn("trail", F.concat(F.lit("[a->b]"), "source", F.lit("->[c]"), "target"))
     return e.select("source", "target", F.posexplode(F.split("trail", r"->(?=\[)")).alias("p", "label")).select("source", "target", (F.col("p") + 1).alias("position"), "label")
 
 
-@query("p17_safe_names", "SELECT DISTINCT path, coalesce(nullif(trim(regexp_replace(path, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unnamed') AS safe FROM source_files")
-def p17_safe_names(spark, d):
+@query("pr17_safe_names", "SELECT DISTINCT path, coalesce(nullif(trim(regexp_replace(path, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unnamed') AS safe FROM source_files")
+def pr17_safe_names(spark, d):
     return table(spark, d, "source_files").select("path", F.coalesce(F.nullif(F.btrim(F.regexp_replace("path", "[^A-Za-z0-9._-]+", "_"), F.lit("_")), F.lit("")), F.lit("unnamed")).alias("safe")).distinct()
 
 
-@query("p20_rendered_status", f"""
+@query("pr20_rendered_status", f"""
 SELECT fact_id, CASE status WHEN 'EXACT' THEN coalesce(nullif(resolved_value, ''), '?') WHEN 'DYNAMIC' THEN '<runtime>' WHEN 'EXTERNAL' THEN '<external>' WHEN 'NO_TARGET' THEN 'NA' ELSE '<' || lower(status) || '>' END AS answer FROM {FACTS}
 """)
-def p20_rendered_status(spark, d):
+def pr20_rendered_status(spark, d):
     s = F.col("status")
     a = F.when(s == "EXACT", F.coalesce(F.nullif("resolved_value", F.lit("")), F.lit("?"))).when(s == "DYNAMIC", "<runtime>").when(s == "EXTERNAL", "<external>").when(s == "NO_TARGET", "NA").otherwise(F.concat(F.lit("<"), F.lower(s), F.lit(">")))
     return _facts(spark, d).select("fact_id", a.alias("answer"))

@@ -108,8 +108,8 @@ def v8_c_formulas(spark, d):
     return n.select("v", f("(v + 6) / 7 * 3 - 1").alias("a"), f("-v / 7").alias("b"), f("-v % 7").alias("c"), f("v > 5000 ? v & 0xff : v << 2").alias("d"))
 
 
-@query("p6_bare_expressions", "SELECT DISTINCT arg_expression AS written, arg_expression AS bare FROM target_sites")
-def p6_bare_expressions(spark, d):
+@query("pr6_bare_expressions", "SELECT DISTINCT arg_expression AS written, arg_expression AS bare FROM target_sites")
+def pr6_bare_expressions(spark, d):
     e = table(spark, d, "target_sites").select(F.col("arg_expression").alias("written")).distinct()
     return e.select("written", without_parens(F.concat(F.lit("(("), F.col("written"), F.lit(") )"))).alias("bare"))
 

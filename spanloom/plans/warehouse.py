@@ -535,16 +535,16 @@ def u3_union_processes(spark, d):
 # ---- scalar transforms and filters
 
 
-@query("p3_path_normal", r"SELECT DISTINCT target_site_file AS raw, regexp_replace(replace(target_site_file, '\', '/'), '^\.//?', '') AS path FROM discovery_facts")
-def p3_path_normal(spark, d):
+@query("pr3_path_normal", r"SELECT DISTINCT target_site_file AS raw, regexp_replace(replace(target_site_file, '\', '/'), '^\.//?', '') AS path FROM discovery_facts")
+def pr3_path_normal(spark, d):
     return table(spark, d, "discovery_facts").select(F.col("target_site_file").alias("raw")).distinct().withColumn("path", plain_path(F.col("raw")))
 
 
-@query("p5_c_integers", """
+@query("pr5_c_integers", """
 WITH n AS (SELECT DISTINCT TRY_CAST(resolved_value AS BIGINT) AS v FROM discovery_facts WHERE regexp_full_match(resolved_value, '[1-9][0-9]*'))
 SELECT v AS value, v AS from_decimal, v AS from_hex, -v AS from_negative, v AS from_suffix FROM n
 """)
-def p5_c_integers(spark, d):
+def pr5_c_integers(spark, d):
     n = table(spark, d, "discovery_facts").where(F.col("resolved_value").rlike("^[1-9][0-9]*$")).select(F.col("resolved_value").cast("bigint").alias("v")).distinct()
     t = F.col("v").cast("string")
     return n.select(
@@ -553,44 +553,44 @@ def p5_c_integers(spark, d):
     )
 
 
-@query("p9_confidence", r"""
+@query("pr9_confidence", r"""
 SELECT CASE WHEN target_expression IS NULL OR trim(target_expression) = '' THEN 'none' WHEN regexp_full_match(trim(target_expression), '[+-]?(0|[1-9][0-9]*|0x[0-9a-fA-F]+|0[0-7]+)') THEN 'literal'
   WHEN regexp_full_match(trim(target_expression), '[A-Z_][A-Z0-9_]*') THEN 'macro' WHEN regexp_matches(target_expression, '->|\[|\w\.\w') THEN 'dynamic' ELSE 'expression' END AS confidence, count(*) AS facts
 FROM (SELECT DISTINCT * FROM discovery_facts) GROUP BY ALL
 """)
-def p9_confidence(spark, d):
+def pr9_confidence(spark, d):
     return table(spark, d, "discovery_facts").distinct().groupBy(V.confidence(F.col("target_expression")).alias("confidence")).agg(F.count(F.lit(1)).alias("facts"))
 
 
-@query("p11_resource_kind", "SELECT operation, CASE WHEN operation LIKE '%QUE%' THEN 'queue' WHEN operation LIKE '%PROC%' THEN 'process' WHEN operation LIKE '%REC%' THEN 'record_file' WHEN operation IN ('READ', 'WRITE', 'FWRITE') THEN 'file' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT DISTINCT * FROM discovery_records) GROUP BY ALL")
-def p11_resource_kind(spark, d):
+@query("pr11_resource_kind", "SELECT operation, CASE WHEN operation LIKE '%QUE%' THEN 'queue' WHEN operation LIKE '%PROC%' THEN 'process' WHEN operation LIKE '%REC%' THEN 'record_file' WHEN operation IN ('READ', 'WRITE', 'FWRITE') THEN 'file' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT DISTINCT * FROM discovery_records) GROUP BY ALL")
+def pr11_resource_kind(spark, d):
     return table(spark, d, "discovery_records").distinct().groupBy("operation", V.resource_kind(F.col("operation")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p13_library_component", "WITH f AS (SELECT DISTINCT id, string_split(file, '/') AS s FROM graph_functions WHERE file IS NOT NULL) SELECT list_filter(s, lambda x: starts_with(lower(x), 'lib'))[1] AS component, count(*) AS functions FROM f GROUP BY ALL")
-def p13_library_component(spark, d):
+@query("pr13_library_component", "WITH f AS (SELECT DISTINCT id, string_split(file, '/') AS s FROM graph_functions WHERE file IS NOT NULL) SELECT list_filter(s, lambda x: starts_with(lower(x), 'lib'))[1] AS component, count(*) AS functions FROM f GROUP BY ALL")
+def pr13_library_component(spark, d):
     f = table(spark, d, "graph_functions").where("file is not null").select("id", "file").distinct()
     parts = F.filter(F.split("file", "/"), lambda x: F.lower(x).startswith("lib"))
     return f.groupBy(F.when(F.size(parts) > 0, F.get(parts, F.lit(0))).alias("component")).agg(F.count(F.lit(1)).alias("functions"))
 
 
-@query("p15_stable_ids", f"SELECT id, substring(sha1(coalesce(process_name, '') || chr(31) || coalesce(file, '') || chr(31) || coalesce(name, '') || chr(31) || coalesce(CAST(start_line AS VARCHAR), '')), 1, 16) AS stable_id FROM {FUNCTIONS}")
-def p15_stable_ids(spark, d):
+@query("pr15_stable_ids", f"SELECT id, substring(sha1(coalesce(process_name, '') || chr(31) || coalesce(file, '') || chr(31) || coalesce(name, '') || chr(31) || coalesce(CAST(start_line AS VARCHAR), '')), 1, 16) AS stable_id FROM {FUNCTIONS}")
+def pr15_stable_ids(spark, d):
     return _functions(spark, d).select("id", stable_id(F.col("process_name"), F.col("file"), F.col("name"), F.col("start_line")).alias("stable_id"))
 
 
-@query("p18_numbered_source", f"SELECT id, list_aggregate(list_transform(string_split(source, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' ' || x), 'string_agg', chr(10)) AS numbered FROM {FUNCTIONS} WHERE source IS NOT NULL")
-def p18_numbered_source(spark, d):
+@query("pr18_numbered_source", f"SELECT id, list_aggregate(list_transform(string_split(source, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' ' || x), 'string_agg', chr(10)) AS numbered FROM {FUNCTIONS} WHERE source IS NOT NULL")
+def pr18_numbered_source(spark, d):
     return _functions(spark, d).where("source is not null").select("id", V.numbered(F.col("source")).alias("numbered"))
 
 
-@query("p19_signature", f"SELECT id, trim(list_filter(string_split(source, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '^(//|/\\*|\\*|#)'))[1]) AS signature FROM {FUNCTIONS} WHERE source IS NOT NULL")
-def p19_signature(spark, d):
+@query("pr19_signature", f"SELECT id, trim(list_filter(string_split(source, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '^(//|/\\*|\\*|#)'))[1]) AS signature FROM {FUNCTIONS} WHERE source IS NOT NULL")
+def pr19_signature(spark, d):
     return _functions(spark, d).where("source is not null").select("id", V.signature(F.col("source")).alias("signature"))
 
 
-@query("p22_metadata_json", "SELECT json_extract_string(metadata, '$.arm') AS arm, count(*) AS facts, count(json_extract_string(metadata, '$.guard')) AS guarded FROM (SELECT DISTINCT * FROM discovery_facts) GROUP BY ALL")
-def p22_metadata_json(spark, d):
+@query("pr22_metadata_json", "SELECT json_extract_string(metadata, '$.arm') AS arm, count(*) AS facts, count(json_extract_string(metadata, '$.guard')) AS guarded FROM (SELECT DISTINCT * FROM discovery_facts) GROUP BY ALL")
+def pr22_metadata_json(spark, d):
     f = table(spark, d, "discovery_facts").distinct()
     return f.groupBy(F.get_json_object("metadata", "$.arm").alias("arm")).agg(F.count(F.lit(1)).alias("facts"), F.count(F.get_json_object("metadata", "$.guard")).alias("guarded"))
 
