@@ -14,17 +14,18 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def bm25(posts: DataFrame, key: str, queries: DataFrame, n_docs: Column | None = None) -> DataFrame:
+def bm25(posts: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """``query, key, score``: BM25 of each query (query, token; tokens distinct) against all postings.
 
-    The corpus statistics are one global row; the queries meet the postings on the token. A token
-    of a third of all rows is spread by the map-side sums of both groupings.
+    The corpus statistics, two numbers, are read first; the queries meet the postings on the token.
+    A token of a third of all rows is spread by the map-side sums of both groupings.
     """
-    size = posts.groupBy(key).agg(F.max("doc_len").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len"))
+    size = posts.groupBy(key).agg(F.max("doc_len").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len")).first()
+    n, avg_len = F.lit(size["n"]), F.lit(size["avg_len"] or 1.0)
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.distinct().join(df, "token").crossJoin(F.broadcast(size)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    wanted = queries.distinct().join(df, "token").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     hit = posts.join(wanted, "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
     return hit.groupBy("query", key).agg(F.sum(part).alias("score"))
 
 

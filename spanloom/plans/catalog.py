@@ -106,8 +106,8 @@ SELECT process_name, run_id, results_set FROM n UNION ALL SELECT process_name, r
 """)
 def k7_manifest_upsert(spark, d):
     r = table(spark, d, "graph_runs").distinct()
-    newest = r.agg(F.max("results_set").alias("m"))
-    marked = r.join(F.broadcast(newest)).withColumn("new", F.col("results_set") == F.col("m"))
+    newest = r.agg(F.max("results_set")).first()[0]
+    marked = r.withColumn("new", F.col("results_set") == F.lit(newest))
     new, old = marked.where("new"), marked.where("not new")
     kept = old.join(new.select("process_name", "run_id").distinct(), ["process_name", "run_id"], "left_anti")
     cols = ["process_name", "run_id", "results_set"]

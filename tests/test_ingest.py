@@ -112,3 +112,21 @@ def test_no_local_checkpoint():
     root = pathlib.Path(__file__).parent.parent / "spanloom"
     assert not any("localCheckpoint" in p.read_text() for p in root.rglob("*.py"))
     assert F is not None
+
+
+def test_makefiles():
+    from spanloom.sources.makefile import build_inputs, variables
+
+    text = "SRC = a.c \\\n  b.c\nOBJ := $(SRC:.c=.o) d.o\nCFLAGS ?= -DA=1 -UB\nCFLAGS += -DC -Iinc # note\ninclude more.mk\nDIR = $(ROOT)/x\nall:\n\tcc -DNOT $(SRC)\n"
+    got = build_inputs(text, {"more.mk": "ROOT = /r\nLIBS = -Llib -lm\n"})
+    assert got == {"sources": ["a.c", "b.c", "d.c"], "include_dirs": ["inc"], "library_dirs": ["lib"], "defines": ["A", "C"], "undefines": ["B"]}
+    assert variables("A = $(B)\nB = 1\nA ?= 2\n")["A"] == "$(B)"
+    assert build_inputs("")["sources"] == []
+
+
+def test_enums_and_placeholders():
+    from spanloom.functions.enums import enum_values, fill
+
+    assert enum_values("enum e { A, B = 5, C, D = B * 2, E = X, F };") == {"A": 0, "B": 5, "C": 6, "D": 10}
+    assert enum_values("enum { A = 1 }; enum { A = 2, G = 3 };") == {"G": 3}
+    assert fill("$1 + $2 $9", {1: "$2", 2: "x"}) == "$2 + x $9"
