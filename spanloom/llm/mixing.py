@@ -85,8 +85,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tup
     taken = rows.join(limit, "source").withColumn("repeats", F.col("whole") + (F.col("everything") | (unsigned < F.col("threshold"))).cast("int"))
     records = taken.where("repeats > 0").select("id", "source", "tokens", "repeats")
     mixed = records.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.count(F.lit(1)).alias("n_records"), F.max("repeats").alias("most_repeats"))
-    all_ = mixed.agg(F.sum("mixed_tokens").alias("all"))
-    shares = goals.join(have, "source", "left").join(mixed, "source", "left").crossJoin(F.broadcast(all_)).select(
+    whole_mix = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # over one row per target
+    shares = goals.join(have, "source", "left").join(mixed, "source", "left").withColumn("all", whole_mix).select(
         "source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), F.coalesce("have", F.lit(0)).alias("available_tokens"),
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("n_records", F.lit(0)).alias("n_records"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("mixed_tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"),
