@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.signed_cells import uncancelled
-from spanloom.operators.skew import sized_broadcast
+from spanloom.operators.skew import BROADCAST_ROWS, sized_broadcast
 
 
 def snapshot_changes(
@@ -48,11 +48,13 @@ def snapshot_changes(
         ).alias("_parts"),
     ).where(F.size("_parts") > 0)
     n_runs = runs.count()  # bounds the rows of ``parts``; read from the file's footers
+    few = n_runs <= BROADCAST_ROWS
     right = sized_broadcast(parts.select(*[F.col(k).alias(f"_r_{k}") for k in run_key], "_parts"), n_runs)
-    cond = [held[k].eqNullSafe(right[f"_r_{k}"]) for k in run_key]
     # all snapshots' rows of a key in one partition: the copies for the next snapshot are made after
-    # the shuffle, and all grouping from here on is local
-    placed = held.join(right, cond).select(*series, "_parts", key, "_row").repartition(*series, key)
+    # the shuffle, and all grouping from here on is local. Many runs are joined before it, by their key
+    spread = held.repartition(*series, key) if few else held
+    placed = spread.join(right, [spread[k].eqNullSafe(right[f"_r_{k}"]) for k in run_key]).select(*series, "_parts", key, "_row")
+    placed = placed if few else placed.repartition(*series, key)
     signed = placed.select(*series, F.explode("_parts").alias("_p"), key, "_row").select(
         *series, F.col("_p.to").alias(run), key, F.col("_p.sign").alias("_sign"), *[F.col("_row")[f].alias(f) for f in fields]
     )
