@@ -31,10 +31,11 @@ def orphan_references(
     ``missing``; a null ``parent_from`` counts as in force ever since, a null ``parent_to`` as in
     force still. Children and parents with a null part of the key are no references. Repeated rows
     give the same rows again; take distinct ids after it. Empty parents make all children missing.
+    The children's other columns stay, but for any of their own named parent_table or reason.
     """
     names = list(child_key)
     set_ = lambda ks: [F.col(k).isNotNull() for k in ks]
-    kids = children.withColumns({f"_k_{n}": c for n, c in child_key.items()})
+    kids = children.select(F.struct(*children.columns).alias("_row"), F.col(child_at).alias("_at"), *[c.alias(f"_k_{n}") for n, c in child_key.items()])
     keys = [f"_k_{n}" for n in names]
     for c in set_(keys):
         kids = kids.where(c)
@@ -49,7 +50,7 @@ def orphan_references(
         tag, *keys, F.lit(1).alias("_parent"), F.coalesce(time("_from"), ever("0001-01-01 00:00:00")).alias("_from"),
         F.coalesce(time("_to"), ever("9999-12-31 23:59:59.999999")).alias("_to"), F.lit(0).alias("_kids"), none.alias("_at"),
     ).unionByName(
-        kids.select(tag, *keys, F.lit(0).alias("_parent"), none.alias("_from"), none.alias("_to"), F.lit(1).alias("_kids"), time(child_at).alias("_at"))
+        kids.select(tag, *keys, F.lit(0).alias("_parent"), none.alias("_from"), none.alias("_to"), F.lit(1).alias("_kids"), time("_at").alias("_at"))
     )
     groups = long.groupBy("parent_table", *keys).agg(
         F.max("_parent").alias("_parent"), F.min("_from").alias("_first"), F.max("_to").alias("_last"),
@@ -58,6 +59,7 @@ def orphan_references(
     suspect = groups.where("_kids > 0 and (_parent = 0 or _min_at < _first or _max_at >= _last)")
     total = children.count()
     back = hot_split_join(kids, suspect.select(*keys, "parent_table", "_parent", "_first", "_last", "_kids"), keys, "_kids", total)
-    at = time(child_at)
+    at = time("_at")
     reason = F.when(F.col("_parent") == 0, "missing").when(F.col("_first") > at, "later").when(F.col("_last") <= at, "deleted")
-    return back.withColumn("reason", reason).where("reason is not null").drop(*keys, "_parent", "_first", "_last")
+    kept = [c for c in children.columns if c not in ("parent_table", "reason")]
+    return back.withColumn("_reason", reason).where("_reason is not null").select(*[F.col("_row")[c].alias(c) for c in kept], "parent_table", F.col("_reason").alias("reason"))

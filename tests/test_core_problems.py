@@ -90,7 +90,7 @@ def test_orphans(spark):
         "f string, l int, first timestamp, last timestamp",
     )
     facts = [(1, "./a", 1, T[3]), (1, "./a", 1, T[3]), (2, "b", 1, T[3]), (3, "c", 1, T[5]), (4, "c", 1, T[4]), (5, "z", 1, T[0]), (6, None, 1, T[0]), (7, "a", None, T[0]), (8, "z", 9, None), (9, "a", 1, None), (10, "d", 1, T[9]), (11, "e", 1, T[6])]
-    df = spark.createDataFrame([(*f, 0) for f in facts], "id int, f string, l int, at timestamp, _kids int")
+    df = spark.createDataFrame([(*f, 0) for f in facts], "id int, f string, l int, at timestamp, _kids int").withColumns({"reason": F.lit("x"), "_parent": F.lit(1), "_at": F.lit("y")})
 
     def reasons(children, parents):
         out = orphan_references(children, parents, {"f": plain_path(F.col("f")), "l": F.col("l")}, {"f": plain_path(F.col("f")), "l": F.col("l")}, "at", "first", "last", "sites")
