@@ -187,7 +187,7 @@ def judged_files(files: DataFrame, configs: DataFrame, split_chars: int = SPLIT_
         *[F.array_distinct(F.flatten(F.collect_list(flag_names(F.col(c))))).alias(n) for c, n in (("defines", "_on"), ("undefines", "_off"), ("fallback_undefines", "_fb"))]
     )
     none = F.array().cast("array<string>")
-    keyed = files.withColumn("lang", language_of(F.col("path"))).join(sized_broadcast(flags, configs.count()), "process_name", "left")
+    keyed = files.select("file_id", "process_name", "content", language_of(F.col("path")).alias("lang")).join(sized_broadcast(flags, configs.count()), "process_name", "left")
     args = [
         "lang", "content", F.coalesce("_on", none).alias("defines"), F.coalesce("_off", none).alias("undefines"), F.coalesce("_fb", none).alias("fallback"),
     ]
