@@ -74,3 +74,44 @@ def scanned(files: DataFrame) -> DataFrame:
 
     c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select("path", "content")
     return c.mapInPandas(run, "path string, what string, name string, line int, end_line int, detail string")
+
+
+def line_states(text: str, dead: frozenset[str] = frozenset({"NOP"})) -> list[str]:
+    """The class of each line: directive, blank, comment, if0 (under ``#if 0``), off (under ``#ifdef`` of a ``dead`` symbol) or live.
+
+    ``#else`` turns a dead branch live and the branch before it dead; inner conditions don't revive.
+    """
+    text = plain(text)
+    shown = blanked(text).split("\n")
+    out: list[str] = []
+    stack: list[str] = []  # what a branch makes of its lines: live, if0 or off
+    for raw, code in zip(text.split("\n"), shown):
+        m = re.match(r"\s*#\s*(ifdef|ifndef|if|elif|else|endif)\b\s*(\S*)", code)
+        if m:
+            word, cond = m[1], m[2]
+            if word in ("if", "ifdef", "ifndef"):
+                stack.append("if0" if word == "if" and cond == "0" else "off" if word == "ifdef" and cond in dead else "if1" if word == "if" and cond == "1" else "on" if word == "ifndef" and cond in dead else "live")
+            elif word in ("else", "elif") and stack:
+                stack[-1] = {"if0": "if1", "if1": "if0", "off": "on", "on": "off"}.get(stack[-1], "live")
+            elif word == "endif" and stack:
+                stack.pop()
+        if re.match(r"\s*#", code):
+            out.append("directive")
+        elif not raw.strip():
+            out.append("blank")
+        else:
+            gone = next((s for s in stack if s in ("if0", "off")), None)
+            out.append(gone or ("live" if code.strip() else "comment"))
+    return out
+
+
+def classified_lines(files: DataFrame) -> DataFrame:
+    """``path, line, state`` of every line of all C files (:func:`line_states`)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, i + 1, s) for p, t in zip(b["path"], b["content"]) for i, s in enumerate(line_states(t))]
+            yield pd.DataFrame(rows, columns=["path", "line", "state"])
+
+    c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select("path", "content").distinct()
+    return c.mapInPandas(run, "path string, line int, state string")

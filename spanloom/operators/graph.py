@@ -197,3 +197,22 @@ def components(edges: DataFrame, source: str, target: str) -> DataFrame:
         e = rounds.cut(e.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "t"), "t", "left_anti").select("s", "t"), e)
         left = e.count()
     return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def fingerprints(edges: DataFrame, source: str, target: str, own: DataFrame) -> DataFrame:
+    """``node``, ``fingerprint``: SHA-256 over the node's ``own`` digest and its targets' sorted fingerprints, leaves first.
+
+    A change of a digest changes the fingerprints of exactly the node and all that depend on it.
+    ``own`` has node and digest (null counts as empty); nodes that reach a cycle have no fingerprint.
+    """
+    rounds = Rounds(edges.sparkSession)
+    order = rounds.cut(layers(edges, source, target).join(own.groupBy("node").agg(F.max("digest").alias("digest")), "node", "left"))
+    e = rounds.cut(edges.select(F.col(source).alias("s"), F.col(target).alias("node")).where("s is not null and node is not null and s <> node").distinct())
+    top = order.agg(F.max("layer")).first()[0]
+    done = rounds.cut(order.where("layer = 0").select("node", F.sha2(F.coalesce("digest", F.lit("")), 256).alias("fingerprint")))
+    for n in range(1, (top or 0) + 1):
+        level = order.where(F.col("layer") == n).select(F.col("node").alias("s"), "digest")
+        below = e.join(level, "s").join(done, "node").groupBy("s").agg(F.max("digest").alias("digest"), F.array_join(F.array_sort(F.collect_list("fingerprint")), ",").alias("under"))
+        fresh = below.select(F.col("s").alias("node"), F.sha2(F.concat_ws("|", F.coalesce("digest", F.lit("")), "under"), 256).alias("fingerprint"))
+        done = rounds.cut(done.unionByName(fresh), done)
+    return done

@@ -10,7 +10,7 @@ from spanloom.operators import aggregates as A
 from spanloom.operators import graph as G
 from spanloom.operators import joins as J
 from spanloom.operators import retrieval as R
-from spanloom.operators.csource import scanned
+from spanloom.operators.csource import classified_lines, scanned
 from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, RECORDS, ROOTS, SITES, _calls, _edges, _facts, _functions, _records, _sites, r3_bm25_topk
 from spanloom.plans.warehouse import BM25_SQL
 from spanloom.sources.tables import table
@@ -390,3 +390,11 @@ def r11_answer_payload(spark, d):
 @query("a36_density_rates", f"SELECT evidence_process, count(*) AS facts, round(count(*) FILTER (status = 'EXACT')::DOUBLE / count(*), 6) AS exact_rate FROM {FACTS} GROUP BY ALL")
 def a36_density_rates(spark, d):
     return _facts(spark, d).groupBy("evidence_process").agg(F.count(F.lit(1)).alias("facts"), A.rate(F.count_if(F.col("status") == "EXACT"), F.count(F.lit(1))).alias("exact_rate"))
+
+
+@query("x1_line_states")
+def x1_line_states(spark, d):
+    """Lines per process and class: live, comment, blank, directive or switched off."""
+    lines = classified_lines(table(spark, d, "source_files"))
+    owner = table(spark, d, "source_files").select("path", "process_name").distinct()
+    return lines.groupBy("path", "state").agg(F.count(F.lit(1)).alias("n")).join(owner, "path").groupBy("process_name", "state").agg(F.sum("n").alias("lines"))

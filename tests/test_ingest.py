@@ -130,3 +130,24 @@ def test_enums_and_placeholders():
     assert enum_values("enum e { A, B = 5, C, D = B * 2, E = X, F };") == {"A": 0, "B": 5, "C": 6, "D": 10}
     assert enum_values("enum { A = 1 }; enum { A = 2, G = 3 };") == {"G": 3}
     assert fill("$1 + $2 $9", {1: "$2", 2: "x"}) == "$2 + x $9"
+
+
+def test_line_states():
+    from spanloom.operators.csource import line_states
+
+    text = "int a;\n\n/* x\n y */\n#if 0\nint b;\n#else\nint c;\n#endif\n#ifdef NOP\nint d;\n#ifdef Z\nint e;\n#endif\n#else\nint f; // g\n#endif\n"
+    want = ["live", "blank", "comment", "comment", "directive", "if0", "directive", "live", "directive", "directive", "off", "directive", "off", "directive", "directive", "live", "directive", "blank"]
+    assert line_states(text) == want
+
+
+def test_fingerprints_change_upward_only(spark):
+    from spanloom.operators.graph import fingerprints
+
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "s string, t string")
+
+    def of(c):
+        own = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", c), ("d", None)], "node string, digest string")
+        return {r["node"]: r["fingerprint"] for r in fingerprints(e, "s", "t", own).collect()}
+
+    one, two = of("3"), of("4")
+    assert set(one) == {"a", "b", "c", "d"} and {n for n in one if one[n] != two[n]} == {"a", "c"}
