@@ -290,8 +290,8 @@ SELECT id, CASE WHEN process_name IS NULL THEN 'OUT_OF_PROCESS_SCOPE' WHEN id IN
 def g4_reachability_label(spark, d):
     direct, every = _edges(spark, d, ("direct",)), _edges(spark, d)
     seeds = G.roots(direct, "source", "target")
-    a = G.reachable(direct, "source", "target", seeds, 12).select(F.col("node").alias("id"), F.lit(True).alias("a"))
-    b = G.reachable(every, "source", "target", seeds, 12).select(F.col("node").alias("id"), F.lit(True).alias("b"))
+    a = G.reachable(direct, "source", "target", seeds).select(F.col("node").alias("id"), F.lit(True).alias("a"))
+    b = G.reachable(every, "source", "target", seeds).select(F.col("node").alias("id"), F.lit(True).alias("b"))
     f = table(spark, d, "graph_functions").select("id", "process_name").distinct()
     label = F.when(F.col("process_name").isNull(), "OUT_OF_PROCESS_SCOPE").when(F.col("a"), "DIRECT_ROOT").when(F.col("b"), "CALLBACK").otherwise("UNREACHABLE_IN_PROCESS")
     return f.join(a, "id", "left").join(b, "id", "left").select("id", label.alias("reachability"))

@@ -659,7 +659,7 @@ SELECT DISTINCT node FROM b WHERE node NOT IN (SELECT node FROM a)
 def g3_callback_only(spark, d):
     direct, every = _edges(spark, d, ("direct",)), _edges(spark, d)
     seeds = G.roots(direct, "source", "target")
-    return G.reachable(every, "source", "target", seeds, 12).select("node").join(G.reachable(direct, "source", "target", seeds, 12).select("node"), "node", "left_anti")
+    return G.reachable(every, "source", "target", seeds).select("node").join(G.reachable(direct, "source", "target", seeds).select("node"), "node", "left_anti")
 
 
 @query("g5_simple_paths", f"""
