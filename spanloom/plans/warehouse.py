@@ -647,7 +647,7 @@ ROOTS = "(SELECT DISTINCT source AS node FROM {0} WHERE source NOT IN (SELECT ta
 @query("g2_reachability", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), w AS (SELECT node, 0 AS depth FROM {ROOTS.format('e')} UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node WHERE w.depth < 12) SELECT node, min(depth) AS depth FROM w GROUP BY ALL")
 def g2_reachability(spark, d):
     e = _edges(spark, d)
-    return G.reachable(e, "source", "target", G.roots(e, "source", "target"), max_depth=12)
+    return G.reachable(e, "source", "target", G.roots(e, "source", "target"))
 
 
 @query("g3_callback_only", f"""

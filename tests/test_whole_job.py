@@ -24,3 +24,8 @@ def test_reachability_classes_of_deep_functions(spark, tmp_path):
     assert run(spark, tmp_path, "g3_callback_only") == sorted((f"c{i}",) for i in range(15))
     want = [("away", "UNREACHABLE_IN_PROCESS"), ("c14", "CALLBACK"), ("d20", "DIRECT_ROOT"), ("d20x", "OUT_OF_PROCESS_SCOPE")]
     assert run(spark, tmp_path, "g4_reachability_label") == sorted(want, key=str)
+
+
+def test_reachability_of_deep_functions(spark, tmp_path):
+    calls(spark, tmp_path, [*chain("d", 17), ("d17", "d3", "direct")])
+    assert run(spark, tmp_path, "g2_reachability") == sorted(((f"d{i}", i) for i in range(18)), key=str)
