@@ -111,14 +111,14 @@ def layers(edges: DataFrame, source: str, target: str) -> DataFrame:
             return state.where("peeled is not null").select("node", "layer")
 
 
-def nearest_ancestor(edges: DataFrame, source: str, target: str, marked: DataFrame, max_depth: int) -> DataFrame:
-    """``node``, ``ancestor``, ``depth``: for each node the least ``marked`` one among the nearest above it (itself at 0) within ``max_depth``."""
+def nearest_ancestor(edges: DataFrame, source: str, target: str, marked: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``node``, ``ancestor``, ``depth``: for each node the least ``marked`` one among the nearest above it (itself at 0) within ``max_depth``, if there is such a bound."""
     rounds = Rounds(edges.sparkSession)
     e = rounds.cut(edges.select(F.col(source).alias("node"), F.col(target).alias("to")).where("node is not null and to is not null").distinct())
     done = rounds.cut(marked.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
     front, depth = done, 0
-    while depth < max_depth:
-        hops = min(HOPS, max_depth - depth)
+    while max_depth is None or depth < max_depth:
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
         new, step = None, front
         for _ in range(hops):
             step = step.join(e, "node").groupBy(F.col("to").alias("node")).agg(F.min(F.struct("depth", "ancestor")).alias("x")).select("node", F.col("x.ancestor").alias("ancestor"), (F.col("x.depth") + 1).alias("depth"))

@@ -725,7 +725,7 @@ SELECT node, ancestor, depth FROM (SELECT *, row_number() OVER (PARTITION BY nod
 """)
 def g20_nearest_ancestor(spark, d):
     marked = table(spark, d, "graph_calls").where("kind = 'callback' and source is not null").select(F.col("source").alias("node"))
-    return G.nearest_ancestor(_edges(spark, d, ("direct",)), "source", "target", marked, 12)
+    return G.nearest_ancestor(_edges(spark, d, ("direct",)), "source", "target", marked)
 
 
 @query("v2_goal_values", f"""

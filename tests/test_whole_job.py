@@ -29,3 +29,9 @@ def test_reachability_classes_of_deep_functions(spark, tmp_path):
 def test_reachability_of_deep_functions(spark, tmp_path):
     calls(spark, tmp_path, [*chain("d", 17), ("d17", "d3", "direct")])
     assert run(spark, tmp_path, "g2_reachability") == sorted(((f"d{i}", i) for i in range(18)), key=str)
+
+
+def test_nearest_ancestor_far_above(spark, tmp_path):
+    calls(spark, tmp_path, [*chain("d", 30), ("d0", "x", "callback"), ("d14", "y", "callback"), ("d30", "d0", "direct")])
+    want = [(f"d{i}", "d0" if i < 14 else "d14", i if i < 14 else i - 14) for i in range(31)]
+    assert run(spark, tmp_path, "g20_nearest_ancestor") == sorted(want, key=str)
