@@ -671,7 +671,7 @@ SELECT start, at_node AS "end", array_to_string(p, '/') AS path, len(p) - 1 AS l
 def g5_simple_paths(spark, d):
     e = _edges(spark, d, ("direct", "external_call"))
     ends = table(spark, d, "graph_functions").where("is_library_api and name = 'rtx_open'").select(F.col("id").alias("node"))
-    return G.simple_paths(e, "source", "target", G.roots(e, "source", "target"), ends, 7).withColumn("length", F.col("length").cast("bigint"))
+    return G.simple_paths(e, "source", "target", G.roots(e, "source", "target"), ends, 13).withColumn("length", F.col("length").cast("bigint"))
 
 
 @query("g10_layers", f"""

@@ -35,3 +35,12 @@ def test_nearest_ancestor_far_above(spark, tmp_path):
     calls(spark, tmp_path, [*chain("d", 30), ("d0", "x", "callback"), ("d14", "y", "callback"), ("d30", "d0", "direct")])
     want = [(f"d{i}", "d0" if i < 14 else "d14", i if i < 14 else i - 14) for i in range(31)]
     assert run(spark, tmp_path, "g20_nearest_ancestor") == sorted(want, key=str)
+
+
+def test_paths_of_thirteen_nodes(spark, tmp_path):
+    edges = [*chain("a", 12), *chain("b", 13), ("a12", "end", "external_call"), ("a1", "end", "direct"), ("b12", "end", "external_call"), ("a11", "end", "direct")]
+    calls(spark, tmp_path, edges)
+    spark.createDataFrame([("end", "rtx_open", True)], "id string, name string, is_library_api boolean").write.parquet(f"{tmp_path}/graph_functions.parquet")
+    got = [(r[0], r[3]) for r in run(spark, tmp_path, "g5_simple_paths")]
+    # by a12 and by b12 a path has 14 nodes
+    assert sorted(got) == [("a0", 2), ("a0", 12)]
