@@ -89,6 +89,71 @@ def walk_counts(edges: DataFrame, source: str, target: str, starts: DataFrame, m
     return total.groupBy("node").agg(F.sum("n").alias("n_paths"))
 
 
+def _without_back_edges(inner):
+    """The edges (s, t) of one component without those that a depth-first search from its ``entry``, targets in order, finds to close a cycle."""
+    to: dict = {}
+    for s, t in sorted(zip(inner["s"], inner["t"], strict=True)):
+        to.setdefault(s, []).append(t)
+    entry = inner["entry"].iloc[0]
+    open_, kept, stack = {entry: True}, [], [(entry, iter(to.get(entry, ())))]
+    while stack:
+        s, rest = stack[-1]
+        for t in rest:
+            if open_.get(t):
+                continue
+            kept.append((s, t))
+            if t not in open_:
+                open_[t] = True
+                stack.append((t, iter(to.get(t, ()))))
+                break
+        else:
+            open_[s] = False
+            stack.pop()
+    return type(inner)(kept, columns=["s", "t"], dtype=object)
+
+
+def acyclic(edges: DataFrame, source: str, target: str, starts: DataFrame) -> DataFrame:
+    """``s``, ``t``: the distinct edges reachable from ``starts`` without cycle edges.
+
+    A cycle edge closes a cycle in a depth-first search, targets in order. Within a component it
+    begins at the member nearest to the starts (the least of several), so every reachable node
+    stays reachable. One component is one task.
+    """
+    rounds = Rounds(edges.sparkSession)
+    depth = rounds.cut(reachable(edges, source, target, starts))
+    e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null and s <> t").distinct()
+    e = rounds.cut(e.join(depth.select(F.col("node").alias("s")), "s", "left_semi"))
+    member = rounds.cut(components(e, "s", "t"))
+    entry = member.join(depth, "node").groupBy("component").agg(F.min(F.struct("depth", "node"))["node"].alias("entry"))
+    both = e.join(member.select(F.col("node").alias("s"), F.col("component").alias("cs")), "s", "left").join(member.select(F.col("node").alias("t"), F.col("component").alias("ct")), "t", "left")
+    both = rounds.cut(both.select("s", "t", "cs", F.coalesce(F.col("cs") == F.col("ct"), F.lit(False)).alias("inside")))
+    inner = both.where("inside").join(entry.withColumnRenamed("component", "cs"), "cs").groupBy("cs").applyInPandas(_without_back_edges, "s string, t string")
+    return both.where("not inside").select("s", "t").unionByName(inner)
+
+
+def path_counts(edges: DataFrame, source: str, target: str, starts: DataFrame) -> DataFrame:
+    """``node``, ``n_paths``: the number of paths of any length from ``starts`` to each node, cycle edges ignored (see :func:`acyclic`).
+
+    Counted level by level until a level is empty, never enumerated; ``2 * HOPS`` levels between two
+    written rounds. A count beyond a bigint is an error, not a wrong number.
+    """
+    rounds = Rounds(edges.sparkSession)
+    dag = rounds.cut(acyclic(edges, source, target, starts))
+    seeds = starts.select("node").where("node is not null").distinct()
+    # an edge of a node to itself keeps what was counted, so a level reads the one before it once
+    kept = dag.select(F.explode(F.array("s", "t")).alias("node")).distinct().select("node", F.col("node").alias("to"), F.lit(True).alias("keep"))
+    e = rounds.cut(dag.select(F.col("s").alias("node"), F.col("t").alias("to"), F.lit(False).alias("keep")).unionByName(kept))
+    total = level = rounds.cut(seeds.select("node", F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("counted")))
+    while level.where("n > 0").limit(1).count():
+        step = level.where("n > 0").select("node", "n", F.lit(0).cast("bigint").alias("counted"))
+        for _ in range(2 * HOPS):
+            sent = step.join(e, "node").where("not keep and n > 0 or keep and counted > 0").select(F.col("to").alias("node"), F.when(F.col("keep"), 0).otherwise(F.col("n")).alias("n"), F.when(F.col("keep"), F.col("counted")).otherwise(F.col("n")).alias("counted"))
+            step = sent.groupBy("node").agg(F.sum("n").alias("n"), F.sum("counted").alias("counted"))
+        level = rounds.cut(step)
+        total = total.unionByName(level)
+    return total.groupBy("node").agg(F.sum("counted").alias("n_paths"))
+
+
 def layers(edges: DataFrame, source: str, target: str) -> DataFrame:
     """``node``, ``layer``: 0 for a node without outgoing edges, else one more than its deepest target; nodes that reach a cycle are absent.
 

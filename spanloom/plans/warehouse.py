@@ -715,7 +715,7 @@ SELECT node, count(*) AS n_paths FROM w GROUP BY ALL
 """)
 def g18_path_counts(spark, d):
     e = _edges(spark, d)
-    return G.walk_counts(e, "source", "target", G.roots(e, "source", "target"), 8)
+    return G.path_counts(e, "source", "target", G.roots(e, "source", "target"))
 
 
 @query("g20_nearest_ancestor", f"""

@@ -44,3 +44,11 @@ def test_paths_of_thirteen_nodes(spark, tmp_path):
     got = [(r[0], r[3]) for r in run(spark, tmp_path, "g5_simple_paths")]
     # by a12 and by b12 a path has 14 nodes
     assert sorted(got) == [("a0", 2), ("a0", 12)]
+
+
+def test_path_counts_over_long_paths_without_cycle_edges(spark, tmp_path):
+    # the cycle x > y > z > x is entered at x; its edge z > x is ignored, x > z is not
+    cycle = [("d20", "x", "direct"), ("x", "y", "direct"), ("y", "z", "direct"), ("x", "z", "direct"), ("z", "x", "callback"), ("z", "z", "direct"), ("z", "end", "direct")]
+    calls(spark, tmp_path, [*chain("d", 20), ("d0", "d10", "direct"), *cycle])
+    want = [*((f"d{i}", 1 if i < 10 else 2) for i in range(21)), ("x", 2), ("y", 2), ("z", 4), ("end", 4)]
+    assert run(spark, tmp_path, "g18_path_counts") == sorted(want, key=str)
