@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRODUCERS = ("ADDQUE", "WRITE", "WRITEREC", "UPDATEREC", "FWRITE")
 CONSUMERS = ("DELQUE", "READ", "GETREC")
+WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|\d+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Kana, ideographs and half-width kana.
+CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff66-\uff9f]+")
 
 
 def c_int(text: Column) -> Column:
@@ -72,17 +80,24 @@ def signature(source: Column) -> Column:
     return F.when(F.size(lines) > 0, F.trim(lines[0]))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case identifiers and numbers of a text."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"), F.lit(1)), F.lower)
+def whole_tokens(text: str | None) -> list[str]:
+    """The tokens of a text after NFKC: identifiers with their snake and camel parts, numbers, and character bigrams of CJK runs, lower case."""
+    plain, out = unicodedata.normalize("NFKC", text or ""), []
+    for match in WORD.finditer(plain):
+        word = match.group().strip("_")
+        if not word:
+            continue
+        parts = [p for piece in word.split("_") for p in CAMEL.split(piece) if p]
+        out += [x.lower() for x in ([word, *parts] if len(parts) > 1 else [word])]
+    for run in CJK.findall(plain):
+        out += [run[i : i + 2] for i in range(max(len(run) - 1, 1))]
+    return out
 
 
-def identifier_tokens(text: Column) -> Column:
-    """Whole identifiers and, where there are several, their snake and camel parts, lower case."""
-    whole = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"), F.lit(1))
+def tokens(text: Column) -> Column:
+    """:func:`whole_tokens` of a column, in Arrow batches."""
 
-    def parts(x: Column) -> Column:
-        ps = F.regexp_extract_all(x, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"), F.lit(1))
-        return F.when(F.size(ps) > 1, F.concat(F.array(x), ps)).otherwise(F.array(x))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(whole_tokens)
 
-    return F.transform(F.flatten(F.transform(whole, parts)), F.lower)
+    return F.pandas_udf(split, "array<string>")(text)

@@ -14,6 +14,7 @@ from spanloom.operators import aggregates as A
 from spanloom.operators import graph as G
 from spanloom.operators import joins as J
 from spanloom.operators import retrieval as R
+from spanloom.session import Rounds
 from spanloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -776,14 +777,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_i
 """
 
 
-def _bm25(spark, d):
+def _bm25(spark, posts):
     asked = spark.createDataFrame(list(ASKED), "query string, token string")
-    return R.bm25(_posts(spark, d), "doc_id", asked).withColumn("score", F.round("score", 6))
+    return R.bm25(posts, "doc_id", asked).withColumn("score", F.round("score", 6))
 
 
 @query("r3_bm25_topk", BM25_SQL + "SELECT query, doc_id, score, rank FROM k WHERE rank <= 20")
 def r3_bm25_topk(spark, d):
-    return R.top(_bm25(spark, d), ["query"], [F.desc("score"), F.col("doc_id")], 20)
+    # written once: the sizes, the frequencies and the scores all read the postings
+    return R.top(_bm25(spark, Rounds(spark).cut(_posts(spark, d))), ["query"], [F.desc("score"), F.col("doc_id")], 20)
 
 
 DENSE_SQL = """
@@ -816,9 +818,10 @@ l AS (SELECT q.query, p.doc_id, row_number() OVER (PARTITION BY q.query ORDER BY
 SELECT query, doc_id, round(sum(w), 9) AS score, count(*) AS lanes FROM (SELECT query, doc_id, 1.0 / (60 + rank) AS w FROM k WHERE rank <= 50 UNION ALL SELECT query, doc_id, 0.5 / (60 + rank) FROM l WHERE rank <= 50) GROUP BY ALL
 """)
 def r6_rank_fusion(spark, d):
-    one = R.top(_bm25(spark, d), ["query"], [F.desc("score"), F.col("doc_id")], 50)
+    posts = Rounds(spark).cut(_posts(spark, d))
+    one = R.top(_bm25(spark, posts), ["query"], [F.desc("score"), F.col("doc_id")], 50)
     asked = spark.createDataFrame(list(ASKED), "query string, token string")
-    tf = _posts(spark, d).join(asked, "token").groupBy("query", "doc_id").agg(F.sum("tf").alias("tf"))
+    tf = posts.join(asked, "token").groupBy("query", "doc_id").agg(F.sum("tf").alias("tf"))
     two = R.top(tf, ["query"], [F.desc("tf"), F.col("doc_id")], 50)
     return R.fused([(one, 1.0), (two, 0.5)], ["query", "doc_id"]).withColumn("score", F.round("score", 9))
 

@@ -1,5 +1,8 @@
 """Queries over small tables that reach beyond what they were once cut at."""
 
+from collections import Counter
+from math import log
+
 import __spark_entry__ as entry
 
 
@@ -52,3 +55,38 @@ def test_path_counts_over_long_paths_without_cycle_edges(spark, tmp_path):
     calls(spark, tmp_path, [*chain("d", 20), ("d0", "d10", "direct"), *cycle])
     want = [*((f"d{i}", 1 if i < 10 else 2) for i in range(21)), ("x", 2), ("y", 2), ("z", 4), ("end", 4)]
     assert run(spark, tmp_path, "g18_path_counts") == sorted(want, key=str)
+
+
+TOKENS = {
+    1: ("tank_level alarm", ["tank_level", "tank", "level", "alarm"]),
+    2: ("ＡＬＡＲＭ queue ４２", ["alarm", "queue", "42"]),
+    3: ("readTank2Level(__x__, HTTPServer)", ["readtank2level", "read", "tank2", "level", "x", "httpserver"]),
+    4: ("ﾎﾟﾝﾌﾟ停止 水 level", ["level", "ポン", "ンプ", "プ停", "停止", "水"]),
+    5: ("alarmQueue alarm", ["alarmqueue", "alarm", "queue", "alarm"]),
+    6: ("Unknown __ ?", ["unknown"]),
+}
+
+
+def test_retrieval_over_whole_tokens(spark, tmp_path):
+    docs = [*((k, text) for k, (text, _) in TOKENS.items()), (7, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bags = {k: Counter(ts) for k, (_, ts) in TOKENS.items()}
+    df, cf = Counter(t for b in bags.values() for t in b), sum(bags.values(), Counter())
+    assert run(spark, tmp_path, "r2_document_frequency") == sorted(((t, df[t], cf[t]) for t in df), key=str)
+
+    mean = sum(cf.values()) / len(bags)
+    want = []
+    for query, asked in (("q1", ("alarm", "queue")), ("q2", ("tank", "level", "unknown"))):
+        scores = {}
+        for k, bag in bags.items():
+            for t in asked:
+                if bag[t]:
+                    idf = log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5))
+                    scores[k] = scores.get(k, 0) + idf * bag[t] * 2.4 / (bag[t] + 1.4 * (0.28 + 0.72 * bag.total() / mean))
+        best = sorted(scores, key=lambda k: (-round(scores[k], 6), k))
+        want += [(query, k, round(scores[k], 6), i) for i, k in enumerate(best, 1)]
+    got = {(r["query"], r["doc_id"]): (r["score"], r["rank"]) for r in entry.queries()["r3_bm25_topk"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(q, k) for q, k, _, _ in want}
+    assert all(abs(got[q, k][0] - s) < 2e-6 and got[q, k][1] == i for q, k, s, i in want)
+    fused = entry.queries()["r6_rank_fusion"](spark, str(tmp_path))
+    assert {(r["query"], r["doc_id"]) for r in fused.collect()} == {(q, k) for q, k, _, _ in want}
