@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,17 +49,30 @@ def latest_by_stream(spark: SparkSession, path: str, schema: StructType, keys: l
     return spark.read.parquet(state["generation"])
 
 
-def windowed_counts(spark: SparkSession, path: str, schema: StructType, at: str, group: str, width: str = "1 hour", late: str = "7 days") -> DataFrame:
-    """Rows per tumbling window and group of a stream with a watermark, collected in a table; an extension for event tables."""
+def windowed_counts(spark: SparkSession, path: str, schema: StructType, at: str, group: str, width: str = "1 hour", files_per_batch: int = 64) -> DataFrame:
+    """Rows per tumbling window and group of the files under ``path``, read as a stream until none is left; an extension for event tables.
+
+    The table is finite, so no watermark drops late rows: the counts of each micro batch are added to
+    those of the batches before it, and generations are written as by :func:`latest_by_stream`.
+    """
     root = shared_path(spark, "windows")
-    stream = file_stream(spark, path, schema, 64).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    counts = stream.groupBy(F.window(at, width), group).agg(F.count(F.lit(1)).alias("n"))
+    state = {"generation": None}
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("window_start"), group, "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{root}/out/b={number}")
+    def counted(df: DataFrame) -> DataFrame:
+        rows = df.groupBy(F.window(F.col(at).cast("timestamp"), width), group).agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(F.col("window.start").alias("window_start"), group, "n")
 
-    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    def fold(batch: DataFrame, number: int) -> None:
+        rows = counted(batch)
+        if state["generation"]:
+            rows = spark.read.parquet(state["generation"]).unionByName(rows).groupBy("window_start", group).agg(F.sum("n").alias("n"))
+        target = f"{root}/state-{number}"
+        rows.write.mode("overwrite").parquet(target)
+        state["generation"] = target
+
+    stream = file_stream(spark, path, schema, files_per_batch)
+    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.parquet(f"{root}/out")
-    w = Window.partitionBy("window_start", group).orderBy(F.desc("batch"))
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("window_start", group, "n")
+    if state["generation"] is None:
+        return counted(spark.createDataFrame([], schema))
+    return spark.read.parquet(state["generation"])

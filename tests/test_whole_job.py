@@ -1,8 +1,13 @@
 """Queries over small tables that reach beyond what they were once cut at."""
 
+import os
 from collections import Counter
+from datetime import datetime
 from math import log
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 import __spark_entry__ as entry
 
 
@@ -90,3 +95,16 @@ def test_retrieval_over_whole_tokens(spark, tmp_path):
     assert all(abs(got[q, k][0] - s) < 2e-6 and got[q, k][1] == i for q, k, s, i in want)
     fused = entry.queries()["r6_rank_fusion"](spark, str(tmp_path))
     assert {(r["query"], r["doc_id"]) for r in fused.collect()} == {(q, k) for q, k, _, _ in want}
+
+
+def test_event_windows_of_rows_in_late_files(spark, tmp_path):
+    # micro batches of 64, 64 and 1 files: the last file is 20 days older than the others, and has a row of their hour too
+    old, new = datetime(2024, 1, 1, 5), datetime(2024, 1, 21, 5)
+    files = [[(new.replace(minute=i % 60), "a")] for i in range(128)] + [[(old, "a"), (old, "a"), (old, "b"), (new, "a")]]
+    path = tmp_path / "events.parquet"
+    path.mkdir()
+    for i, rows in enumerate(files):
+        times, kinds = zip(*rows, strict=True)
+        pq.write_table(pa.table({"ts": pa.array(times, pa.timestamp("us", "UTC")), "event_type": list(kinds)}), path / f"{i}.parquet")
+        os.utime(path / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    assert run(spark, tmp_path, "t5_event_windows") == sorted([(old, "a", 2), (old, "b", 1), (new, "a", 129)], key=str)
