@@ -189,9 +189,11 @@ SELECT process_name, p || '|' || q AS pair FROM (SELECT process_name, unnest(a)
 """)
 def j15_bounded_product(spark, d):
     clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
-    x = table(spark, d, "preprocessor_configs").select("process_name", F.slice(clean(F.col("defines")), 1, 8).alias("a"), F.slice(clean(F.col("undefines")), 1, 4).alias("b"))
+    x = table(spark, d, "preprocessor_configs").select("process_name", clean(F.col("defines")).alias("a"), clean(F.col("undefines")).alias("b"))
     pairs = F.flatten(F.transform("a", lambda p: F.transform(F.col("b"), lambda q: F.concat(p, F.lit("|"), q))))
-    return x.select("process_name", F.explode(pairs).alias("pair"))
+    # a product of more than 32 is unknown, one row without a pair; it is never cut
+    unknown = F.array(F.lit(None).cast("string"))
+    return x.select("process_name", F.explode(F.when(F.size("a") * F.size("b") > 32, unknown).otherwise(pairs)).alias("pair"))
 
 
 SCAN_FLOW = f"""

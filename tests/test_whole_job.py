@@ -108,3 +108,11 @@ def test_event_windows_of_rows_in_late_files(spark, tmp_path):
         pq.write_table(pa.table({"ts": pa.array(times, pa.timestamp("us", "UTC")), "event_type": list(kinds)}), path / f"{i}.parquet")
         os.utime(path / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     assert run(spark, tmp_path, "t5_event_windows") == sorted([(old, "a", 2), (old, "b", 1), (new, "a", 129)], key=str)
+
+
+def test_products_are_whole_or_unknown(spark, tmp_path):
+    a, b = [f"D{i}" for i in range(9)], [f"U{i}" for i in range(5)]
+    rows = [("wide", a, b[:2]), ("deep", a[:6], b), ("bound", a[:8], b[:4]), ("over", a, b[:4]), ("none", a, None)]
+    spark.createDataFrame(rows, "process_name string, defines array<string>, undefines array<string>").write.parquet(f"{tmp_path}/preprocessor_configs.parquet")
+    want = [(k, f"{x}|{y}") for k, xs, ys in rows[:3] for x in xs for y in ys]
+    assert run(spark, tmp_path, "j15_bounded_product") == sorted([*want, ("over", None)], key=str)
