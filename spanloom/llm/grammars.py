@@ -1,4 +1,4 @@
-"""Recognisers of balanced statements: C declarations and statements, JSON values, Python blocks.
+"""Recognisers of balanced statements: C declarations and statements, Python blocks.
 
 They say whether a token stream is valid, nothing more; names are not looked up. An identifier is
 taken as a type name wherever a declaration needs one.
@@ -7,11 +7,11 @@ taken as a type name wherever a declaration needs one.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import sys
 import warnings
-
-from spanloom.llm.lexing import PY_CLOSE, PY_DOUBLE, PY_SINGLE
+from collections.abc import Iterable
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
 
@@ -25,6 +25,8 @@ PREFIX = frozenset(("++", "--", "&", "*", "+", "-", "~", "!", "__extension__"))
 BINARY = frozenset("* / % + - << >> < > <= >= == != & ^ | && || = *= /= %= += -= <<= >>= &= ^= |=".split())
 OPERAND = frozenset(("i", "n", "s", "c", "~", "!", "sizeof", "_Alignof"))
 END = "\x00"
+#: So many verdicts on statements are kept in a task.
+KNOWN = 200_000
 
 
 class Fault(Exception):
@@ -562,95 +564,87 @@ class CParser:
             raise Fault
 
 
-JSON_TOKEN = re.compile(
-    r"""[ \t\n\r]*(?:(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<v>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<p>[\[\]{},:]))"""
-)
-JSON_BLANK = re.compile(r"[ \t\n\r]*\Z")
+#: A function's body can't be followed by these; after anything else it ends its declaration.
+CONTINUES = frozenset((";", ",", "=", "(", ")", "[", "]", ".", "->", "?", ":", "}"))
 
 
-def json_valid(text: str) -> bool:
-    """Whether ``text`` is one JSON value, by a bracket stack: nesting of any depth, no recursion."""
-    at, n = 0, len(text)
-    stack: list[str] = []
-    want = "value"  # value, first (value or close), key, first-key (key or close), colon, after
-    while True:
-        if JSON_BLANK.match(text, at):
-            return want == "after" and not stack
-        m = JSON_TOKEN.match(text, at)
-        if not m or want == "after" and not stack:
-            return False
-        at = m.end()
-        tok = m["p"]
-        if want in ("key", "first-key"):
-            if m["s"]:
-                want = "colon"
-            elif want == "first-key" and tok == "}":
-                stack.pop()
-                want = "after"
-            else:
-                return False
-        elif want == "colon":
-            if tok != ":":
-                return False
-            want = "value"
-        elif want == "after":
-            if tok == ",":
-                want = "key" if stack[-1] == "{" else "value"
-            elif tok == "}" and stack[-1] == "{" or tok == "]" and stack[-1] == "[":
-                stack.pop()
-            else:
-                return False
-        elif tok == "{":
-            stack.append("{")
-            want = "first-key"
-        elif tok == "[":
-            stack.append("[")
-            want = "first"
-        elif tok == "]" and want == "first":
-            stack.pop()
-            want = "after"
-        elif tok is None:
-            want = "after"
+def c_statements(tokens: list[str]) -> list[list[str]]:
+    """Balanced C tokens cut into statements: after each body of a function at depth 0.
+
+    A brace at depth 0 opens a body if it follows ``)``, but not an attribute's, or the ``;`` of an
+    old-style parameter, and what follows it can't go on with an expression. Other declarations stay
+    with the body after them.
+    """
+    out, start, depth, body, n = [], 0, 0, False, len(tokens)
+    opened: list[int] = []
+    before: int | None = None  # where the parenthesis closed last at depth 0 began
+    for k, t in enumerate(tokens):
+        if t in "([{" and len(t) == 1:
+            if not depth and t == "{":
+                last = tokens[k - 1] if k > start else ""
+                body = last == ";" or last == ")" and before is not None and (before == 0 or tokens[before - 1] != "__attribute__")
+            opened.append(k)
+            depth += 1
+        elif t in ")]}" and len(t) == 1:
+            depth -= 1
+            if not opened:
+                return [tokens]
+            k0 = opened.pop()
+            if not depth:
+                before = k0 if t == ")" else None
+                if t == "}" and body and (k + 1 == n or tokens[k + 1] not in CONTINUES):
+                    out.append(tokens[start : k + 1])
+                    start = k + 1
+    if start < n:
+        out.append(tokens[start:])
+    return out
+
+
+def c_valid(tokens: list[str], known: dict[bytes, bool] | None = None) -> bool:
+    """Whether balanced tokens are a translation unit, each statement parsed by itself. ``known`` keeps verdicts, as functions repeat."""
+    for piece in c_statements(tokens):
+        if known is None:
+            ok = CParser(piece).unit()
         else:
+            key = hashlib.blake2b(" ".join(piece).encode(), digest_size=16).digest()
+            ok = known.get(key)
+            if ok is None:
+                if len(known) >= KNOWN:
+                    known.clear()
+                ok = known[key] = CParser(piece).unit()
+        if not ok:
             return False
+    return True
 
 
-PY_SCAN = re.compile(r"""\#[^\n]*|'{3}|"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[()\[\]{}]|\\\n|\n(?=[^\s#])""", re.S)
 PY_GOES_ON = re.compile(r"(?:else|elif|except|finally|case)\b|[)\]}]")
 
 
-def py_blocks(text: str) -> list[str]:
-    """Python text cut into its top-level statements: before lines at column 0 outside brackets and strings.
+def py_statements(text: str, lines: Iterable[tuple[int, int]]) -> list[str]:
+    """Python text cut into its top-level statements: before those of ``lines`` (offset, depth) that have depth 0.
 
     Lines that go on with a compound statement stay with it, decorators with what they decorate.
     """
-    cuts, at, depth = [0], 0, 0
-    decorated = text[:1] == "@"
-    while m := PY_SCAN.search(text, at):
-        x, at = m[0], m.end()
-        if x in ("'''", '"""'):
-            close = PY_CLOSE[PY_SINGLE if x[0] == "'" else PY_DOUBLE].match(text, at)
-            if not close:
-                break
-            at = close.end()
-        elif x in "([{":
-            depth += 1
-        elif x in ")]}":
-            depth = max(0, depth - 1)
-        elif x == "\n" and not depth:
+    cuts, decorated = [0], text[:1] == "@"
+    for at, depth in lines:
+        if at and not depth:
             if not decorated and not PY_GOES_ON.match(text, at):
                 cuts.append(at)
             decorated = text[at] == "@"
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
-def py_valid(text: str) -> bool:
-    """Whether ``text`` is valid Python 3, each top-level statement judged by itself."""
+def py_parses(text: str) -> bool:
+    """Whether the Python grammar takes ``text``. What only the compiler rejects, as a return outside a function, is no fault of syntax here."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            for block in py_blocks(text):
-                ast.parse(block)
+            ast.parse(text)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return False
     return True
+
+
+def py_valid(text: str, lines: Iterable[tuple[int, int]]) -> bool:
+    """Whether ``text`` is valid Python 3: each statement by itself, and the whole where one fails, as strings may nest in ways the lexer doesn't follow."""
+    return all(py_parses(s) for s in py_statements(text, lines)) or py_parses(text)

@@ -1,20 +1,24 @@
 """Lexers of C, Python and JSON that start in any state, and their state maps.
 
 A text is cut into chunks after line ends (never after a backslash before one). For each chunk, the
-state map says in which state it ends for every state it may start in; maps compose associatively,
-so a huge text's chunks are mapped in parallel and their start states follow by a prefix product.
+state map says in which state it ends for every state it may start in, and with what codes; maps
+compose associatively, so chunks are mapped without knowing what stands before them, and their start
+states follow by a prefix product.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 CODE = 0
 #: C: in a block comment that began after code, in a directive line, or with nothing before it on its line.
 C_BLOCK, C_BLOCK_DIRECTIVE, C_BLOCK_FRESH = 1, 2, 3
 #: Python: in a triple-quoted string of either quote, plain or raw.
 PY_SINGLE, PY_DOUBLE = 1, 2
-STATES = {"c": 4, "py": 3, "json": 1}
+#: JSON: in a string.
+JSON_STRING = 1
+STATES = {"c": 4, "py": 3, "json": 2}
 
 
 def unify(text: str) -> str:
@@ -114,8 +118,10 @@ def py_end_state(chunk: str, state: int) -> int:
 def state_map(lang: str, chunk: str) -> tuple[int, ...]:
     """The end state of ``chunk`` for each state it may start in."""
     if lang == "json":
-        return (CODE,)
+        return tuple(end for end, _ in json_map(chunk))
     end = c_end_state if lang == "c" else py_end_state
+    if (lang == "c" and "*/" not in chunk) or (lang == "py" and "'''" not in chunk and '"""' not in chunk):
+        return (end(chunk, CODE), *range(1, STATES[lang]))
     return tuple(end(chunk, s) for s in range(STATES[lang]))
 
 
@@ -180,11 +186,7 @@ def _directive(line: str) -> str | None:
 
 
 def _directive_line(text: str, at: int) -> tuple[str, int, bool]:
-    """(the directive's text from ``at`` on without comments, where its line ends, whether a comment in it doesn't end).
-
-    A condition that follows such a comment in the next chunk is not seen; the directive then
-    counts as one on no symbol.
-    """
+    """(the directive's text from ``at`` on without comments, where its line ends, whether a comment in it doesn't end)."""
     parts = []
     while True:
         end = text.find("\n", at)
@@ -205,38 +207,59 @@ def _directive_line(text: str, at: int) -> tuple[str, int, bool]:
         at = close + 2
 
 
-def c_tokens(chunk: str, state: int = CODE) -> tuple[list[str], int]:
-    """(codes, end state). Codes: i identifier, n number, s string, c character, X no token, ``#...`` conditional directives, else the token itself."""
-    text, at, out = splice(chunk), 0, []
-    fresh, n = state in (CODE, C_BLOCK_FRESH), len(text)
-    if state:
-        at = text.find("*/")
-        if at < 0:
-            return out, state
-        at += 2
-        if state == C_BLOCK_DIRECTIVE:
-            _, at, open_ = _directive_line(text, at)
-            if open_:
-                return out, state
-    match = C_TOKEN.match
+#: Marks of a directive that a comment carries over the end of a chunk: it begins, goes on, ends. Its text follows, without blanks.
+BEGINS, GOES_ON, ENDS = "#<", "#=", "#>"
+
+
+def _carried(mark: str, text: str) -> str:
+    return mark + re.sub(r"[ \t\f\v]", "\x1f", text)
+
+
+def settled(tokens: Iterable[str]) -> Iterator[str]:
+    """Tokens with the directives that chunks share put together."""
+    text = ""
+    for t in tokens:
+        mark = t[:2]
+        if mark == BEGINS:
+            text = t[2:]
+        elif mark == GOES_ON:
+            text += "\x1f" + t[2:]
+        elif mark == ENDS:
+            if whole := _directive((text + "\x1f" + t[2:]).replace("\x1f", " ")):
+                yield whole
+        else:
+            yield t
+
+
+def _c_lex(text: str, at: int, fresh: bool, out: list[str]) -> tuple[int, tuple[int, int] | None]:
+    """Append the codes of ``text`` from ``at`` on; (end state, (where the first block comment ends, codes up to there)).
+
+    ``fresh``: nothing stands before on the line, so that # begins a directive.
+    """
+    match, n, first = C_TOKEN.match, len(text), None
     while at < n:
         m = match(text, at)
         kind, at = m.lastgroup, m.end()
-        if kind == "ws" or kind == "line" or kind == "block":
+        if kind == "ws" or kind == "line":
             continue
         if kind == "nl":
             fresh = True
             continue
+        if kind == "block":
+            first = first or (at, len(out))
+            continue
         if kind == "open":
-            return out, C_BLOCK_FRESH if fresh else C_BLOCK
+            return C_BLOCK_FRESH if fresh else C_BLOCK, first
         if kind == "hash" and fresh:
             line, at, open_ = _directive_line(text, at)
             if m[0] == "##":
                 out.append("X")
-            elif mark := _directive(line):
-                out.append(mark)
+                line = "##"
             if open_:
-                return out, C_BLOCK_DIRECTIVE
+                out.append(_carried(BEGINS, line))
+                return C_BLOCK_DIRECTIVE, first
+            if mark := _directive(line):
+                out.append(mark)
             continue
         fresh = False
         if kind == "id":
@@ -252,7 +275,164 @@ def c_tokens(chunk: str, state: int = CODE) -> tuple[list[str], int]:
             out.append("c")
         else:
             out.append("X")
-    return out, CODE
+    return CODE, first
+
+
+def c_map(chunk: str) -> list[tuple[int, list[str]]]:
+    """For each state ``chunk`` may start in: (end state, codes).
+
+    Codes: i identifier, n number, s string, c character, X no token, ``#...`` conditional
+    directives, else the token itself. What follows the first end of a comment is the same for all
+    states but the rest of its line, so it is read once.
+    """
+    text = splice(chunk)
+    close = text.find("*/") + 2
+    code: list[str] = []
+    end, first = _c_lex(text, 0, True, code)
+    if close < 2:
+        return [(end, code), *((s, []) for s in (C_BLOCK, C_BLOCK_DIRECTIVE, C_BLOCK_FRESH))]
+    directive = BLANKS.match(text, close).end()
+    directive = text[directive : directive + 1] == "#"
+    if first and first[0] == close and not directive:
+        block = (end, code[first[1] :])
+    else:
+        rest: list[str] = []
+        block = (_c_lex(text, close, False, rest)[0], rest)
+    line, at, open_ = _directive_line(text, close)
+    if open_:
+        inside = (C_BLOCK_DIRECTIVE, [_carried(GOES_ON, line)])
+    elif not line.strip():
+        inside = (block[0], [_carried(ENDS, line), *block[1]])
+    else:
+        rest = [_carried(ENDS, line)]
+        inside = (_c_lex(text, at, False, rest)[0], rest)
+    fresh = block
+    if directive:
+        rest = []
+        fresh = (_c_lex(text, close, True, rest)[0], rest)
+    return [(end, code), block, inside, fresh]
+
+
+def c_tokens(chunk: str, state: int = CODE) -> tuple[list[str], int]:
+    """(codes, end state) of ``chunk`` from ``state`` on (see :func:`c_map`)."""
+    end, codes = c_map(chunk)[state]
+    return codes, end
+
+
+JSON_CUT = re.compile(r"[,:\[\]{}\n]")
+JSON_TOKEN = re.compile(r"""[ \t\n\r]*(?:(?P<q>")|(?P<v>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<p>[\[\]{},:]))""")
+JSON_REST = re.compile(r"""(?:[^"\\\x00-\x1f]+|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*""")
+JSON_BLANK = re.compile(r"[ \t\n\r]*\Z")
+JSON_LIST, JSON_PAIRS = re.compile(r"(?:[sv](?:,[sv])*)?"), re.compile(r"(?:s:[sv](?:,s:[sv])*)?")
+BLANKS = re.compile(r"[ \t\f\v]*")
+
+
+def json_chunks(text: str, size: int) -> list[str]:
+    """``text`` in pieces of about ``size`` characters, cut after line ends and signs, so that only strings are cut in two."""
+    out, start, n = [], 0, len(text)
+    while n - start > size and (m := JSON_CUT.search(text, start + size)):
+        out.append(text[start : m.end()])
+        start = m.end()
+    out.append(text[start:])
+    return out
+
+
+def json_join(tokens: str) -> str:
+    """JSON codes (s string, v other value, X no token, signs) with each whole list and object as v: the local grammar.
+
+    Joining is associative: what is left of a stretch are closers and openers without their partner
+    and what stands between them. X stands for any stretch that is in no valid text.
+    """
+    out: list[str] = []
+    opened: list[int] = []
+    for t in tokens:
+        if t == "X":
+            return "X"
+        if t in "[{":
+            opened.append(len(out))
+        elif t in "]}" and opened:
+            k = opened.pop()
+            inner = "".join(out[k + 1 :])
+            if out[k] + t not in ("[]", "{}") or not (JSON_LIST if t == "]" else JSON_PAIRS).fullmatch(inner):
+                return "X"
+            del out[k:]
+            t = "v"
+        out.append(t)
+    return "".join(out)
+
+
+def json_map(chunk: str) -> list[tuple[int, str]]:
+    """For a chunk that starts outside and one that starts inside a string: (end state, joined codes)."""
+
+    def lex(at: int, inside: bool) -> tuple[int, str]:
+        out: list[str] = []
+        while True:
+            if inside:
+                at = JSON_REST.match(chunk, at).end()
+                if at == len(chunk):
+                    return JSON_STRING, json_join("".join(out))
+                if chunk[at] != '"':
+                    return CODE, "X"
+                out.append("s")
+                at, inside = at + 1, False
+            if JSON_BLANK.match(chunk, at):
+                return CODE, json_join("".join(out))
+            m = JSON_TOKEN.match(chunk, at)
+            if not m:
+                return CODE, "X"
+            at = m.end()
+            if m["q"]:
+                inside = True
+            else:
+                out.append(m["p"] or "v")
+
+    return [lex(0, False), lex(0, True)]
+
+
+PY_SCAN = re.compile(r"""\#[^\n]*|'{3}|"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[()\[\]{}]|\\\n|\n(?=[^\s#])""", re.S)
+#: Closers and openers without their partner in a stretch of Python, and where lines begin at column 0: (offset, closers, openers up to there).
+Depths = tuple[int, int, list[tuple[int, int, int]]]
+
+
+def py_map(chunk: str) -> list[tuple[int, Depths]]:
+    """For each state ``chunk`` may start in: (end state, its bracket summary with the lines that may begin a statement)."""
+
+    def scan(state: int) -> tuple[int, Depths]:
+        at = closed = opened = 0
+        lines: list[tuple[int, int, int]] = []
+        if state == CODE and chunk[:1].strip() and chunk[0] != "#":
+            lines.append((0, 0, 0))
+        while True:
+            if state:
+                m = PY_CLOSE[state].match(chunk, at)
+                if not m:
+                    return state, (closed, opened, lines)
+                at, state = m.end(), CODE
+            m = PY_SCAN.search(chunk, at)
+            if not m:
+                return CODE, (closed, opened, lines)
+            x, at = m[0], m.end()
+            if x in ("'''", '"""'):
+                state = PY_SINGLE if x[0] == "'" else PY_DOUBLE
+            elif x in "([{":
+                opened += 1
+            elif x in ")]}":
+                if opened:
+                    opened -= 1
+                else:
+                    closed += 1
+            elif x == "\n":
+                lines.append((at, closed, opened))
+
+    if "'''" not in chunk and '"""' not in chunk:  # a string goes on through it
+        return [scan(CODE), (PY_SINGLE, (0, 0, [])), (PY_DOUBLE, (0, 0, []))]
+    return [scan(s) for s in range(STATES["py"])]
+
+
+def join_depths(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    """The (closers, openers) of two stretches of Python, one after the other; kinds of brackets are left to the parser."""
+    closed, opened = a
+    return (closed, opened - b[0] + b[1]) if opened >= b[0] else (closed + b[0] - opened, b[1])
 
 
 C_SPAN = re.compile(r"""(?P<line>//(?:\\\n|[^\n])*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<str>(?:\b(?:u8|[uUL]))?"(?:[^"\\\n]|\\.)*"?)|(?P<chr>'(?:[^'\\\n]|\\.)*'?)""", re.S)

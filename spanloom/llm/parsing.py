@@ -1,13 +1,14 @@
 """Source files that do not parse.
 
-A file is cut into chunks; each chunk gives the lexer state it ends in for every state it may
-start in, and maps compose. With its start state known, each chunk turns into a short token stream.
-Conditional directives then pick the stretches of tokens that stay, the stretches' bracket summaries
-are joined, and balanced streams are parsed statement by statement by the grammars.
-
-Contents are read once. Files up to ``split_chars`` characters run through these steps where they
-lie, without a shuffle. Longer ones are spread: their chunks are mapped and tokenised by many tasks
-and only states and token codes meet again.
+A file is cut into chunks. Each chunk is mapped without knowing what stands before it: for every
+state of the lexer it may start in, the state it ends in, its codes and its bracket summary. The maps
+of a file's chunks are reduced by an associative product, first within a task, then by file over the
+partitions. Conditional directives then pick the stretches of C that stay, their bracket summaries
+are joined, and balanced texts are parsed statement by statement by the grammars: a C recogniser, the
+rules of JSON lists and objects (already in the product), and Python's own parser.
+
+All files go this way, whatever their size; contents are read once. Texts beyond ``spread_chars``
+characters are mapped by many tasks.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from spanloom.llm import grammars, lexing
 from spanloom.operators.skew import sized_broadcast
 from spanloom.session import Rounds
 
-LANGUAGES = {".c": "c", ".h": "c", ".py": "py", ".json": "json"}
-CHUNK_CHARS = 32_768
-SPLIT_CHARS = 4_000_000
+CHUNK_CHARS = 1024
+#: Where the chunks of a text are mapped: up to so many characters in the task that read it.
+SPREAD_CHARS = 1_000_000
 
 
 def language_of(path: Column) -> Column:
@@ -39,14 +40,41 @@ def flag_names(flags: Column) -> Column:
     return F.array_distinct(F.filter(F.coalesce(bare, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
 
 
-def keep_branches(tokens: list[str], on: frozenset[str], off: frozenset[str]) -> list[list[str]] | None:
-    """The stretches of tokens that stay; None if conditional directives do not pair.
+#: A stretch of C without directives: (its bracket summary, its codes).
+Stretch = tuple[tuple[str, str] | None, list[str]]
+
+
+def stretches(codes: list[str]) -> list[str | Stretch]:
+    """C codes as conditional directives and the stretches between them, summed up."""
+    out: list[str | Stretch] = []
+    run: list[str] = []
+    for t in codes:
+        if t[0] == "#" and len(t) > 1:
+            if run:
+                out.append((lexing.bracket_summary(run), run))
+                run = []
+            out.append(t)
+        else:
+            run.append(t)
+    if run:
+        out.append((lexing.bracket_summary(run), run))
+    return out
+
+
+def join_stretches(a: list[str | Stretch], b: list[str | Stretch]) -> list[str | Stretch]:
+    """The stretches of two pieces, one after the other; associative."""
+    if a and b and not isinstance(a[-1], str) and not isinstance(b[0], str):
+        return [*a[:-1], (lexing.join_summaries(a[-1][0], b[0][0]), a[-1][1] + b[0][1]), *b[1:]]
+    return a + b
+
+
+def keep_branches(items: list[str | Stretch], on: frozenset[str], off: frozenset[str]) -> list[Stretch] | None:
+    """The stretches that stay; None if conditional directives do not pair.
 
     A condition on a symbol in ``on`` or ``off`` decides; of any other all branches stay. After a
     branch that holds the later ones of its group go.
     """
-    out: list[list[str]] = []
-    run: list[str] = []
+    out: list[Stretch] = []
     stack: list[list] = []  # [outer stretch stays, this branch stays, a branch held, else seen]
     alive = True
 
@@ -56,14 +84,11 @@ def keep_branches(tokens: list[str], on: frozenset[str], off: frozenset[str]) ->
             return None
         return (name in on) == (mark[2] == "+")
 
-    for t in tokens:
-        if t[0] != "#" or t == "#":
+    for t in items:
+        if not isinstance(t, str):
             if alive:
-                run.append(t)
+                out.append(t)
             continue
-        if run:
-            out.append(run)
-            run = []
         kind = t[1]
         if kind == "i":
             h = holds(t)
@@ -84,134 +109,226 @@ def keep_branches(tokens: list[str], on: frozenset[str], off: frozenset[str]) ->
         stays = not top[2] and h is not False
         top[2] = top[2] or (kind == "e" and h is True)
         alive = top[0] and stays
-    if stack:
-        return None
-    if run:
-        out.append(run)
-    return out
+    return None if stack else out
 
 
-def c_tokens_valid(tokens: list[str], defines: frozenset[str], undefines: frozenset[str], fallback: frozenset[str]) -> bool:
-    """Whether the tokens are valid C with the process's symbols, or else with the fallback undefines too."""
+def c_valid(items: list[str | Stretch], defines: frozenset[str], undefines: frozenset[str], fallback: frozenset[str], known: dict[bytes, bool] | None = None) -> bool:
+    """Whether a text's directives and stretches are valid C with the process's symbols, or else with the fallback undefines too."""
     before = None
     for off in (undefines, undefines | (fallback - defines)):
-        kept = keep_branches(tokens, defines, off)
-        if kept is None:
-            return False
-        if kept == before:
+        kept = keep_branches(items, defines, off)
+        if kept is None or kept == before:
             return False
         before = kept
         total: tuple[str, str] | None = ("", "")
-        for run in kept:
-            total = lexing.join_summaries(total, lexing.bracket_summary(run))
+        for summary, _ in kept:
+            total = lexing.join_summaries(total, summary)
             if total is None or total[0]:
                 break
-        if total == ("", "") and grammars.CParser([t for run in kept for t in run]).unit():
+        if total == ("", "") and grammars.c_valid([t for _, run in kept for t in run], known):
             return True
         if off >= fallback - defines:
             return False
     return False
 
 
-def tokens_of(pieces: list[str]) -> list[str] | None:
-    """The token codes of a C text's chunks; None if it ends inside a comment."""
-    states = lexing.start_states([lexing.state_map("c", p) for p in pieces]) if len(pieces) > 1 else [lexing.CODE]
-    out: list[str] = []
-    end = lexing.CODE
-    for piece, state in zip(pieces, states):
-        tokens, end = lexing.c_tokens(piece, state)
-        out += tokens
-    return None if end else out
+class Digest:
+    """The map of a piece of a text: for each state it may start in, what it comes to. ``*`` is the associative product."""
+
+    def __init__(self, lang: str, by_state: list[tuple], text: str = ""):
+        self.lang, self.by_state, self.text = lang, by_state, text
+
+    @classmethod
+    def of(cls, lang: str, chunk: str) -> Digest:
+        if lang == "c":
+            return cls(lang, [(end, stretches(codes)) for end, codes in lexing.c_map(chunk)])
+        if lang == "json":
+            return cls(lang, lexing.json_map(chunk))
+        return cls(lang, lexing.py_map(chunk), chunk)
+
+    def __mul__(self, other: Digest) -> Digest:
+        out = []
+        for end, a in self.by_state:
+            last, b = other.by_state[end]
+            if self.lang == "c":
+                out.append((last, join_stretches(a, b)))
+            elif self.lang == "json":
+                out.append((last, lexing.json_join(a + b)))
+            else:
+                shift = len(self.text)
+                lines = [(shift + at, *lexing.join_depths(a[:2], (c, o))) for at, c, o in b[2]]
+                out.append((last, (*lexing.join_depths(a[:2], b[:2]), a[2] + lines)))
+        return Digest(self.lang, out, self.text + other.text)
+
+    def valid(self, defines: frozenset[str], undefines: frozenset[str], fallback: frozenset[str], known: dict[bytes, bool] | None = None) -> bool:
+        """The verdict on a whole text."""
+        end, what = self.by_state[0]
+        if self.lang == "json":
+            return end == lexing.CODE and what in ("s", "v")
+        if self.lang == "py":
+            if end != lexing.CODE:
+                return grammars.py_parses(self.text)
+            return grammars.py_valid(self.text, [(at, o) for at, _, o in what[2]])
+        if end != lexing.CODE:
+            return False
+        if any(isinstance(x, str) and x[1] in "<=>" for x in what):
+            what = stretches(list(lexing.settled(t for x in what for t in ([x] if isinstance(x, str) else x[1]))))
+        return c_valid(what, defines, undefines, fallback, known)
+
+    def packed(self) -> list[str]:
+        """One text per state."""
+        if self.lang == "json":
+            return [f"{end}\n{codes}" for end, codes in self.by_state]
+        if self.lang == "py":
+            return [f"{end}\n{c} {o}\n" + " ".join(f"{a}:{b}:{d}" for a, b, d in lines) for end, (c, o, lines) in self.by_state]
+        rows = lambda items: (x if isinstance(x, str) else ("!" if x[0] is None else f"{x[0][0]}|{x[0][1]}") + "\t" + " ".join(x[1]) for x in items)
+        return ["\n".join([str(end), *rows(items)]) for end, items in self.by_state]
+
+    @classmethod
+    def unpacked(cls, lang: str, states: list[str], text: str) -> Digest:
+        out = []
+        for s in states:
+            end, *rows = s.split("\n")
+            if lang == "json":
+                out.append((int(end), rows[0]))
+            elif lang == "py":
+                c, o = map(int, rows[0].split(" "))
+                out.append((int(end), (c, o, [tuple(map(int, x.split(":"))) for x in rows[1].split(" ") if x])))
+            else:
+                items = []
+                for r in rows:
+                    summary, tab, codes = r.partition("\t")
+                    items.append((None if summary == "!" else tuple(summary.split("|")), codes.split(" ")) if tab else r)
+                out.append((int(end), items))
+        return cls(lang, out, text)
+
+
+def pieces(lang: str, text: str, size: int | None = None) -> list[str]:
+    """The chunks of a text with line ends unified."""
+    return (lexing.json_chunks if lang == "json" else lexing.chunks)(text, size or CHUNK_CHARS)
+
+
+def product(digests: list[Digest]) -> Digest:
+    """The product of neighbouring pieces, by halves, so that long texts are not copied piece by piece."""
+    while len(digests) > 1:
+        digests = [a * b for a, b in zip(digests[::2], digests[1::2])] + digests[len(digests) // 2 * 2 :]
+    return digests[0]
+
+
+def applied(digests: list[Digest]) -> Digest:
+    """What the product of all pieces of a text comes to from its start on, without the other states."""
+    first = digests[0]
+    lang, (end, what) = first.lang, first.by_state[lexing.CODE]
+    if lang == "py":
+        depth, size = what[:2], len(first.text)
+        lines = list(what[2])
+        for d in digests[1:]:
+            end, (c, o, more) = d.by_state[end]
+            lines += [(size + at, *lexing.join_depths(depth, (x, y))) for at, x, y in more]
+            depth, size = lexing.join_depths(depth, (c, o)), size + len(d.text)
+        return Digest(lang, [(end, (*depth, lines))], "".join(d.text for d in digests))
+    if lang == "json":
+        codes = [what]
+        for d in digests[1:]:
+            end, more = d.by_state[end]
+            codes.append(more)
+        return Digest(lang, [(end, lexing.json_join("".join(codes)) if len(codes) > 1 else what)])
+    items: list[str | Stretch] = []
+    for n, d in enumerate(digests):
+        end, more = d.by_state[end] if n else (end, what)
+        for k, x in enumerate(more):
+            if not k and items and not isinstance(x, str) and not isinstance(items[-1], str):
+                items[-1][1].extend(x[1])
+                items[-1] = (lexing.join_summaries(items[-1][0], x[0]), items[-1][1])
+            else:
+                items.append(x if isinstance(x, str) else (x[0], list(x[1])))
+    return Digest(lang, [(end, items)])
+
+
+def text_valid(lang: str, text: str, defines=(), undefines=(), fallback=()) -> bool:
+    """Whether ``text`` is valid in ``lang``."""
+    whole = applied([Digest.of(lang, p) for p in pieces(lang, lexing.unify(text))])
+    return whole.valid(frozenset(defines), frozenset(undefines), frozenset(fallback))
 
 
-def text_valid(lang: str, text: str, defines=frozenset(), undefines=frozenset(), fallback=frozenset()) -> bool:
-    """Whether ``text`` is valid in ``lang``."""
-    text = lexing.unify(text)
-    if lang == "json":
-        return grammars.json_valid(text)
-    if lang == "py":
-        return grammars.py_valid(text)
-    tokens = tokens_of(lexing.chunks(text, CHUNK_CHARS))
-    return tokens is not None and c_tokens_valid(tokens, frozenset(defines), frozenset(undefines), frozenset(fallback))
+KEY = "key string, process_name string, lang string, part bigint"
+KEYS = ["key", "process_name", "lang", "part"]
+FLAGS = ["defines", "undefines", "fallback_undefines"]
+#: Verdicts on statements, kept by a Python worker over its tasks.
+_KNOWN: dict[bytes, bool] = {}
 
 
-def _judge(split_chars: int):
-    """One pass over the files: a verdict for each, or the chunks of a C text beyond ``split_chars``."""
+def _map_files(spread_chars: int):
+    """One pass over the files: the digest of each, or the pieces of a text beyond ``spread_chars``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, lang, text, *flags in zip(b["key"], b["lang"], b["content"], b["defines"], b["undefines"], b["fallback"]):
-                if lang == "c" and len(text) > split_chars:
-                    rows += [(key, None, no, piece) for no, piece in enumerate(lexing.chunks(lexing.unify(text), CHUNK_CHARS))]
+            for *key, text in zip(*(b[k] for k in KEYS), b["content"]):
+                lang, text = key[2], lexing.unify(text)
+                if len(text) > spread_chars:
+                    rows += [(*key, no, None, None, piece) for no, piece in enumerate(pieces(lang, text, max(CHUNK_CHARS, spread_chars // 16)))]
                 else:
-                    rows.append((key, text_valid(lang, text, *flags), None, None))
-            yield pd.DataFrame(rows, columns=["key", "valid", "no", "chunk"]).astype({"valid": "boolean", "no": "Int32"})
+                    whole = applied([Digest.of(lang, p) for p in pieces(lang, text)])
+                    rows.append((*key, 0, whole.packed(), whole.text, None))
+            yield pd.DataFrame(rows, columns=[*KEYS, "no", "states", "text", "piece"])
 
     return run
 
 
-def _map_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _map_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digests of pieces of long texts, for all states they may start in."""
     for b in batches:
-        maps = [",".join(map(str, lexing.state_map("c", t))) for t in b["chunk"]]
-        yield pd.DataFrame({"key": b["key"], "no": b["no"], "map": maps})
+        done = [product([Digest.of(lang, p) for p in pieces(lang, piece)]) for lang, piece in zip(b["lang"], b["piece"])]
+        yield pd.DataFrame({**{k: b[k] for k in [*KEYS, "no"]}, "states": [d.packed() for d in done], "text": [d.text for d in done], "piece": None})
 
 
-def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts on files whose pieces come one after the other."""
+    at: tuple | None = None
+    flags: list[frozenset[str]] = []
+    parts: list[Digest] = []
+    last = -1
     for b in batches:
-        done = [lexing.c_tokens(t, s) for t, s in zip(b["chunk"], b["state"])]
-        yield pd.DataFrame({"key": b["key"], "no": b["no"], "codes": [" ".join(x) for x, _ in done], "ends": [e for _, e in done]})
-
-
-def _start_states(maps: pd.Series) -> pd.Series:
-    return maps.map(lambda ms: lexing.start_states([tuple(map(int, m.split(","))) for m in ms]))
-
-
-def _judge_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ok = []
-        for runs, end, on, off, fallback in zip(b["runs"], b["ends"], b["defines"], b["undefines"], b["fallback"]):
-            tokens = [t for r in runs for t in r.split(" ") if t]
-            ok.append(end == 0 and c_tokens_valid(tokens, frozenset(on), frozenset(off), frozenset(fallback)))
-        yield pd.DataFrame({"key": b["key"], "valid": ok})
-
-
-def judged_files(files: DataFrame, configs: DataFrame, split_chars: int = SPLIT_CHARS) -> DataFrame:
+        rows = []
+        for *key, no, states, text, on, off, fallback in zip(*(b[k] for k in KEYS), b["no"], b["states"], b["text"], *(b[k] for k in FLAGS)):
+            if tuple(key) != at:
+                if at:
+                    rows.append((at[0], applied(parts).valid(*flags, _KNOWN)))
+                at, parts, last = tuple(key), [], -1
+                flags = [frozenset(() if f is None else f) for f in (on, off, fallback)]
+            if no != last:  # repeated rows have the same pieces
+                parts.append(Digest.unpacked(key[2], states, text))
+                last = no
+        yield pd.DataFrame(rows, columns=["key", "valid"])
+    if at:
+        yield pd.DataFrame([(at[0], applied(parts).valid(*flags, _KNOWN))], columns=["key", "valid"])
+
+
+def judged_files(files: DataFrame, configs: DataFrame, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``key`` (the file_id) and ``valid`` of each of ``files`` (file_id, process_name, path, content).
 
     Null contents and other extensions have no row. Empty or comment-only C and Python is
     valid, an empty JSON text is not. A process without a row in ``configs`` (several rows: their
-    flags together) has no symbols. Repeated rows are judged alike.
+    flags together) has no symbols. Repeated rows are judged once; rows of one file_id that differ
+    are judged apart. In Python only the grammar counts: what the compiler alone rejects, as a
+    return outside a function, is valid.
     """
-    flags = configs.groupBy("process_name").agg(
-        *[F.array_distinct(F.flatten(F.collect_list(flag_names(F.col(c))))).alias(n) for c, n in (("defines", "_on"), ("undefines", "_off"), ("fallback_undefines", "_fb"))]
-    )
-    none = F.array().cast("array<string>")
-    keyed = files.select("file_id", "process_name", "content", language_of(F.col("path")).alias("lang")).join(sized_broadcast(flags, configs.count()), "process_name", "left")
-    args = [
-        "lang", "content", F.coalesce("_on", none).alias("defines"), F.coalesce("_off", none).alias("undefines"), F.coalesce("_fb", none).alias("fallback"),
-    ]
-    rows = keyed.where("content is not null and lang is not null").select(F.col("file_id").alias("key"), *args)
-    judged = Rounds(files.sparkSession).cut(rows.mapInPandas(_judge(split_chars), "key bigint, valid boolean, no int, chunk string"))
-    verdicts = judged.where("chunk is null").select("key", "valid")
-    long = judged.where("chunk is not null").select("key", "no", "chunk")
-    if not long.limit(1).count():
-        return verdicts
-    pieces = long.dropDuplicates(["key", "no"]).repartition("key", "no")
-    maps = pieces.mapInPandas(_map_chunks, "key bigint, no int, map string")
-    starts = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("m")).select(
-        "key", F.posexplode(F.pandas_udf(_start_states, "array<int>")(F.col("m.map"))).alias("no", "state")
-    )
-    coded = pieces.join(starts, ["key", "no"]).mapInPandas(_tokenise, "key bigint, no int, codes string, ends int")
-    whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "codes"))).alias("c"), F.max_by("ends", "no").alias("ends"))
-    about = keyed.select(F.col("file_id").alias("key"), *args[2:]).dropDuplicates(["key"])
-    ready = whole.join(about, "key").select("key", F.col("c.codes").alias("runs"), "ends", "defines", "undefines", "fallback")
-    return verdicts.unionByName(ready.mapInPandas(_judge_tokens, "key bigint, valid boolean"))
-
-
-def invalid_files(files: DataFrame, configs: DataFrame, split_chars: int = SPLIT_CHARS) -> DataFrame:
+    flags = configs.groupBy("process_name").agg(*[F.array_distinct(F.flatten(F.collect_list(flag_names(F.col(c))))).alias(c) for c in FLAGS])
+    rows = files.select(
+        F.col("file_id").cast("string").alias("key"), "process_name", language_of(F.col("path")).alias("lang"), F.xxhash64("content", "path").alias("part"), "content"
+    ).where("content is not null and lang is not null")
+    mapped = Rounds(files.sparkSession).cut(rows.mapInPandas(_map_files(spread_chars), f"{KEY}, no int, states array<string>, text string, piece string"))
+    long = mapped.where("piece is not null").repartition("key", "part", "no").mapInPandas(_map_pieces, mapped.schema)
+    every = mapped.where("piece is null").unionByName(long).drop("piece").join(sized_broadcast(flags, configs.count()), "process_name", "left")
+    by_file = every.repartition("key", "part").sortWithinPartitions("key", "part", "process_name", "lang", "no")
+    kind = files.schema["file_id"].dataType
+    return by_file.mapInPandas(_reduce, "key string, valid boolean").select(F.col("key").cast(kind).alias("key"), "valid")
+
+
+def invalid_files(files: DataFrame, configs: DataFrame, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``file_id`` of each file that is not valid in its extension's language, once each."""
-    return judged_files(files, configs, split_chars).where("not valid").select(F.col("key").alias("file_id")).distinct()
+    return judged_files(files, configs, spread_chars).where("not valid").select(F.col("key").alias("file_id")).distinct()
 
 
 def invalid_rates(files: DataFrame, configs: DataFrame) -> DataFrame:
