@@ -5,8 +5,8 @@ so a text may be cut between such bytes and its fragments encoded on their own.
 splits a text before the merges must not notice the cut either: none is made after white space (the
 rule looks ahead from it), before an apostrophe (contractions) or inside a character.
 
-Ordinary texts are fragmented and encoded where they lie. Texts beyond ``spread_chars`` characters
-are cut the same way and their fragments spread over the cluster, then put together in order.
+All texts are cut, whatever their length, and encoded where they lie: one narrow pass, no shuffle, time
+in proportion to the length.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split before the merges, a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FRAGMENT_BYTES = 4096
-SPREAD_CHARS = 1_000_000
-#: The last bytes of the white space beyond ASCII, as three-byte numbers; two-byte ones stand in the low half.
-WIDE_SPACES = np.array([0xC285, 0xC2A0, 0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+#: A text is cut at the first certain cut after so many bytes.
+FRAGMENT_BYTES = 256
+#: White space beyond ASCII, as bytes.
+WIDE_SPACES = tuple(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 @functools.lru_cache(maxsize=4)
@@ -51,24 +51,21 @@ def encoding(path: str):
 
 def fragments(text: str, certain: np.ndarray, least: int = FRAGMENT_BYTES) -> list[str]:
     """``text`` cut at certain cuts, the first after every ``least`` bytes; a text without any stays whole."""
-    if len(text) * 4 <= least:
-        return [text]
     raw = text.encode()
     if len(raw) <= least:
         return [text]
-    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-    at = np.flatnonzero(certain[b[:-1] * 256 + b[1:]]) + 1  # cut before this byte
-    if len(at):
-        before = np.concatenate([[0, 0, 0], b])
-        three = (before[at] << 16) | (before[at + 1] << 8) | before[at + 2]
-        at = at[~(np.isin(three, WIDE_SPACES) | np.isin(three & 0xFFFF, WIDE_SPACES[:2]))]
-    out, start = [], 0
-    while True:
-        k = np.searchsorted(at, start + least)
-        if k >= len(at):
-            break
-        out.append(raw[start : at[k]].decode())
-        start = int(at[k])
+    b = np.frombuffer(raw, dtype=np.uint8)
+    at = np.flatnonzero(certain[(b[:-1].astype(np.uint16) << 8) | b[1:]]) + 1  # cut before this byte
+    out, start, wide = [], 0, not text.isascii()
+    k = int(np.searchsorted(at, least))
+    while k < len(at):
+        end = int(at[k])
+        if wide and raw.endswith(WIDE_SPACES, max(0, end - 3), end):
+            k += 1
+            continue
+        out.append(raw[start:end].decode())
+        start = end
+        k = int(np.searchsorted(at, start + least))
     out.append(raw[start:].decode())
     return out
 
@@ -84,41 +81,20 @@ def encode_text(text: str | None, path: str = VOCABULARY, least: int = FRAGMENT_
     return [i for p in parts for i in enc.encode_ordinary(p)]
 
 
-def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, spread_chars: int = SPREAD_CHARS, count_only: bool = False) -> DataFrame:
+def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY, count_only: bool = False) -> DataFrame:
     """``key`` and ``ids`` (or, with ``count_only``, ``tokens``) of each row's text.
 
     Null and empty texts have the empty list (no tokens). Strings that spell a special token are
-    ordinary text. Rows keep their number; other columns are not read. A null key stays null, but
-    of texts beyond ``spread_chars`` equal keys with equal texts count once.
+    ordinary text. Rows keep their number, repeated ones too; other columns are not read. A null key
+    stays null.
     """
     kind = df.schema[key].dataType.simpleString()
-    out = f"key {kind}, tokens bigint" if count_only else f"key {kind}, ids array<int>"
-    name = "tokens" if count_only else "ids"
+    name, out = ("tokens", f"key {kind}, tokens bigint") if count_only else ("ids", f"key {kind}, ids array<int>")
     form = len if count_only else (lambda x: x)
 
-    def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], name: [form(encode_text(t, path)) for t in b["text"]]})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, certain = encoding(path)
-        for b in batches:
-            for k, group, text in zip(b["key"], b["group"], b["text"]):
-                parts = fragments(text, certain, spread_chars // 8)
-                yield pd.DataFrame({"key": [k] * len(parts), "group": group, "no": range(len(parts)), "text": parts})
-
-    def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"key": b["key"], "group": b["group"], "no": b["no"], "ids": [encode_text(t, path) for t in b["text"]]})
-
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    long = F.coalesce(F.length("text"), F.lit(0)) > spread_chars
-    short = rows.where(~long).mapInPandas(here, out)
-    cuts = rows.where(long).withColumn("group", F.md5("text")).mapInPandas(cut, f"key {kind}, group string, no int, text string").repartition("key", "group", "no")
-    coded = cuts.mapInPandas(piece, f"key {kind}, group string, no int, ids array<int>")
-    if count_only:
-        joined = coded.dropDuplicates(["key", "group", "no"]).groupBy("key", "group").agg(F.sum(F.size("ids")).alias("tokens"))
-    else:
-        parts = F.array_sort(F.collect_set(F.struct("no", "ids")))
-        joined = coded.groupBy("key", "group").agg(F.flatten(parts["ids"]).alias("ids"))
-    return short.unionByName(joined.drop("group")).withColumnRenamed("key", key)
+    return rows.mapInPandas(encode, out).withColumnRenamed("key", key)

@@ -93,15 +93,16 @@ def test_forced_boundaries_change_no_ids():
         assert "".join(tokens.fragments(text, certain, 1)) == text
 
 
-def test_encode_column_spreads_long_texts(spark):
-    enc, _ = tokens.encoding(tokens.VOCABULARY)
-    texts = [None, "", "hello world", "long text. " * 2000, "long text. " * 2000, "a" * 5000, "<|endoftext|>"]
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, ids int")
-    for spread in (10**6, 1000):
-        got = {r["doc_id"]: r["ids"] for r in tokens.encode_column(df, "doc_id", "text", spread_chars=spread).collect()}
-        assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
-        counts = {r["doc_id"]: r["tokens"] for r in tokens.encode_column(df, "doc_id", "text", spread_chars=spread, count_only=True).collect()}
-        assert counts == {i: len(x) for i, x in got.items()}
+def test_encode_column(spark):
+    enc, certain = tokens.encoding(tokens.VOCABULARY)
+    texts = [None, "", "hello world", "long text. " * 20_000, "long text. " * 20_000, "a" * 5000, "<|endoftext|>"]
+    assert len(tokens.fragments(texts[3], certain)) > 500
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(2, "hello world", 0), (None, "x", 0)], "doc_id bigint, text string, ids int")
+    want = sorted([(i, enc.encode_ordinary(t or "")) for i, t in enumerate(texts)] + [(2, enc.encode_ordinary("hello world"))])
+    got = [(r["doc_id"], r["ids"]) for r in tokens.encode_column(df, "doc_id", "text").collect()]
+    assert (None, enc.encode_ordinary("x")) in got and sorted(x for x in got if x[0] is not None) == want
+    counts = tokens.encode_column(df.where("doc_id is not null"), "doc_id", "text", count_only=True).collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in counts) == [(i, len(x)) for i, x in want]
     assert tokens.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -142,6 +143,21 @@ def test_lookalikes(spark):
     forms = {r["doc_id"]: r["form"] for r in lookalikes.unified(df, "doc_id", "text").collect()}
     assert len({forms[i] for i in same}) == 1 and forms[len(rows) - 5] is None and forms[len(rows) - 4] == ""
     assert lookalikes.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
+    classes = {r["doc_id"]: (r["class_id"], r["members"], r["several"]) for r in lookalikes.lookalike_classes(df, "doc_id", "text").collect()}
+    assert len(classes) == len(LOOK) + len(OTHER) + 1
+    assert all(classes[i] == (0, len(same), True) for i in same) and classes[len(LOOK)] == (len(LOOK), 1, False)
+
+
+def test_lookalikes_of_one_hot_look(spark, monkeypatch):
+    import spanloom.operators.skew as skew
+
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(lookalikes, "LOOK_ROWS", 7)
+    rows = [(i, LOOK[i % 3]) for i in range(60)] + [(100 + i, f"text number {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = [tuple(r) for r in lookalikes.lookalike_pairs(df, "doc_id", "text").collect()]
+    assert sorted(pairs) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3]
+    assert lookalikes.lookalike_classes(df, "doc_id", "text").where("class_id = 0 and members = 60").count() == 60
 
 
 def test_representatives_are_stable():
