@@ -25,21 +25,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.skew import hot_split_join
 from spanloom.session import Rounds
 
-#: Letters and signs of the same shape, by their Latin or plain form. Fixed values.
+#: Letters and signs of the same shape, by their Latin or plain form. Fixed values, chosen by hand by the glyphs of common typefaces, as the
+#: Unicode database knows no shapes. What it does know (widths, canonical equivalents, numerals and ligatures) is derived from it below.
 SAME_SHAPE = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⅭ", "D": "ᎠⅮ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀⅠ", "J": "ЈᎫͿ", "K": "КΚᏦK", "L": "ᏞⅬ",
-    "M": "МΜᎷⅯϺ", "N": "Νꓠ", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "ԚႭ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙⅤ", "W": "ԜᎳ", "X": "ХΧⅩ", "Y": "УΥҮ", "Z": "ΖᏃ",
-    "a": "а", "c": "сϲⅽ", "d": "ԁⅾ", "e": "е", "h": "һ", "i": "іⅰ", "j": "јϳ", "l": "ⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ",
-    "s": "ѕ", "u": "ս", "v": "ѵνⅴ", "w": "ԝ", "x": "хⅹ", "y": "уү", "μ": "µ", "Ω": "Ω", "æ": "ӕ", "Æ": "Ӕ", "ə": "ә", "Ə": "Ә", "Г": "Γ", "П": "Π", "Ф": "Φ",
-    "-": "‐‑⁃﹣", ".": "․", "/": "⁄∕", ":": "∶ː", ";": ";", "·": "·•‧∙⋅・", "|": "ǀ∣", "~": "∼", "!": "ǃ", "*": "∗", "\\": "∖", "<": "˂", ">": "˃", "=": "꓿", "′": "ʹ", "°": "˚",
-    "Σ": "∑", "Δ": "∆", "—": "―", "–": "‒",
-    "...": "…", "!!": "‼", "??": "⁇", "?!": "⁈", "!?": "⁉", "::": "∷", "ll": "ǁ", "NJ": "Ǌ", "Nj": "ǋ", "nj": "ǌ", "LJ": "Ǉ", "Lj": "ǈ", "lj": "ǉ", "DZ": "Ǳ", "Dz": "ǲ", "dz": "ǳ",
-    "II": "Ⅱ", "III": "Ⅲ", "IV": "Ⅳ", "VI": "Ⅵ", "VII": "Ⅶ", "VIII": "Ⅷ", "IX": "Ⅸ", "XI": "Ⅺ", "XII": "Ⅻ",
-    "ii": "ⅱ", "iii": "ⅲ", "iv": "ⅳ", "vi": "ⅵ", "vii": "ⅶ", "viii": "ⅷ", "ix": "ⅸ", "xi": "ⅺ", "xii": "ⅻ",
-    "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "st": "ﬆ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫͿ", "K": "КΚᏦ", "L": "Ꮮ",
+    "M": "МΜᎷϺ", "N": "Νꓠ", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "ԚႭ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ",
+    "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү", "æ": "ӕ", "Æ": "Ӕ", "ə": "ә", "Ə": "Ә", "Г": "Γ", "П": "Π", "Ф": "Φ",
+    "-": "‐‑⁃﹣", "/": "⁄∕", ":": "∶ː", "·": "•‧∙⋅・", "|": "ǀ∣", "~": "∼", "!": "ǃ", "*": "∗", "\\": "∖", "<": "˂", ">": "˃", "=": "꓿", "′": "ʹ", "°": "˚",
+    "Σ": "∑", "Δ": "∆", "—": "―", "–": "‒", "::": "∷", "ll": "ǁ",
 }
+#: Characters that look like the plain ones they are made up of by Unicode: Roman numerals, ligatures, dots, doubled signs, digraphs, the micro sign.
+MADE_UP = "[\u2160-\u217f\ufb00-\ufb04\ufb06\u2024\u2026\u203c\u2047-\u2049\u01c7-\u01cc\u01f1-\u01f3\u00b5]"
 #: Characters without a look beside those of category Cf.
 UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ"
 BLANK = re.compile(r"\s*\Z")
@@ -90,7 +90,7 @@ def classes() -> dict[str, list[str]]:
             c.link("", ch)
         else:
             d = unicodedata.decomposition(ch)
-            if d.startswith(("<wide>", "<narrow>")):
+            if d.startswith(("<wide>", "<narrow>")) or d.startswith("<compat>") and re.match(MADE_UP, ch):
                 c.link(unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in d.split()[1:])), ch)
     c.link("\n", "\r\n")
     c.link("\n", "\r")
@@ -205,15 +205,43 @@ def unified(docs: DataFrame, key: str, text: str, hashes: bool = False) -> DataF
     return rows.mapInPandas(rewrite, f"{key} {kind}, form binary, raw binary" if hashes else f"{key} {kind}, form string")
 
 
+#: So many rows of a look meet those of the same look in one task.
+LOOK_ROWS = 512
+
+
+def _looks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``form``, ``raw`` of the rows with a look; of each form ``least`` (key), ``members`` and ``variants``, 2 for several).
+
+    Only hashes are kept and shuffled; they are written once, so each text is rewritten once. A form
+    of very many rows is not shuffled to one task (:func:`hot_split_join`).
+    """
+    rows = Rounds(docs.sparkSession).cut(unified(docs, key, text, hashes=True).where("form is not null").distinct())
+    sizes = rows.groupBy("form").agg(
+        F.min(key).alias("least"), F.count(F.lit(1)).alias("members"), F.when(F.min("raw") < F.max("raw"), 2).otherwise(1).alias("variants"), F.count(F.lit(1)).alias("_n")
+    )
+    return rows, sizes
+
+
+def lookalike_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per row with a look: ``key``, ``class_id`` (the least key of its look), ``members``, ``several`` (whether its members' characters differ).
+
+    Null, empty and blank texts have no row; equal rows count once.
+    """
+    rows, sizes = _looks(docs, key, text)
+    out = hot_split_join(rows.where(F.col(key).isNotNull()), sizes, ["form"], "_n", rows.count())
+    return out.select(key, F.col("least").alias("class_id"), "members", (F.col("variants") > 1).alias("several")).distinct()
+
+
 def lookalike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``{key}_a`` < ``{key}_b`` of each two rows whose texts differ in characters and look the same.
 
-    Only hashes are kept and shuffled; they are written once, so each text is rewritten once. Forms with a single raw text are dropped by a grouping with partial
-    aggregates before any rows meet. Null, empty and blank texts are in no pair.
+    Forms with a single raw text are dropped by a grouping with partial aggregates before any rows
+    meet. Members meet within their look in blocks of ``LOOK_ROWS``, so the pairs of a frequent look,
+    quadratically many by definition, are made by many tasks. Null, empty and blank texts are in no pair.
     """
-    rows = Rounds(docs.sparkSession).cut(unified(docs, key, text, hashes=True).where("form is not null").distinct())
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    kept = rows.join(mixed, "form")
-    a = kept.select("form", F.col("raw").alias("raw_a"), F.col(key).alias(f"{key}_a"))
-    b = kept.select("form", F.col("raw").alias("raw_b"), F.col(key).alias(f"{key}_b"))
-    return a.join(b, "form").where(f"raw_a <> raw_b and {key}_a < {key}_b").select(f"{key}_a", f"{key}_b").distinct()
+    rows, sizes = _looks(docs, key, text)
+    mixed = sizes.where("variants > 1").select("form", "_n", F.ceil(F.col("members") / LOOK_ROWS).cast("int").alias("blocks"))
+    kept = hot_split_join(rows, mixed, ["form"], "_n", rows.count())
+    a = kept.select("form", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("raw").alias("raw_a"), F.col(key).alias(f"{key}_a"))
+    b = kept.select("form", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), F.col("raw").alias("raw_b"), F.col(key).alias(f"{key}_b"))
+    return a.join(b, ["form", "block"]).where(f"raw_a <> raw_b and {key}_a < {key}_b").select(f"{key}_a", f"{key}_b").distinct()

@@ -77,6 +77,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's class of texts that look the same."""
+    return lookalikes.lookalike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     """Each document's text in its one form."""
     return lookalikes.unified(table(spark, d, "documents"), "doc_id", "text")
@@ -94,4 +99,5 @@ QUERIES = {
     "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_forms": (p10_forms, None),
+    "p10_classes": (p10_classes, None),
 }
