@@ -44,10 +44,10 @@ def chunks(text: str, size: int) -> list[str]:
 
 
 C_TOKEN = re.compile(
-    r"""(?P<ws>[ \t\f\v]+)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<open>/\*)
+    r"""[ \t\f\v]*+(?:(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<open>/\*)
     |(?P<str>(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*")|(?P<chr>[uUL]?'(?:[^'\\\n]|\\.)+')
     |(?P<num>\.?[0-9](?:[eEpP][+-]|[\w.])*)|(?P<id>[^\W\d][\w$]*|\$[\w$]*)
-    |(?P<punct>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!=<>?:;,.(){}\[\]])|(?P<hash>\#\#?)|(?P<bad>.)""",
+    |(?P<punct>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!=<>?:;,.(){}\[\]])|(?P<hash>\#\#?)|(?P<bad>.))""",
     re.S | re.X,
 )
 C_NUMBER = re.compile(
@@ -236,45 +236,47 @@ def _c_lex(text: str, at: int, fresh: bool, out: list[str]) -> tuple[int, tuple[
 
     ``fresh``: nothing stands before on the line, so that # begins a directive.
     """
-    match, n, first = C_TOKEN.match, len(text), None
-    while at < n:
-        m = match(text, at)
-        kind, at = m.lastgroup, m.end()
-        if kind == "ws" or kind == "line":
-            continue
-        if kind == "nl":
-            fresh = True
-            continue
-        if kind == "block":
-            first = first or (at, len(out))
-            continue
-        if kind == "open":
-            return C_BLOCK_FRESH if fresh else C_BLOCK, first
-        if kind == "hash" and fresh:
-            line, at, open_ = _directive_line(text, at)
-            if m[0] == "##":
+    first, restart = None, True
+    while restart:
+        restart = False
+        for m in C_TOKEN.finditer(text, at):
+            kind = m.lastgroup
+            if kind == "id":
+                t = m["id"]
+                out.append(t if t in C_KEYWORDS else "i")
+            elif kind == "punct":
+                out.append(m["punct"])
+            elif kind == "nl":
+                fresh = True
+                continue
+            elif kind == "line":
+                continue
+            elif kind == "block":
+                first = first or (m.end(), len(out))
+                continue
+            elif kind == "num":
+                out.append("n" if C_NUMBER.match(m["num"]) else "X")
+            elif kind == "str":
+                out.append("s")
+            elif kind == "chr":
+                out.append("c")
+            elif kind == "open":
+                return C_BLOCK_FRESH if fresh else C_BLOCK, first
+            elif kind == "hash" and fresh:
+                line, at, open_ = _directive_line(text, m.end())
+                if m["hash"] == "##":
+                    out.append("X")
+                    line = "##"
+                if open_:
+                    out.append(_carried(BEGINS, line))
+                    return C_BLOCK_DIRECTIVE, first
+                if mark := _directive(line):
+                    out.append(mark)
+                restart = True
+                break
+            else:
                 out.append("X")
-                line = "##"
-            if open_:
-                out.append(_carried(BEGINS, line))
-                return C_BLOCK_DIRECTIVE, first
-            if mark := _directive(line):
-                out.append(mark)
-            continue
-        fresh = False
-        if kind == "id":
-            t = m[0]
-            out.append(t if t in C_KEYWORDS else "i")
-        elif kind == "punct":
-            out.append(m[0])
-        elif kind == "num":
-            out.append("n" if C_NUMBER.match(m[0]) else "X")
-        elif kind == "str":
-            out.append("s")
-        elif kind == "chr":
-            out.append("c")
-        else:
-            out.append("X")
+            fresh = False
     return CODE, first
 
 
