@@ -1,8 +1,8 @@
 """Functions paired with their documentation.
 
-Comments and functions are found independently: a comment of its own lines binds the first line of
-code after it, and meets the function that starts there (nearest eligible comment; a statement or a
-blank line between them rejects it). Descriptions that say nothing are left out.
+Comment spans are found in the files, function spans are those of the functions' rows; neither knows
+of the other. An as-of interval join then gives each function the nearest comment that ends above it
+with no statement in between. Descriptions that say nothing are left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import lexing
-from spanloom.llm.language import CHUNK_CHARS, EAST, code_language, comment_text, literal_text
+from spanloom.llm.language import EAST, code_language, comment_text, literal_text
+from spanloom.operators.joins import containing
 
 #: Words that alone describe nothing. Fixed values.
 HOLLOW = frozenset(
@@ -127,12 +128,16 @@ def docstring(source: str) -> str | None:
     return textwrap.dedent(literal_text(found[0])) if found and found.lastgroup == "str" else None
 
 
-def binding_comments(lang: str, text: str) -> list[tuple[int, int, str]]:
-    """(line, gap, text): each comment on lines of its own, the line of the first code after it and the blank lines between.
+#: Files are cut into chunks of about so many characters for the lexer's state maps.
+FILE_CHUNK_CHARS = 1024
 
-    Adjoining line comments are one. A comment with code on its first or last line binds nothing.
+
+def comment_spans(lang: str, text: str) -> list[tuple[int, int, str]]:
+    """(last line, line of the next statement, text) of each comment on lines of its own; 0 where no statement follows.
+
+    Adjoining line comments are one. A comment with code on its first or last line is none of these.
     """
-    pieces = lexing.chunks(text, CHUNK_CHARS)
+    pieces = lexing.chunks(text, FILE_CHUNK_CHARS)
     states = lexing.start_states([lexing.state_map(lang, p) for p in pieces]) if len(pieces) > 1 else [lexing.CODE]
     spans: list[tuple[str, int, int]] = []
     base = 0
@@ -143,78 +148,108 @@ def binding_comments(lang: str, text: str) -> list[tuple[int, int, str]]:
             else:
                 spans.append((kind, base + a, base + b))
         base += len(piece)
-    out: list[list] = []
+    out: list[tuple[int, int, str]] = []
+    waiting: list[list] = []  # comments before the next statement: [last line, end offset, kind, texts]
     line, counted = 1, 0
-    open_: list | None = None  # [last line, end offset, kind, texts]
-
-    def bind(upto: int) -> None:
-        nonlocal open_
-        if open_:
-            between = text[open_[1] : upto]
-            code = len(between) - len(between.lstrip())
-            if between.strip() or upto < len(text):
-                after = between[:code].count("\n")
-                out.append([open_[0] + after, after - 1, "\n".join(open_[3])])
-        open_ = None
 
+    def statement(start: int, upto: int) -> None:
+        """Code stands between the offsets ``start`` and ``upto``, or begins at ``upto``."""
+        gap = text[start:upto]
+        blank = len(gap) - len(gap.lstrip())
+        at = (line_at(start) + gap[:blank].count("\n")) if gap.strip() or upto < len(text) else 0
+        out.extend((w[0], at, "\n".join(w[3])) for w in waiting)
+        waiting.clear()
+
+    def line_at(offset: int) -> int:
+        return line + text.count("\n", counted, offset) if offset >= counted else line - text.count("\n", offset, counted)
+
+    end = 0
     for kind, a, b in spans:
-        if kind not in ("line", "block"):
-            bind(a)
-            continue
-        line += text.count("\n", counted, a)
-        counted = a
-        last = line + text.count("\n", a, b)
-        start = text.rfind("\n", 0, a) + 1
-        stop = text.find("\n", b)
-        alone = not text[start:a].strip() and not text[b : len(text) if stop < 0 else stop].strip()
-        if open_ and text[open_[1] : a].strip():
-            bind(a)
-        if not alone:
-            bind(a)
-            continue
-        if open_ and kind == "line" and open_[2] == "line" and line == open_[0] + 1:
-            open_ = [last, b, kind, [*open_[3], comment_text(text[a:b])]]
-        else:
-            open_ = [last, b, kind, [comment_text(text[a:b])]]  # a nearer comment takes the place of the one before
-    bind(len(text))
-    return [(x, g, t) for x, g, t in out if g >= 0]
+        comment = kind in ("line", "block")
+        if text[end:a].strip() or not comment:
+            statement(end, a)
+        if comment:
+            line, counted = line_at(a), a
+            last = line + text.count("\n", a, b)
+            start, stop = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+            if text[start:a].strip() or text[b : len(text) if stop < 0 else stop].strip():
+                statement(a, a)
+            elif waiting and kind == "line" and waiting[-1][2] == "line" and line == waiting[-1][0] + 1:
+                waiting[-1] = [last, b, kind, [*waiting[-1][3], comment_text(text[a:b])]]
+            else:
+                waiting.append([last, b, kind, [comment_text(text[a:b])]])
+        end = b
+    statement(end, len(text))
+    return out
 
 
 def comment_rows(files: DataFrame) -> DataFrame:
-    """``file, line, gap, comment``: one row per line of code that a comment binds."""
+    """``at`` (process and path), ``last``, ``next`` and ``comment``: the comment spans of all C and Python files."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *c) for p, g, t in zip(b["path"], b["lexer"], b["content"]) for c in binding_comments(g, lexing.unify(t))]
-            yield pd.DataFrame(rows, columns=["file", "line", "gap", "comment"])
+            rows = [(q, p, *c) for q, p, g, t in zip(b["process_name"], b["path"], b["lexer"], b["content"]) for c in comment_spans(g, lexing.unify(t))]
+            yield pd.DataFrame(rows, columns=["process_name", "path", "last", "next", "comment"])
 
     lexer = code_language(F.col("path"))
-    sources = files.where("content is not null and path is not null").select("path", lexer.alias("lexer"), "content").where("lexer <> 'json'")
-    return sources.mapInPandas(find, "file string, line int, gap int, comment string")
+    sources = files.where("content is not null and path is not null").select("process_name", "path", lexer.alias("lexer"), "content").where("lexer <> 'json'")
+    found = sources.mapInPandas(find, "process_name string, path string, last int, next int, comment string")
+    return found.select(F.struct("process_name", "path").alias("at"), "last", "next", "comment")
 
 
-def documented(functions: DataFrame, files: DataFrame, max_gap: int = 0) -> DataFrame:
-    """``id, source, description, origin`` of the functions whose documentation says something, once each.
+def nearest_comments(functions: DataFrame, files: DataFrame, max_gap: int = 0) -> DataFrame:
+    """``id``, ``name``, ``comment``: for each function span the nearest comment span that ends above its start.
+
+    An as-of interval join: a comment can serve starts from the line below it to ``max_gap`` blank
+    lines further, but not beyond the next statement; of those that can serve, the last one counts.
+    """
+    spans = comment_rows(files).withColumn("upto", F.col("last") + 1 + max_gap).withColumn("upto", F.when(F.col("next") > 0, F.least("upto", "next")).otherwise(F.col("upto")))
+    starts = functions.where("source is not null and file is not null and start_line > 0").select(
+        "id", "name", F.col("start_line").alias("line"), F.struct("process_name", F.col("file").alias("path")).alias("at")
+    )
+    met = containing(starts, spans.withColumn("from", F.col("last") + 1), "at", "line", "from", "upto")
+    return met.groupBy("id", "name", "at", "line").agg(F.max(F.struct("last", "comment")).alias("c")).select("id", "name", "c.comment")
+
+
+ORIGINS = ("comment", "docstring", "summary")
+
+
+def descriptions(functions: DataFrame, files: DataFrame, max_gap: int = 0) -> DataFrame:
+    """``id``, ``description``, ``origin`` of the functions whose documentation says something, once each.
 
     ``origin`` is where the description is from, the first that says something: ``comment`` (ending
     on the line above ``start_line``, or up to ``max_gap`` blank lines above it), ``docstring`` or
-    ``summary``. Functions with a null source are left out; of equal ids the greatest row counts.
-    A null file, or an unknown line (below 1), has no comment; a file without a row neither.
+    ``summary``. Functions with a null source are left out; of equal ids the best row counts.
+    A null file, or an unknown line (below 1), has no comment; a file without a row neither. Files
+    are met by process and path (null equals null). Sources are read where they lie and not shuffled.
     """
-    comments = comment_rows(files).where(F.col("gap") <= max_gap).groupBy("file", "line").agg(F.max("comment").alias("comment"))
-    fs = functions.where("source is not null").select("id", "name", "file", F.col("start_line").alias("line"), "summary", "source")
-    joined = fs.join(comments, ["file", "line"], "left")
+    kind = functions.schema["id"].dataType.simpleString()
+    out = f"id {kind}, rank int, description string"
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, name, lexer, comment, summary, source in zip(b["id"], b["name"], b["lexer"], b["comment"], b["summary"], b["source"]):
-                for origin, text in (("comment", comment), ("docstring", lambda: docstring(lexing.unify(source)) if lexer == "py" else None), ("summary", summary)):
-                    said = description(text() if callable(text) else text, name)
-                    if said:
-                        rows.append((key, source, said, origin))
-                        break
-            yield pd.DataFrame(rows, columns=["id", "source", "description", "origin"])
+            for key, name, lexer, summary, source in zip(b["id"], b["name"], b["lexer"], b["summary"], b["source"]):
+                said = description(docstring(lexing.unify(source)), name) if lexer == "py" else ""
+                rank = 1
+                if not said:
+                    said, rank = description(summary, name), 2
+                if said:
+                    rows.append((key, rank, said))
+            yield pd.DataFrame(rows, columns=["id", "rank", "description"])
+
+    def above(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [description(c, n) for c, n in zip(b["comment"], b["name"])]
+            yield pd.DataFrame({"id": b["id"], "rank": 0, "description": said})[[bool(x) for x in said]]
 
-    kind = functions.schema["id"].dataType.simpleString()
-    return joined.select("id", "name", code_language(F.col("file")).alias("lexer"), "comment", "summary", "source").mapInPandas(describe, f"id {kind}, source string, description string, origin string")
+    inside = functions.where("source is not null").select("id", "name", code_language(F.col("file")).alias("lexer"), "summary", "source").mapInPandas(own, out)
+    rows = inside.unionByName(nearest_comments(functions, files, max_gap).mapInPandas(above, out))
+    best = rows.groupBy("id").agg(F.min("rank").alias("rank"), F.max_by("description", F.struct(-F.col("rank"), "description")).alias("description"))
+    return best.select("id", "description", F.element_at(F.array(*map(F.lit, ORIGINS)), F.col("rank") + 1).alias("origin"))
+
+
+def documented(functions: DataFrame, files: DataFrame, max_gap: int = 0) -> DataFrame:
+    """:func:`descriptions` with the ``source`` of each function (of equal ids the greatest)."""
+    sources = functions.where("source is not null").groupBy("id").agg(F.max("source").alias("source"))
+    return descriptions(functions, files, max_gap).join(sources, "id").select("id", "source", "description", "origin")

@@ -18,19 +18,14 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_rates(table(spark, d, "source_files"), table(spark, d, "preprocessor_configs"))
 
 
-def _documented(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented(table(spark, d, "graph_functions"), table(spark, d, "source_files"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _documented(spark, d).select(F.col("id").alias("function_id")).distinct()
+    return docpairs.descriptions(table(spark, d, "graph_functions"), table(spark, d, "source_files")).select(F.col("id").alias("function_id"))
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of code and description."""
-    return _documented(spark, d).groupBy(F.col("id").alias("function_id")).agg(F.max(F.struct("source", "description", "origin")).alias("p")).select(
-        "function_id", F.col("p.source").alias("code"), "p.description", "p.origin"
-    )
+    pairs = docpairs.documented(table(spark, d, "graph_functions"), table(spark, d, "source_files"))
+    return pairs.select(F.col("id").alias("function_id"), F.col("source").alias("code"), "description", "origin")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

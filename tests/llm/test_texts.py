@@ -11,9 +11,21 @@ def test_descriptions():
         assert says(text, "abc_read_gate"), text
 
 
-def test_comments_bind_the_next_line_of_code():
-    text = "// one\n// two\nint a;\n\n/* far */\n\nint b;\nint c; // trailing\nint d;\n/* x */ int e;\n/* first */\n/* near */\nint f;\n// last"
-    assert docpairs.binding_comments("c", text) == [(3, 0, "one\ntwo"), (7, 1, " far "[0:0] + "far "), (13, 0, "near ")]
+def test_comment_spans(monkeypatch):
+    text = "// one\n// two\nint a;\n\n/* far */\n\nint b;\nint c; // trailing\nint d;\n/* x */ int e;\n/* first */\n/* near */\nint f;\n/* a */\n/* b */ int g;\n// last"
+    want = [(2, 3, "one\ntwo"), (5, 7, "far "), (11, 13, "first "), (12, 13, "near "), (14, 15, "a "), (16, 0, "last")]
+    for size in (1, 10, 1000):
+        monkeypatch.setattr(docpairs, "FILE_CHUNK_CHARS", size)
+        assert docpairs.comment_spans("c", text) == want
+    assert docpairs.comment_spans("py", 'x = 1\n# c\n\n\n"""s"""\n') == [(2, 5, "c")]
+
+
+def test_nearest_comments(spark):
+    functions = spark.createDataFrame([(n, n, "p", "a.c", line, "s") for n, line in (("f", 2), ("g", 4), ("h", 7), ("i", 8))], "id string, name string, process_name string, file string, start_line int, source string")
+    rows = [("p", "a.c", "// of f\nint f;\n// of g\nint g;\n// far\n\nint h;\nint i;\n"), ("q", "a.c", "// of another process\nint f;\n")]
+    files = spark.createDataFrame(rows, "process_name string, path string, content string")
+    found = lambda gap: {r["id"]: r["comment"] for r in docpairs.nearest_comments(functions, files, gap).collect()}
+    assert found(0) == {"f": "of f", "g": "of g"} and found(3) == {"f": "of f", "g": "of g", "h": "far"}
 
 
 def test_docstrings():
@@ -24,10 +36,10 @@ def test_docstrings():
 
 def test_pairs(spark):
     functions = spark.createDataFrame(
-        [("1", "f", "a.c", 2, None, "int f;", 1), ("1", "f", "a.c", 2, None, "int f;", 1), ("2", "g", "a.c", 3, "pending", "int g;", 1), ("3", "h", "b.py", -1, None, 'def h():\n  "Counts all the rows."', 1), ("4", "i", None, None, "Moves the gate to its place.", "x", 1), ("5", "j", "a.c", 2, "A real good summary.", None, 1), ("6", "", "a.c", 9, "", "", 1)],
-        "id string, name string, file string, start_line int, summary string, source string, line int",
+        [("1", "f", "a.c", 2, None, "int f;", None, 1), ("1", "f", "a.c", 2, None, "int f;", None, 1), ("2", "g", "a.c", 3, "pending", "int g;", None, 1), ("3", "h", "b.py", -1, None, 'def h():\n  "Counts all the rows."', "p", 1), ("4", "i", None, None, "Moves the gate to its place.", "x", None, 1), ("5", "j", "a.c", 2, "A real good summary.", None, "p", 1), ("6", "", "a.c", 9, "", "", "p", 1)],
+        "id string, name string, file string, start_line int, summary string, source string, process_name string, line int",
     )
-    files = spark.createDataFrame([("a.c", "/* Opens the far gate. */\nint f;\nint g;\n", 1), ("a.c", "/* Opens the far gate. */\nint f;\nint g;\n", 1), ("n.c", None, 1), (None, "x", 1)], "path string, content string, line int")
+    files = spark.createDataFrame([("a.c", "/* Opens the far gate. */\nint f;\nint g;\n", None, 1), ("a.c", "/* Opens the far gate. */\nint f;\nint g;\n", None, 1), ("n.c", None, "p", 1), (None, "x", "p", 1)], "path string, content string, process_name string, line int")
     got = {(r["id"], r["origin"]) for r in docpairs.documented(functions, files).collect()}
     assert got == {("1", "comment"), ("3", "docstring"), ("4", "summary")}
     assert docpairs.documented(functions.limit(0), files).count() == 0 and docpairs.documented(functions, files.limit(0)).count() == 2
