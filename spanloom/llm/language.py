@@ -1,7 +1,8 @@
 """Natural language in comments and string literals of source text.
 
-The lexer's state maps let long texts be read in chunks (:mod:`spanloom.llm.lexing`). Comments and
-literals become texts: decoration goes, escapes stand for their characters, adjacent literals and
+Sources are cut into chunks; the lexer's state maps of the chunks, composed by prefix, say where each
+starts (:mod:`spanloom.llm.lexing`). Huge texts are spread over tasks that way. Comments and literals
+become texts: decoration goes, escapes stand for their characters, adjacent literals and
 adjoining comment lines are one text. A text is natural language if it has four words in a row or
 six Chinese or Japanese characters; a multinomial logistic regression on hashed character n-grams,
 trained here on labelled documents, says which language.
@@ -21,9 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import lexing
+from spanloom.session import Rounds
 
 LANGS = ("en", "de", "fr", "es", "it", "pl", "ru", "ja", "zh")
-CHUNK_CHARS = 32_768
+#: Sources are cut into chunks of about so many characters for the lexer's state maps.
+CHUNK_CHARS = 256
+#: The pieces of a text of more characters than this are read by many tasks.
+SPREAD_CHARS = 1_000_000
 BUCKETS = 1 << 14
 #: The classifier is fitted on about so many labelled documents, of so many characters, and so many of their texts at most.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_TEXTS = 4000, 20_000, 9000
@@ -256,27 +261,97 @@ def code_language(file: Column) -> Column:
     return F.when(F.lower(file).endswith(".py"), "py").when(F.lower(file).endswith(".json"), "json").otherwise("c")
 
 
-def language_spans(functions: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``id``, ``file``, ``lang``, ``chars`` (of its natural language) and ``source_chars`` per function and language.
+#: A line end after which code follows: what stands before it and after it is never one text.
+APART = {
+    "c": re.compile(r"""(?<!\\)\n(?=[ \t]*(?:[A-Za-z_]\w*+(?!["'])|[}#]))"""),
+    "py": re.compile(r"""(?<!\\)\n(?=@|[A-Za-z_]\w*+(?!["']))"""),
+    "json": re.compile(r"\n(?=[ \t]*[\]}])"),
+}
 
-    ``functions`` has id, file, source. Null and empty sources have no rows. Equal rows give equal
-    rows. Texts of any length are read in chunks.
+
+def apart(lang: str, text: str, size: int) -> list[str]:
+    """``text`` in pieces of about ``size`` characters, none of whose texts goes on in the next one unless that starts inside a comment or string."""
+    out, start = [], 0
+    while len(text) - start > size and (m := APART[lang].search(text, start + size)):
+        out.append(text[start : m.end()])
+        start = m.end()
+    out.append(text[start:])
+    return out
+
+
+def _groups(maps: pd.Series) -> pd.Series:
+    """For the maps of a text's pieces, the number of the piece with which each belongs: the last one before it that starts in code."""
+
+    def one(ms) -> list[int]:
+        out: list[int] = []
+        for n, state in enumerate(lexing.start_states([tuple(map(int, m.split(","))) for m in ms])):
+            out.append(n if state == lexing.CODE else out[-1])
+        return out
+
+    return maps.map(one)
+
+
+def language_spans(functions: DataFrame, weights: np.ndarray, spread_chars: int = SPREAD_CHARS) -> DataFrame:
+    """``id``, ``process_name``, ``file``, ``lang``, ``chars`` (of its natural language) and ``source_chars`` per function and language.
+
+    Null and empty sources have no rows; equal rows count once. The pieces of a source beyond
+    ``spread_chars`` are mapped where it lies; a prefix composition of the maps then says which
+    pieces start in code, and those are read by tasks of their own.
     """
     model = functions.sparkSession.sparkContext.broadcast(weights)
+    about = ["id", "process_name", "file"]
+    kind = functions.schema["id"].dataType.simpleString()
+    shape = f"row bigint, id {kind}, process_name string, file string, lexer string, source_chars bigint, lang string, chars bigint"
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(rows_of) -> Iterator[pd.DataFrame]:
         guess = functools.lru_cache(maxsize=20_000)(lambda t: tuple(labelled(model.value, t)))
-        for b in batches:
-            rows = []
-            for key, file, lexer, source in zip(b["id"], b["file"], b["lexer"], b["source"]):
-                source = lexing.unify(source)
-                chars: dict[str, int] = {}
-                for text in texts(lexer, source):
-                    for g, run in guess(text):
-                        chars[g] = chars.get(g, 0) + len(run)
-                rows += [(key, file, g, c, len(source)) for g, c in chars.items()]
-            yield pd.DataFrame(rows, columns=["id", "file", "lang", "chars", "source_chars"])
-
-    rows = functions.where("source is not null and source <> ''").select("id", "file", code_language(F.col("file")).alias("lexer"), "source")
-    kind = functions.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(label, f"id {kind}, file string, lang string, chars bigint, source_chars bigint")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [r for x in b.itertuples(index=False) for r in rows_of(x, guess)]
+                yield pd.DataFrame(rows, columns=NAMES)
+
+        return run
+
+    def spoken(lexer: str, source: str, guess) -> dict[str, int]:
+        chars: dict[str, int] = {}
+        for text in texts(lexer, source):
+            for g, run in guess(text):
+                chars[g] = chars.get(g, 0) + len(run)
+        return chars
+
+    def whole(x, guess):
+        source = lexing.unify(x.source)
+        head = (x.row, x.id, x.process_name, x.file, x.lexer, len(source))
+        if len(source) > spread_chars:
+            for no, piece in enumerate(apart(x.lexer, source, max(1, spread_chars // 16))):
+                yield (*head, None, None, no, piece, ",".join(map(str, lexing.state_map(x.lexer, piece))))
+        else:
+            for g, n in spoken(x.lexer, source, guess).items():
+                yield (*head, g, n, None, None, None)
+
+    def part(x, guess):
+        for g, n in spoken(x.lexer, x.piece, guess).items():
+            yield (x.row, x.id, x.process_name, x.file, x.lexer, x.source_chars, g, n, None, None, None)
+
+    def run_whole(batches):
+        yield from label(whole)(batches)
+
+    def run_part(batches):
+        yield from label(part)(batches)
+
+    rows = functions.where("source is not null and source <> ''").select(F.monotonically_increasing_id().alias("row"), *about, code_language(F.col("file")).alias("lexer"), "source")
+    read = Rounds(functions.sparkSession).cut(rows.mapInPandas(run_whole, f"{shape}, no int, piece string, map string"))
+    long = read.where("piece is not null")
+    starts = long.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("m")).select(
+        "row", F.posexplode(F.pandas_udf(_groups, "array<int>")(F.col("m.map"))).alias("no", "group")
+    )
+    head = ["row", *about, "lexer", "source_chars"]
+    joined = long.join(starts, ["row", "no"]).groupBy(*head, "group").agg(F.array_join(F.array_sort(F.collect_list(F.struct("no", "piece")))["piece"], "").alias("piece"))
+    parts = joined.mapInPandas(run_part, f"{shape}, no int, piece string, map string")
+    sums = parts.groupBy(*about, "row", "lang", "source_chars").agg(F.sum("chars").alias("chars"))
+    out = [*about, "lang", "chars", "source_chars"]
+    return read.where("piece is null").select(*out).unionByName(sums.select(*out)).distinct()
+
+
+NAMES = ["row", "id", "process_name", "file", "lexer", "source_chars", "lang", "chars", "no", "piece", "map"]

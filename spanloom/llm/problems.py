@@ -30,23 +30,34 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     weights = language.fit(language.training_samples(table(spark, d, "documents")))
-    return language.language_spans(table(spark, d, "graph_functions").select("id", "file", "source"), weights)
+    return language.language_spans(table(spark, d, "graph_functions"), weights)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select(F.col("id").alias("function_id"), "lang").distinct()
 
 
+def _file_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files").groupBy("process_name", F.col("path").alias("file")).agg(F.max(F.length("content")).alias("file_chars"))
+
+
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of each language's text in its function's and its file's text, in characters."""
-    sizes = table(spark, d, "source_files").groupBy(F.col("path").alias("file")).agg(F.max(F.length("content")).alias("file_chars"))
-    rows = _spans(spark, d).distinct().join(sizes, "file", "left")
+    rows = _spans(spark, d).join(_file_sizes(spark, d), ["process_name", "file"], "left")
     return rows.select(
         F.col("id").alias("function_id"), "lang", "chars", (F.col("chars") / F.col("source_chars")).alias("function_share"),
         F.when(F.col("file_chars") > 0, F.col("chars") / F.col("file_chars")).alias("file_share"),
     )
 
 
+def p5_file_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each language's text in all functions of a file in the file's text."""
+    sums = _spans(spark, d).where("file is not null").groupBy("process_name", "file", "lang").agg(F.sum("chars").alias("chars"), F.countDistinct("id").alias("functions"))
+    return sums.join(_file_sizes(spark, d), ["process_name", "file"], "left").select(
+        "process_name", "file", "lang", "functions", "chars", F.when(F.col("file_chars") > 0, F.col("chars") / F.col("file_chars")).alias("file_share")
+    )
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -89,6 +100,7 @@ QUERIES = {
     "p4_pairs": (p4_pairs, None),
     "p5_found": (p5_found, None),
     "p5_shares": (p5_shares, None),
+    "p5_file_shares": (p5_file_shares, None),
     "p8_ids": (p8_ids, None),
     "p9_mix": (p9_mix, None),
     "p9_shares": (p9_shares, None),

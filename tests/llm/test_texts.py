@@ -1,6 +1,8 @@
 import random
 
-from spanloom.llm import docpairs, language, lookalikes, mixing, tokens
+import pandas as pd
+
+from spanloom.llm import docpairs, language, lexing, lookalikes, mixing, tokens
 
 
 def test_descriptions():
@@ -53,11 +55,21 @@ def test_texts_of_source():
     assert language.texts("c", "") == []
 
 
-def test_texts_in_chunks_are_those_of_the_whole(monkeypatch):
-    c = "\n".join(f'int f{i}() {{ /* comment number\n {i} goes on */ x("some text {i}"); // line\n}}' for i in range(60))
-    whole = language.texts("c", c)
-    monkeypatch.setattr(language, "CHUNK_CHARS", 50)
-    assert language.texts("c", c) == whole
+LONG_C = "\n".join(f'int f{i}() {{ /* comment number\nint {i} goes on */ x("the text has {i} words"\n"of its own"); // line\n}}\n// a line of words\n// and the next of them' for i in range(60))
+LONG_PY = "\n".join(f'def f{i}():\n    """The text of number\nint {i} goes on"""\n    x = "the words are" "many"  # line\n# a line of words\n# and the next of them' for i in range(60))
+
+
+def test_texts_in_chunks_and_pieces_are_those_of_the_whole(monkeypatch):
+    for lang, text in (("c", LONG_C), ("py", LONG_PY)):
+        monkeypatch.setattr(language, "CHUNK_CHARS", 10**6)
+        whole = language.texts(lang, text)
+        for size in (20, 50, 256):
+            monkeypatch.setattr(language, "CHUNK_CHARS", size)
+            assert language.texts(lang, text) == whole
+            pieces = language.apart(lang, text, size)
+            groups = language._groups(pd.Series([[",".join(map(str, lexing.state_map(lang, p))) for p in pieces]]))[0]
+            assert "".join(pieces) == text and len(set(groups)) > 9
+            assert [t for g in sorted(set(groups)) for t in language.texts(lang, "".join(p for p, k in zip(pieces, groups) if k == g))] == whole
 
 
 def test_natural_language():
@@ -79,11 +91,14 @@ def test_language_labels(spark):
     weights = language.fit([(t, g) for g, ts in SENTENCES.items() for t in ts] * 20)
     assert all(language.predict(weights, t) == g for g, ts in SENTENCES.items() for t in ts)
     assert language.predict(weights, "DIE PUMPE WARTET AUF DEN NAECHSTEN MESSWERT") == "de"
+    long = "\n".join([LONG_C] * 3)
     df = spark.createDataFrame(
-        [("1", "a.c", "int f() { // the pump waits for the next reading\n x(\"die Pumpe wartet \" \"auf den nächsten Messwert\"); }", 0), ("2", None, None, 0), ("3", "a.c", "", 0), ("4", "a.py", "def f():\n    '''このループは送信元のない通知を捨てます'''\n", 0)],
-        "id string, file string, source string, lang int",
+        [(*r, "p") for r in (("5", "a.c", long, 0), ("5", "a.c", long, 0), ("1", "a.c", "int f() { // the pump waits for the next reading\n x(\"die Pumpe wartet \" \"auf den nächsten Messwert\"); }", 0), ("2", None, None, 0), ("3", "a.c", "", 0), ("4", "a.py", "def f():\n    '''このループは送信元のない通知を捨てます'''\n", 0))],
+        "id string, file string, source string, lang int, process_name string",
     )
-    assert {(r["id"], r["lang"]) for r in language.language_spans(df, weights).collect()} == {("1", "en"), ("1", "de"), ("4", "ja")}
+    rows = sorted(map(tuple, language.language_spans(df, weights).collect()))
+    assert {(r[0], r[3]) for r in rows} == {("1", "en"), ("1", "de"), ("4", "ja"), ("5", "en")} and len(rows) == 4
+    assert sorted(map(tuple, language.language_spans(df, weights, spread_chars=400).collect())) == rows
     assert language.language_spans(df.limit(0), weights).count() == 0
 
 
