@@ -135,13 +135,25 @@ def c_valid(items: list[str | Stretch], defines: frozenset[str], undefines: froz
 class Digest:
     """The map of a piece of a text: for each state it may start in, what it comes to. ``*`` is the associative product."""
 
-    def __init__(self, lang: str, by_state: list[tuple], text: str = ""):
-        self.lang, self.by_state, self.text = lang, by_state, text
+    def __init__(self, lang: str, by_state: list[tuple], text: str = "", raw: bool = False):
+        self.lang, self.rows, self.text = lang, by_state, text
+        self.raw = [raw] * len(by_state)  # codes that are not summed up yet
+
+    def row(self, state: int) -> tuple:
+        """(end state, what the piece comes to) from ``state`` on."""
+        if self.raw[state]:
+            end, codes = self.rows[state]
+            self.rows[state], self.raw[state] = (end, stretches(codes)), False
+        return self.rows[state]
+
+    @property
+    def by_state(self) -> list[tuple]:
+        return [self.row(s) for s in range(len(self.rows))]
 
     @classmethod
     def of(cls, lang: str, chunk: str) -> Digest:
         if lang == "c":
-            return cls(lang, [(end, stretches(codes)) for end, codes in lexing.c_map(chunk)])
+            return cls(lang, lexing.c_map(chunk), raw=True)
         if lang == "json":
             return cls(lang, lexing.json_map(chunk))
         return cls(lang, lexing.py_map(chunk), chunk)
@@ -149,7 +161,7 @@ class Digest:
     def __mul__(self, other: Digest) -> Digest:
         out = []
         for end, a in self.by_state:
-            last, b = other.by_state[end]
+            last, b = other.row(end)
             if self.lang == "c":
                 out.append((last, join_stretches(a, b)))
             elif self.lang == "json":
@@ -162,7 +174,7 @@ class Digest:
 
     def valid(self, defines: frozenset[str], undefines: frozenset[str], fallback: frozenset[str], known: dict[bytes, bool] | None = None) -> bool:
         """The verdict on a whole text."""
-        end, what = self.by_state[0]
+        end, what = self.row(lexing.CODE)
         if self.lang == "json":
             return end == lexing.CODE and what in ("s", "v")
         if self.lang == "py":
@@ -218,24 +230,24 @@ def product(digests: list[Digest]) -> Digest:
 def applied(digests: list[Digest]) -> Digest:
     """What the product of all pieces of a text comes to from its start on, without the other states."""
     first = digests[0]
-    lang, (end, what) = first.lang, first.by_state[lexing.CODE]
+    lang, (end, what) = first.lang, first.row(lexing.CODE)
     if lang == "py":
         depth, size = what[:2], len(first.text)
         lines = list(what[2])
         for d in digests[1:]:
-            end, (c, o, more) = d.by_state[end]
+            end, (c, o, more) = d.row(end)
             lines += [(size + at, *lexing.join_depths(depth, (x, y))) for at, x, y in more]
             depth, size = lexing.join_depths(depth, (c, o)), size + len(d.text)
         return Digest(lang, [(end, (*depth, lines))], "".join(d.text for d in digests))
     if lang == "json":
         codes = [what]
         for d in digests[1:]:
-            end, more = d.by_state[end]
+            end, more = d.row(end)
             codes.append(more)
         return Digest(lang, [(end, lexing.json_join("".join(codes)) if len(codes) > 1 else what)])
     items: list[str | Stretch] = []
     for n, d in enumerate(digests):
-        end, more = d.by_state[end] if n else (end, what)
+        end, more = d.row(end) if n else (end, what)
         for k, x in enumerate(more):
             if not k and items and not isinstance(x, str) and not isinstance(items[-1], str):
                 items[-1][1].extend(x[1])
