@@ -1,8 +1,10 @@
 """Parent-child links to full hierarchies: depth, root, path, nested-set ranges, cycles.
 
-All steps work by doubling: in round k each record knows its ancestor 2^k steps up, so a tree of
-depth d takes log2(d) rounds of one join, not d. Each round's state is written to the shared
-checkpoint folder (:class:`Rounds`).
+Upward, subtree sizes are summed; downward, each family divides its parent's range among its members
+by prefix sums of their sizes, and the same pass brings down root and depth. Records whose size never
+becomes final are on or below cycles. Both passes work by doubling: in round k each record knows its
+ancestor 2^k steps up, so a tree of depth d takes log2(d) rounds of one join, not d. Each round's
+state is written to the shared checkpoint folder (:class:`Rounds`).
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.skew import hot_split_join
+from spanloom.operators.skew import ONE_TASK_ROWS, hot_split_join
 from spanloom.session import Rounds
 
-#: Siblings are numbered in so many hash buckets, so that no family is sorted in one task.
-SIBLING_BUCKETS = 64
+#: Siblings are in the order of their ids' MD5; so many of its hexadecimal digits part a family, so that no large one is sorted in one task.
+SIBLING_DIGITS = 3
+OPEN_ROWS = "count_if(not done)"
 
 
 def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -36,68 +39,85 @@ def _jump(state: DataFrame, per_node: DataFrame, rows: int) -> DataFrame:
     return hot_split_join(state, per_node.withColumnRenamed("node", "up"), ["up"], "kids", rows)
 
 
+def several_parents(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """``node``, ``kept``, ``dropped``: one row per link that :func:`hierarchy` leaves out, as a tree has one parent a node.
+
+    Of several parents besides the node itself the smallest is kept; with a self-link none is, and
+    ``kept`` is the node. A cycle through a dropped link is none in the hierarchy.
+    """
+    links = edges.select(F.col(parent).alias("dropped"), F.col(child).alias("node")).where("dropped is not null and node is not null").distinct()
+    own = F.max(F.col("dropped") == F.col("node")).alias("own")
+    # counts first: nodes with one parent, nearly all, go before any list is made
+    kept = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("dropped") != F.col("node"), F.col("dropped"))).alias("least"), own).where("n > 1")
+    kept = kept.select("node", F.when(F.col("own"), F.col("node")).otherwise(F.col("least")).alias("kept"))
+    return links.join(kept, "node").where("dropped <> kept").select("node", "kept", "dropped")
+
+
+def _per_node(state: DataFrame, left: int) -> DataFrame:
+    """``state`` of the records that are someone's ``up``, with ``kids``, the number of open records that are below them."""
+    if left <= ONE_TASK_ROWS:  # no key can be hot
+        return state.withColumn("kids", F.lit(1))
+    return state.join(state.where("not done").groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids")), "node")
+
+
 def _climb(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """(tree, rest): records with ``node, parent, root, depth, size`` and the unprocessed ones with ``node, parent``.
+    """(tree, rest): records with ``node, parent, size`` and the unprocessed ones with ``node, parent``.
 
     After round k a record of depth d is done if d < 2^k; else ``up`` is exactly 2^k above it.
-    Upward, ``size`` counts the descendants nearer than 2^k, with the record itself; those from
-    there to 2^(k+1) are what the open records pointing at it have counted below themselves. A
-    round that finishes no record ends the climb: what is open then never reaches a root.
+    ``size`` counts the descendants nearer than 2^k, with the record itself; those from there to
+    2^(k+1) are what the open records pointing at it have counted below themselves. A round that
+    finishes no record ends the climb: what is open then never reaches a root.
     """
     root = F.col("parent").isNull()
-    state = rounds.cut(
-        links.select(
-            "node", "parent", F.coalesce("parent", "node").alias("up"), F.when(root, 0).otherwise(1).alias("depth"),
-            root.alias("done"), F.lit(1).cast("bigint").alias("size"),
-        )
-    )
-    left = state.where("not done").count()
+    state = rounds.cut(links.select("node", "parent", F.coalesce("parent", "node").alias("up"), root.alias("done"), F.lit(1).cast("bigint").alias("size")), left=F.expr(OPEN_ROWS))
+    left = state.measured["left"]
     while left:
         below = state.where("not done").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("kids"))
         grown = rounds.cut(state.join(below, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"), state)
-        per_node = grown.where("kids > 0").select("node", F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"), "kids")
+        per_node = grown.where("kids > 0").select("node", F.col("up").alias("up2"), F.col("done").alias("done2"), "kids")
         moved = _jump(grown.where("not done").drop("kids"), per_node, left)
-        moved = moved.select("node", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"), "size")
-        state = rounds.cut(moved.unionByName(grown.where("done").drop("kids")), grown)
-        before, left = left, state.where("not done").count()
+        moved = moved.select("node", "parent", F.col("up2").alias("up"), F.col("done2").alias("done"), "size")
+        state = rounds.cut(moved.unionByName(grown.where("done").drop("kids")), grown, left=F.expr(OPEN_ROWS))
+        before, left = left, state.measured["left"]
         if left == before:
             break
-    return state.where("done").select("node", "parent", F.col("up").alias("root"), "depth", "size"), state.where("not done").select("node", "parent")
+    rounds.only(state)
+    return state.where("done").select("node", "parent", "size"), state.where("not done").select("node", "parent")
 
 
 def _descend(tree: DataFrame, paths: bool, rounds: Rounds) -> DataFrame:
-    """``tree`` with ``pre``, its preorder number within its tree (root 0), and with ``paths`` the ids from the root down.
+    """``tree`` with ``root``, ``depth``, ``pre``, its preorder number within its tree (root 0), and with ``paths`` the ids from the root down.
 
-    A family's members are ordered by hash bucket and id. Prefix sums of subtree sizes within a
-    bucket and over the buckets give each record's distance from its parent; downward these
-    distances are summed by doubling.
+    A family's members are ordered by the MD5 of their ids. Prefix sums of subtree sizes within its
+    parts and over them give each record's distance from its parent; downward these distances are
+    summed by doubling.
     """
-    family = tree.where("parent is not null").withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)))
-    inside = Window.partitionBy("parent", "_b").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    family = tree.where("parent is not null").withColumn("_h", F.md5(F.col("node").cast("string"))).withColumn("_b", F.substring("_h", 1, SIBLING_DIGITS))
+    inside = Window.partitionBy("parent", "_b").orderBy("_h", "node").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ahead = family.groupBy("parent", "_b").agg(F.sum("size").alias("_s")).select("parent", "_b", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_ahead"))
     local = family.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["parent", "_b"])
-    local = local.withColumn("_off", 1 + F.col("_in") + F.col("_ahead")).drop("_b", "_in", "_ahead")
+    local = local.withColumn("_off", 1 + F.col("_in") + F.col("_ahead")).select("node", "parent", "size", "_off")
     roots = tree.where("parent is null").withColumn("_off", F.lit(0).cast("bigint"))
+    root = F.col("parent").isNull()
     state = local.unionByName(roots).select(
-        "node", "parent", "root", "depth", "size", F.coalesce("parent", "node").alias("up"), F.col("_off").alias("pre"),
-        F.col("parent").isNull().alias("done"), *([F.array("node").alias("path")] if paths else []),
+        "node", "parent", "size", F.coalesce("parent", "node").alias("up"), F.when(root, 0).otherwise(1).alias("depth"), F.col("_off").alias("pre"),
+        root.alias("done"), *([F.array("node").alias("path")] if paths else []),
     )
-    state = rounds.cut(state)
-    left = state.where("not done").count()
+    state = rounds.cut(state, left=F.expr(OPEN_ROWS))
+    left = state.measured["left"]
     while left:
-        kids = state.where("not done").groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
-        per_node = state.join(kids, "node").select(
-            "node", F.col("up").alias("up2"), F.col("pre").alias("pre2"), F.col("done").alias("done2"), "kids",
+        per_node = _per_node(state, left).select(
+            "node", F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("pre").alias("pre2"), F.col("done").alias("done2"), "kids",
             *([F.col("path").alias("path2")] if paths else []),
         )
         moved = _jump(state.where("not done"), per_node, left).select(
-            "node", "parent", "root", "depth", "size", F.col("up2").alias("up"), (F.col("pre") + F.col("pre2")).alias("pre"),
+            "node", "parent", "size", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("pre") + F.col("pre2")).alias("pre"),
             F.col("done2").alias("done"), *([F.concat("path2", "path").alias("path")] if paths else []),
         )
-        state = rounds.cut(moved.unionByName(state.where("done")), state)
-        left = state.where("not done").count()
-    return state.drop("up", "done")
+        state = rounds.cut(moved.unionByName(state.where("done")), state, left=F.expr(OPEN_ROWS))
+        left = state.measured["left"]
+    return state.withColumnRenamed("up", "root").drop("done")
 
 
 def _cycles(rest: DataFrame, rounds: Rounds) -> DataFrame:
@@ -105,29 +125,34 @@ def _cycles(rest: DataFrame, rounds: Rounds) -> DataFrame:
 
     The records that are someone's 2^k-th ancestor become fewer until only cycles are left.
     """
-    state = rounds.cut(rest.select("node", F.col("parent").alias("up")))
-    image = None
+    state = rounds.cut(rest.select("node", F.col("parent").alias("up")), rows=F.count(F.lit(1)))
+    rows, image = state.measured["rows"], None
     while True:
-        kids = state.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
-        per_node = state.join(kids, "node").select("node", F.col("up").alias("up2"), "kids")
-        now = kids.count()
-        if now == image:
+        kids = rounds.cut(state.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids")), rows=F.count(F.lit(1)))
+        if kids.measured["rows"] == image:
             break
-        image = now
-        state = rounds.cut(_jump(state, per_node, state.count()).select("node", F.col("up2").alias("up")), state)
+        image = kids.measured["rows"]
+        per_node = state.join(kids, "node").select("node", F.col("up").alias("up2"), "kids")
+        state = rounds.cut(_jump(state, per_node, rows).select("node", F.col("up2").alias("up")), state)
+        rounds.drop(kids)
     on = rest.join(state.select(F.col("up").alias("node")).distinct(), "node", "left_semi")
     ring = rounds.cut(on.select("node", F.col("parent").alias("up"), F.col("node").alias("low")))
-    while True:
+    fell = True
+    while fell:
         ahead = ring.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        moved = rounds.cut(ring.join(ahead, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
-        ring = moved.drop("fell")
-        if not moved.where("fell").limit(1).count():
-            break
-    lows = ring.select("node", "low")
-    kids = state.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
-    met = _jump(state, lows.join(kids, "node"), image or 1)
-    mark = lows.select("node", F.lit(-1).alias("depth"))
-    return met.select("node", F.col("low").alias("root")).join(mark, "node", "left").select("node", "root", F.coalesce("depth", F.lit(-2)).alias("depth"))
+        moved = ring.join(ahead, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell"))
+        ring = rounds.cut(moved, ring, fell=F.count_if("fell"))
+        fell = ring.measured["fell"]
+        ring = _bare(ring)
+    met = _jump(state, ring.select("node", "low").join(kids, "node"), image or 1)
+    mark = ring.select("node", F.lit(-1).alias("depth"))
+    return rounds.cut(met.select("node", F.col("low").alias("root")).join(mark, "node", "left").select("node", "root", F.coalesce("depth", F.lit(-2)).alias("depth")))
+
+
+def _bare(ring: DataFrame) -> DataFrame:
+    out = ring.drop("fell")
+    out._round_path = ring._round_path
+    return out
 
 
 def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = False) -> DataFrame:
@@ -141,14 +166,17 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = False) ->
     the smallest id on the cycle (the first met going up), and size, pre, last and path are null.
 
     Links with a null end do not count, repeated links count once, an empty table gives no rows,
-    and other columns are not read. See :func:`parent_links` for records with several parents.
+    and other columns are not read. Of several parents the smallest counts; :func:`several_parents`
+    reports the links left out.
     """
     links = parent_links(edges, parent, child)
     links = links.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("parent")).alias("parent"))
-    rounds = Rounds(edges.sparkSession)
-    tree, rest = _climb(links, rounds)
-    placed = _descend(tree, paths, rounds).withColumn("last", F.col("pre") + F.col("size") - 1)
-    caught = rest.limit(1).count()
-    if caught:
-        placed = placed.unionByName(_cycles(rest, rounds), allowMissingColumns=True)
+    up, down, rings = (Rounds(edges.sparkSession) for _ in range(3))
+    tree, rest = _climb(links, up)
+    placed = _descend(tree, paths, down).withColumn("last", F.col("pre") + F.col("size") - 1)
+    if rest.limit(1).count():
+        caught = _cycles(rest, rings)
+        rings.only(caught)
+        placed = placed.unionByName(caught, allowMissingColumns=True)
+    up.only()
     return placed

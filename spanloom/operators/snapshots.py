@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.signed_cells import uncancelled
-from spanloom.operators.skew import BROADCAST_ROWS, sized_broadcast
+from spanloom.operators.skew import sized_broadcast
+from spanloom.session import Rounds
 
 
 def snapshot_changes(
@@ -19,45 +20,48 @@ def snapshot_changes(
     columns, ``key`` and ``fields``. A snapshot counts only if its distinct keys number ``size``.
 
     Each whole snapshot gives its rows as +1 to itself and as -1 to the next one, so one grouping
-    by signed cells classifies all keys; the first snapshot of a series gives no rows of its own.
+    by signed cells classifies all keys and names the fields that differ (``fields``, sorted, of
+    changed records). The first snapshot of a series gives no rows of its own.
+
+    Rows are shuffled once, by series and key, with their run as a number and long texts as 128-bit
+    digests; before it only (run, key) pairs are counted. Equal digests count as equal texts.
 
     Defined cases: exact copies count once. A run with several rows in ``runs`` has the latest
     ``at`` (ties: greatest size). Equal ``at`` in a series are ordered by run name. Of several
-    rows of a key in one snapshot the greatest holds. Null series and run values are values like
-    others; rows with a null key count as a record; a null ``size`` never counts. Null fields
-    equal null. Empty tables give no rows.
+    rows of a key in one snapshot the greatest holds (long texts by their digests). Null series and
+    run values are values like others; rows with a null key count as a record; a null ``size`` never
+    counts. Null fields equal null. Empty tables give no rows.
     """
     run_key = [*series, run]
-    meta = runs.groupBy(*run_key).agg(F.max(F.struct(at, size)).alias("_m")).select(*run_key, F.col("_m")[at].alias("_at"), F.col("_m")[size].alias("_size"))
-    # one row per snapshot and key: the map-side max also removes repeated rows before the shuffle
-    held = rows.groupBy(*run_key, key).agg(F.max(F.struct(*fields)).alias("_row"))
-    counted = held.groupBy(*run_key).agg(F.count(F.lit(1)).alias("_n"))
-    same = lambda a, b, ks: [a[k].eqNullSafe(b[k]) for k in ks]
-    whole = meta.join(counted, same(meta, counted, run_key)).where("_n = _size").select(*[meta[k] for k in run_key], "_at")
-    w = Window.partitionBy(*series).orderBy(F.col("_at").asc_nulls_first(), F.col(run))
-    linked = whole.withColumn("_prev", F.lag(F.struct(run)).over(w)).withColumn("_next", F.lead(F.struct(run)).over(w))
-    # each whole run and the runs it takes part in: itself (unless it is the first) and the next one
-    parts = linked.select(
-        *run_key,
-        F.filter(
-            F.array(
-                F.when(F.col("_prev").isNotNull(), F.struct(F.col(run).alias("to"), F.lit(1).alias("sign"))),
-                F.when(F.col("_next").isNotNull(), F.struct(F.col("_next")[run].alias("to"), F.lit(-1).alias("sign"))),
-            ),
-            lambda x: x.isNotNull(),
-        ).alias("_parts"),
-    ).where(F.size("_parts") > 0)
-    n_runs = runs.count()  # bounds the rows of ``parts``; read from the file's footers
-    few = n_runs <= BROADCAST_ROWS
-    right = sized_broadcast(parts.select(*[F.col(k).alias(f"_r_{k}") for k in run_key], "_parts"), n_runs)
-    # all snapshots' rows of a key in one partition: the copies for the next snapshot are made after
-    # the shuffle, and all grouping from here on is local. Many runs are joined before it, by their key
-    spread = held.repartition(*series, key) if few else held
-    placed = spread.join(right, [spread[k].eqNullSafe(right[f"_r_{k}"]) for k in run_key]).select(*series, "_parts", key, "_row")
-    placed = placed if few else placed.repartition(*series, key)
-    signed = placed.select(*series, F.explode("_parts").alias("_p"), key, "_row").select(
-        *series, F.col("_p.to").alias(run), key, F.col("_p.sign").alias("_sign"), *[F.col("_row")[f].alias(f) for f in fields]
+    rounds = Rounds(runs.sparkSession)
+    meta = runs.groupBy(*run_key).agg(F.max(F.struct(at, size)).alias("_m"))
+    # numbered once and written, so that both passes over the rows see the same numbers
+    meta = rounds.cut(meta.select(*run_key, F.col("_m")[at].alias("_at"), F.col("_m")[size].alias("_size"), F.monotonically_increasing_id().alias("_run")), rows=F.count(F.lit(1)))
+    n_runs = meta.measured["rows"]
+
+    def numbered(columns: list, numbers: DataFrame) -> DataFrame:
+        right = sized_broadcast(numbers.select(*[F.col(k).alias(f"_r_{k}") for k in run_key], *[c for c in numbers.columns if c not in run_key]), n_runs)
+        left = rows.select(*run_key, F.col(key).alias("_key"), *columns)
+        cond = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in run_key]
+        return left.join(right, cond).drop(*run_key, *[f"_r_{k}" for k in run_key])
+
+    counted = numbered([], meta.select(*run_key, "_run")).distinct().groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    whole = meta.join(counted, "_run").where("_n = _size")
+    one = Window.partitionBy(*series)
+    w = one.orderBy(F.col("_at").asc_nulls_first(), F.col(run))
+    own = F.when(F.lag("_run").over(w).isNotNull(), F.col("_run"))
+    linked = whole.select(*run_key, "_run", F.min("_run").over(one).alias("_series"), own.alias("_own"), F.lead("_run").over(w).alias("_next"))
+    linked = rounds.cut(linked.where("_own is not null or _next is not null"))
+    kinds = dict(rows.dtypes)
+    short = lambda c: F.when(F.octet_length(c) < 16, F.col(c).cast("binary")).otherwise(F.unhex(F.md5(c))) if kinds[c] == "string" else F.col(c)
+    placed = numbered([short(f).alias(f"_f{i}") for i, f in enumerate(fields)], linked).repartition("_series", "_key")
+    # from here on all grouping is local to the partition of (series, key)
+    held = placed.groupBy("_series", "_run", "_own", "_next", "_key").agg(F.max(F.struct(*[f"_f{i}" for i in range(len(fields))])).alias("_row"))
+    parts = F.array(F.struct(F.col("_own").alias("to"), F.lit(1).alias("sign")), F.struct(F.col("_next").alias("to"), F.lit(-1).alias("sign")))
+    signed = held.select("_series", F.explode(parts).alias("_p"), "_key", "_row").where("_p.to is not null").select(
+        "_series", F.col("_p.to").alias("_to"), "_key", F.col("_p.sign").alias("_sign"), *[F.col("_row")[f"_f{i}"].alias(f) for i, f in enumerate(fields)]
     )
-    left = uncancelled(signed, [*series, run, key], fields, "_sign")
+    left = uncancelled(signed, ["_series", "_to", "_key"], fields, "_sign")
     change = F.when(F.col("only") > 0, "added").when(F.col("only") < 0, "removed").otherwise("changed")
-    return left.select(*series, run, key, change.alias("change"))
+    named = left.join(sized_broadcast(meta.select(*run_key, F.col("_run").alias("_to")), n_runs), "_to")
+    return named.select(*run_key, F.col("_key").alias(key), change.alias("change"), F.when(F.col("only") == 0, F.col("fields")).alias("fields"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import plain_path, plain_value
 from spanloom.operators.copies import copy_differences
-from spanloom.operators.hierarchy import hierarchy
+from spanloom.operators.hierarchy import hierarchy, several_parents
 from spanloom.operators.orphans import orphan_references
 from spanloom.operators.snapshots import snapshot_changes
 from spanloom.sources.tables import table
@@ -40,6 +40,11 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_several_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links that the hierarchy leaves out, as their function hangs below another parent."""
+    return several_parents(_direct(spark, d), "source", "target").select(F.col("node").alias("function_id"), F.col("kept").alias("kept_parent"), F.col("dropped").alias("dropped_parent"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "discovery_facts").select("fact_id", "target_site_file", "target_site_line", "recorded_at")
     sites = table(spark, d, "target_sites").select("site_file", "site_line", "first_seen_at", "deleted_at")
@@ -61,13 +66,22 @@ def p6_by_month(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("parent_table", "month", "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _changes(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(
         table(spark, d, "graph_runs"), table(spark, d, "run_functions"), ["results_set", "process_name"], "run_id", "generated_at",
         "function_count", "function_id", ["name", "file", "start_line", "end_line", "source_sha256"],
     )
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d).drop("fields")
+
+
+def p7_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that differ of each changed record."""
+    return _changes(spark, d).select("results_set", "process_name", "run_id", "function_id", F.explode("fields").alias("field"))
+
+
 def p7_by_run(spark: SparkSession, d: str) -> DataFrame:
     """Changes counted per run and kind."""
     return p7_found(spark, d).groupBy("results_set", "process_name", "run_id", "change").agg(F.count(F.lit(1)).alias("functions"))
@@ -122,6 +136,27 @@ UNION ALL SELECT start, low, -1 FROM on_cycle
 UNION ALL SELECT start, low, -2 FROM below
 """
 
+P3_HIERARCHY = P3_CORE + """,
+above AS (SELECT function_id AS n, function_id AS a FROM walk UNION ALL SELECT above.n, par.up FROM above JOIN par ON par.n = above.a),
+sized AS (SELECT a AS n, count(*) AS size FROM above GROUP BY ALL),
+off AS (
+  SELECT par.n, par.up, 1 + coalesce(sum(size) OVER (PARTITION BY par.up ORDER BY md5(par.n), par.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM par JOIN sized ON sized.n = par.n),
+placed AS (
+  SELECT function_id AS n, 0::HUGEINT AS pre FROM walk WHERE depth = 0
+  UNION ALL SELECT off.n, placed.pre + off.off FROM placed JOIN off ON off.up = placed.n)
+SELECT w.function_id, w.root_id, w.depth, w.path, p.pre::BIGINT AS pre, (p.pre + s.size - 1)::BIGINT AS last, s.size - 1 AS n_descendants
+FROM walk w JOIN placed p ON p.n = w.function_id JOIN sized s ON s.n = w.function_id
+UNION ALL SELECT start, low, -1, NULL, NULL, NULL, NULL FROM on_cycle
+UNION ALL SELECT start, low, -2, NULL, NULL, NULL, NULL FROM below
+"""
+
+P3_SEVERAL = """
+WITH e AS (SELECT DISTINCT source AS p, target AS c FROM graph_calls WHERE kind = 'direct' AND source IS NOT NULL AND target IS NOT NULL),
+k AS (SELECT c, CASE WHEN bool_or(p = c) THEN c ELSE min(p) END AS kept FROM e GROUP BY c)
+SELECT e.c AS function_id, k.kept AS kept_parent, e.p AS dropped_parent FROM e JOIN k ON k.c = e.c WHERE e.p <> k.kept
+"""
+
 P6_CORE = r"""
 WITH s AS (
   SELECT regexp_replace(replace(site_file, '\', '/'), '^\.//?', '') AS file, site_line AS line, min(coalesce(first_seen_at, '-infinity'::TIMESTAMP)) AS first,
@@ -158,12 +193,24 @@ QUERIES = {
     "p2_found": (p2_found, P2),
     "p2_by_kind": (p2_by_process, f"SELECT difference, count(*) AS records FROM ({P2}) GROUP BY ALL"),
     "p3_found": (p3_found, P3),
-    "p3_hierarchy": (p3_hierarchy, None),
+    "p3_hierarchy": (p3_hierarchy, P3_HIERARCHY),
+    "p3_several_parents": (p3_several_parents, P3_SEVERAL),
     "p6_found": (p6_found, P6_CORE + "SELECT DISTINCT fact_id, reason FROM o WHERE reason IS NOT NULL"),
     "p6_by_month": (
         p6_by_month,
         P6_CORE + "SELECT 'target_sites' AS parent_table, strftime(recorded_at, '%Y-%m') AS month, reason, count(DISTINCT fact_id) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     ),
     "p7_found": (p7_found, P7 + "SELECT results_set, process_name, run_id, function_id, change FROM j WHERE change IS NOT NULL"),
+    "p7_fields": (
+        p7_fields,
+        P7.rstrip().removesuffix(")").rstrip() + """),
+x AS (
+  SELECT cur.results_set, cur.process_name, cur.run AS run_id, cur.function_id, unnest([
+    CASE WHEN cur.name IS DISTINCT FROM old.name THEN 'name' END, CASE WHEN cur.file IS DISTINCT FROM old.file THEN 'file' END,
+    CASE WHEN cur.start_line IS DISTINCT FROM old.start_line THEN 'start_line' END, CASE WHEN cur.end_line IS DISTINCT FROM old.end_line THEN 'end_line' END,
+    CASE WHEN cur.source_sha256 IS DISTINCT FROM old.source_sha256 THEN 'source_sha256' END]) AS field
+  FROM cur JOIN old ON cur.results_set = old.results_set AND cur.process_name = old.process_name AND cur.run = old.run AND cur.function_id = old.function_id)
+SELECT * FROM x WHERE field IS NOT NULL""",
+    ),
     "p7_by_run": (p7_by_run, P7 + "SELECT results_set, process_name, run_id, change, count(*) AS functions FROM j WHERE change IS NOT NULL GROUP BY ALL"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.cexpr import c_formula, without_parens
 from spanloom.operators.csource import scanned
+from spanloom.session import shared_folder
 from spanloom.sources import snapshots as S
 from spanloom.sources.tables import table
 from spanloom.streaming import incremental as I
@@ -79,7 +80,7 @@ def g1_call_scan(spark, d):
 
 @query("s15_snapshot_roundtrip", "SELECT process_name, count(*) AS functions, count(summary) AS with_summary FROM (SELECT DISTINCT process_name, id, summary FROM graph_functions WHERE process_name IS NOT NULL) GROUP BY ALL")
 def s15_snapshot_roundtrip(spark, d):
-    path = S.shared_path(spark, "snapshots")
+    path = shared_folder(spark, "snapshots")
     S.write_snapshots(table(spark, d, "graph_functions").where("process_name is not null").distinct().repartition("process_name"), path, "process_name")
     read = S.read_snapshots(spark, path, "id string, summary string, process_name string")
     return read.select("process_name", "id", "summary").distinct().groupBy("process_name").agg(F.count(F.lit(1)).alias("functions"), F.count("summary").alias("with_summary"))
@@ -87,7 +88,7 @@ def s15_snapshot_roundtrip(spark, d):
 
 @query("s18_csv_roundtrip", "SELECT process_name, run_id, coalesce(CAST(function_count AS VARCHAR), '') AS function_count, '' AS lacking FROM (SELECT DISTINCT * FROM graph_runs)")
 def s18_csv_roundtrip(spark, d):
-    path = S.shared_path(spark, "csv")
+    path = shared_folder(spark, "csv")
     S.write_csv(table(spark, d, "graph_runs").distinct(), path)
     return S.read_csv(spark, path, ["process_name", "run_id", "function_count", "lacking"])
 

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import ensure_checkpoint_dir
-
 BOM = "﻿"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_snapshots(df: DataFrame, path: str, by: str) -> None:
     """JSON lines in one folder per value of ``by``; a folder that exists is an error (snapshots are immutable)."""
     df.write.partitionBy(by).mode("errorifexists").json(path)

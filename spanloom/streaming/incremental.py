@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanloom.sources.snapshots import shared_path
+from spanloom.session import shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int) -> DataFrame:
@@ -26,7 +26,7 @@ def latest_by_stream(spark: SparkSession, path: str, schema: StructType, keys: l
     and written as a new generation; the pointer to it moves only after the write is whole, so a
     batch that is run again after a failure gives the same state.
     """
-    root = shared_path(spark, "stream")
+    root = shared_folder(spark, "stream")
     state = {"generation": None}
 
     def newest(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def windowed_counts(spark: SparkSession, path: str, schema: StructType, at: str,
     The table is finite, so no watermark drops late rows: the counts of each micro batch are added to
     those of the batches before it, and generations are written as by :func:`latest_by_stream`.
     """
-    root = shared_path(spark, "windows")
+    root = shared_folder(spark, "windows")
     state = {"generation": None}
 
     def counted(df: DataFrame) -> DataFrame:

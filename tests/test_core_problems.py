@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import plain_path, plain_value
 from spanloom.operators.copies import copy_differences
-from spanloom.operators.hierarchy import hierarchy
+from spanloom.operators.hierarchy import hierarchy, several_parents
 from spanloom.operators.orphans import orphan_references
 from spanloom.operators.skew import hot_split_join
 from spanloom.operators.snapshots import snapshot_changes
@@ -110,12 +110,73 @@ def test_snapshots(spark):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "set string, process string, run string, id string, name string, line int, value string")
 
     def changes(a, b):
-        return {tuple(r) for r in snapshot_changes(a, b, ["set", "process"], "run", "at", "size", "id", ["name", "line"]).collect()}
+        return {(*r[:5], None if r[5] is None else tuple(r[5])) for r in snapshot_changes(a, b, ["set", "process"], "run", "at", "size", "id", ["name", "line"]).collect()}
 
-    assert changes(runs, df) == {("s", "p", "r2", "f1", "removed"), ("s", "p", "r2", "f3", "added"), ("s", None, "y", "f1", "changed")}
+    assert changes(runs, df) == {("s", "p", "r2", "f1", "removed", None), ("s", "p", "r2", "f3", "added", None), ("s", None, "y", "f1", "changed", ("line",))}
     assert changes(runs.limit(0), df) == set() and changes(runs, df.limit(0)) == set()
 
 
+def test_snapshots_of_long_and_null_texts(spark):
+    runs = spark.createDataFrame([("r1", T[0], 3), ("r2", T[1], 3)], "run string, at timestamp, size int")
+    long = "x" * 100
+    rows = [("r1", "a", long), ("r2", "a", long), ("r1", "b", long), ("r2", "b", long + "y"), ("r1", "c", None), ("r2", "c", "")]
+    df = spark.createDataFrame(rows, "run string, id string, name string")
+    got = snapshot_changes(runs.withColumn("s", F.lit(1)), df.withColumn("s", F.lit(1)), ["s"], "run", "at", "size", "id", ["name"])
+    assert {(r["id"], r["change"], tuple(r["fields"])) for r in got.collect()} == {("b", "changed", ("name",)), ("c", "changed", ("name",))}
+
+
+def test_several_parents(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("c", "x"), ("a", "y"), ("z", "z"), ("a", "z"), (None, "x")], "p string, c string")
+    assert {tuple(r) for r in several_parents(df, "p", "c").collect()} == {("x", "a", "b"), ("x", "a", "c"), ("z", "z", "a")}
+
+
+def test_hierarchy_of_hot_parents(spark, monkeypatch):
+    import spanloom.operators.hierarchy as H
+    import spanloom.operators.skew as skew
+
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(H, "ONE_TASK_ROWS", 0)
+    edges = [("root", f"k{i}") for i in range(900)] + [("k7", f"m{i}") for i in range(300)] + [("m3", "end"), ("q", "p"), ("p", "q"), ("q", "r")]
+    got = hierarchy(spark.createDataFrame(edges, "p string, c string"), "p", "c").collect()
+    assert {r["node"]: (r["root"], r["depth"]) for r in got} == brute_hierarchy(edges)
+    by = {r["node"]: r for r in got}
+    assert (by["root"]["pre"], by["root"]["last"]) == (0, 1201) and sorted(r["pre"] for r in got if r["root"] == "root") == list(range(1202))
+    assert {r["node"] for r in got if r["pre"] and by["k7"]["pre"] < r["pre"] <= by["k7"]["last"]} == {f"m{i}" for i in range(300)} | {"end"}
+
+
+def test_written_rounds_are_removed(spark):
+    import os
+
+    from spanloom.session import Rounds, ensure_checkpoint_dir, release
+
+    release(spark)
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = lambda: {f"{d}/{x}" for d in os.listdir(root) if d.startswith("rounds") for x in os.listdir(f"{root}/{d}")}
+    before = tables()
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(40)] + [("a", "b"), ("b", "a")], "p string, c string")
+    df = hierarchy(edges, "p", "c")
+    assert df.count() == 43 and len(tables() - before) == 2  # the last round down, and the cycles
+    rounds = Rounds(spark)
+    one = rounds.cut(spark.range(5), n=F.count(F.lit(1)))
+    two = rounds.cut(one, one)
+    assert one.measured == {"n": 5} and two.count() == 5 and rounds.live == [two._round_path]
+    release(spark)
+    assert tables() == before
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from spanloom.session import ensure_checkpoint_dir
+
+    undefined = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=dict, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined)))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_hot_split_join_keeps_all_rows(spark, monkeypatch):
     import spanloom.operators.skew as skew
 
