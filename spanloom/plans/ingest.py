@@ -129,3 +129,10 @@ def t4_stream_upsert(spark, d):
 def t5_event_windows(spark, d):
     full = table(spark, d, "events").schema
     return I.windowed_counts(spark, f"{d}/events.parquet", full, "ts", "event_type")
+
+
+@query("t5_catalog_freshness", "SELECT count(*) AS n_rows FROM discovery_facts")
+def t5_catalog_freshness(spark, d):
+    """Rows of the files that a catalog has seen, each file once."""
+    full = table(spark, d, "discovery_facts").schema
+    return I.fresh_files(spark, f"{d}/discovery_facts.parquet", full).agg(F.sum("n_rows").alias("n_rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,60 +21,83 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
-def latest_by_stream(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], files_per_batch: int = 64) -> DataFrame:
-    """The latest row per key of the files under ``path``, read as a stream until none is left.
+def _generations(spark: SparkSession, root: str) -> dict[int, str]:
+    """The whole generations of state under ``root``, by the number of their micro batch."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "state-*/_SUCCESS"))
+    return {int(s.getPath().getParent().getName().removeprefix("state-")): s.getPath().getParent().toString() for s in done or []}
+
+
+def folded_stream(
+    spark: SparkSession, stream: DataFrame, reduced: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame], folder: str,
+) -> DataFrame:
+    """The state that micro batches of ``stream`` are folded into until none is left.
 
-    Each micro batch is reduced to one row per key, met with the state written by the batch before
-    and written as a new generation; the pointer to it moves only after the write is whole, so a
-    batch that is run again after a failure gives the same state.
+    A batch is ``reduced``, put together with the newest whole generation of an earlier batch under
+    ``folder``, ``merged`` and written as the batch's generation. What is whole is seen on disk, not
+    remembered: a stream that is started again on its ``folder``, also after a failure at any point,
+    goes on where it ended, and a batch that is run again starts from the same generation.
     """
-    root = shared_folder(spark, "stream")
-    state = {"generation": None}
+
+    def fold(batch: DataFrame, number: int) -> None:
+        rows = reduced(batch)
+        whole = _generations(spark, folder)
+        before = max((n for n in whole if n < number), default=None)
+        if before is not None:
+            rows = merged(spark.read.parquet(whole[before]).select(*rows.columns).unionByName(rows))
+        rows.write.mode("overwrite").parquet(f"{folder}/state-{number}")
+        for n, path in whole.items():  # the one before stays, in case this batch is run again
+            if before is not None and n < before:
+                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    whole = _generations(spark, folder)
+    return spark.read.parquet(whole[max(whole)]) if whole else reduced(spark.createDataFrame([], stream.schema))
+
+
+def latest_by_stream(
+    spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], files_per_batch: int = 64, folder: str | None = None,
+) -> DataFrame:
+    """The latest row per key of the files under ``path``, read as a stream until none is left (:func:`folded_stream`)."""
 
     def newest(df: DataFrame) -> DataFrame:
         row = F.struct(*order, *[c for c in df.columns if c not in keys and c not in order])
         return df.groupBy(*keys).agg(F.max(row).alias("_r")).select(*keys, "_r.*")
 
-    def fold(batch: DataFrame, number: int) -> None:
-        rows = newest(batch)
-        if state["generation"]:
-            rows = newest(spark.read.parquet(state["generation"]).select(*rows.columns).unionByName(rows))
-        target = f"{root}/state-{number}"
-        rows.write.mode("overwrite").parquet(target)
-        state["generation"] = target
-
-    stream = file_stream(spark, path, schema, files_per_batch)
-    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if state["generation"] is None:
-        return newest(spark.createDataFrame([], schema))
-    return spark.read.parquet(state["generation"])
+    return folded_stream(spark, file_stream(spark, path, schema, files_per_batch), newest, newest, folder or shared_folder(spark, "stream"))
 
 
-def windowed_counts(spark: SparkSession, path: str, schema: StructType, at: str, group: str, width: str = "1 hour", files_per_batch: int = 64) -> DataFrame:
+def windowed_counts(
+    spark: SparkSession, path: str, schema: StructType, at: str, group: str, width: str = "1 hour", files_per_batch: int = 64, folder: str | None = None,
+) -> DataFrame:
     """Rows per tumbling window and group of the files under ``path``, read as a stream until none is left; an extension for event tables.
 
     The table is finite, so no watermark drops late rows: the counts of each micro batch are added to
-    those of the batches before it, and generations are written as by :func:`latest_by_stream`.
+    those of the batches before it (:func:`folded_stream`).
     """
-    root = shared_folder(spark, "windows")
-    state = {"generation": None}
 
     def counted(df: DataFrame) -> DataFrame:
         rows = df.groupBy(F.window(F.col(at).cast("timestamp"), width), group).agg(F.count(F.lit(1)).alias("n"))
         return rows.select(F.col("window.start").alias("window_start"), group, "n")
 
-    def fold(batch: DataFrame, number: int) -> None:
-        rows = counted(batch)
-        if state["generation"]:
-            rows = spark.read.parquet(state["generation"]).unionByName(rows).groupBy("window_start", group).agg(F.sum("n").alias("n"))
-        target = f"{root}/state-{number}"
-        rows.write.mode("overwrite").parquet(target)
-        state["generation"] = target
-
-    stream = file_stream(spark, path, schema, files_per_batch)
-    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if state["generation"] is None:
-        return counted(spark.createDataFrame([], schema))
-    return spark.read.parquet(state["generation"])
+    def added(df: DataFrame) -> DataFrame:
+        return df.groupBy("window_start", group).agg(F.sum("n").alias("n"))
+
+    return folded_stream(spark, file_stream(spark, path, schema, files_per_batch), counted, added, folder or shared_folder(spark, "windows"))
+
+
+def fresh_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64, folder: str | None = None) -> DataFrame:
+    """``path``, ``length``, ``modified`` and ``n_rows`` of the files of a catalog, each file read once: on a later call with the same ``folder`` only new files are read."""
+    stream = file_stream(spark, path, schema, files_per_batch).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+
+    def seen(df: DataFrame) -> DataFrame:
+        names = F.col("file_path").alias("path"), F.col("file_size").alias("length"), F.col("file_modification_time").alias("modified")
+        return df.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"))
+
+    def newest(df: DataFrame) -> DataFrame:
+        return df.groupBy("path").agg(F.max(F.struct("modified", "length", "n_rows")).alias("x")).select("path", "x.length", "x.modified", "x.n_rows")
+
+    return folded_stream(spark, stream, seen, newest, folder or shared_folder(spark, "catalog"))

@@ -10,6 +10,7 @@ from spanloom.functions.cexpr import evaluate, strip_parens
 from spanloom.operators.csource import scan
 from spanloom.operators.flow import argument_values, flow_rows, scanned_flow
 from spanloom.operators.graph import components
+from spanloom.session import shared_folder
 from spanloom.sources import snapshots as S
 from spanloom.streaming.incremental import latest_by_stream
 
@@ -74,12 +75,12 @@ def test_components(spark):
 
 def test_snapshots_and_csv_round_trips(spark):
     df = spark.createDataFrame([("p", 'a "q", b\nc', 1), ("q", None, None)], "process string, text string, n int")
-    path = S.shared_path(spark, "t")
+    path = shared_folder(spark, "t")
     S.write_snapshots(df, path, "process")
     assert {tuple(r) for r in S.read_snapshots(spark, path, "text string, process string").collect()} == {('a "q", b\nc', "p"), (None, "q")}
     with pytest.raises(Exception):
         S.write_snapshots(df, path, "process")
-    path = S.shared_path(spark, "t")
+    path = shared_folder(spark, "t")
     S.write_csv(df, path)
     assert {tuple(r) for r in S.read_csv(spark, path, ["process", "text", "n", "more"]).collect()} == {("p", 'a "q", b\nc', "1", ""), ("q", "", "", "")}
 
@@ -92,7 +93,7 @@ def test_grouped_index_round_trip(spark):
 
 def test_stream_keeps_the_latest(spark):
     df = spark.createDataFrame([(k, t, f"{k}{t}") for t in range(6) for k in range(3)], "k int, t int, v string")
-    path = S.shared_path(spark, "t")
+    path = shared_folder(spark, "t")
     df.repartition(5).write.parquet(path)
     got = latest_by_stream(spark, path, df.schema, ["k"], ["t"], files_per_batch=2)
     assert {tuple(r) for r in got.select("k", "t", "v").collect()} == {(k, 5, f"{k}5") for k in range(3)}
@@ -151,3 +152,43 @@ def test_fingerprints_change_upward_only(spark):
 
     one, two = of("3"), of("4")
     assert set(one) == {"a", "b", "c", "d"} and {n for n in one if one[n] != two[n]} == {"a", "c"}
+
+
+def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
+    import spanloom.streaming.incremental as I
+
+    source, folder = tmp_path / "in", f"file:{tmp_path}/state"
+    source.mkdir()
+    write = lambda n, rows: spark.createDataFrame(rows, "k bigint, at bigint").coalesce(1).write.mode("append").parquet(f"{source}")
+    write(0, [(1, 1), (2, 1)])
+    schema = spark.read.parquet(str(source)).schema
+    run = lambda: {tuple(r) for r in latest_by_stream(spark, str(source), schema, ["k"], ["at"], 1, folder).collect()}
+    assert run() == {(1, 1), (2, 1)}
+    write(1, [(2, 2), (3, 2)])
+    whole = I._generations
+    calls = []
+
+    def killed(*args):
+        calls.append(1)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(I, "_generations", killed)  # the batch fails before its state is whole
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(I, "_generations", whole)
+    assert calls and run() == {(1, 1), (2, 2), (3, 2)}
+    write(2, [(1, 9)])
+    assert run() == {(1, 9), (2, 2), (3, 2)} == run()
+    assert len(whole(spark, folder)) == 2
+
+
+def test_catalog_reads_new_files_only(spark, tmp_path):
+    from spanloom.streaming.incremental import fresh_files
+
+    source, folder = str(tmp_path / "in"), f"file:{tmp_path}/state"
+    spark.range(3).coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    first = fresh_files(spark, source, schema, folder=folder).collect()
+    spark.range(4).coalesce(1).write.mode("append").parquet(source)
+    then = fresh_files(spark, source, schema, folder=folder).collect()
+    assert [r["n_rows"] for r in first] == [3] and sorted(r["n_rows"] for r in then) == [3, 4] and {r["path"] for r in first} < {r["path"] for r in then}
