@@ -3,19 +3,18 @@
 Every record has a fixed hash. A source's budget is met by taking all its records some whole number
 of times and once more those whose hash lies below a threshold. The threshold is found from sums of
 tokens by hash bucket, then by sub-bucket of the one bucket on the budget's border, and so on: no
-sort, and what reaches the driver is one row per source.
+sort, and what reaches the driver is one number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.skew import sized_broadcast
 from spanloom.session import Rounds
 
 BITS, LEVELS = 12, 5
-#: A mix may have so many sources at most; their thresholds are broadcast.
-MAX_SOURCES = 10_000
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -33,67 +32,58 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tup
     come with their hash like others. A repeated target row counts once (the greatest). The budget
     is met up to the one record on the border, which stays out. Repeated ids are records each.
     """
-    spark = sizes.sparkSession
+    rounds = Rounds(sizes.sparkSession)
     goals = targets.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select(
         "source", F.greatest(F.coalesce("t.target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("t.max_repeats", F.lit(0)), F.lit(0)).alias("cap")
     )
-    if goals.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rounds = Rounds(spark)
+    n_goals = targets.count()  # bounds every table of one row a source; beyond a bound these are shuffled
+    per_source = lambda df: sized_broadcast(df, n_goals)
     rows = rounds.cut(
         sizes.select("id", "source", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
-        .join(F.broadcast(goals.select("source")), "source").withColumn("hash", F.xxhash64("id", F.lit(17)))
+        .join(per_source(goals.select("source")), "source").withColumn("hash", F.xxhash64("id", F.lit(17)))
     )
-    have = rows.groupBy("source").agg(F.sum("tokens").alias("have"))
-    plan = {r["source"]: r for r in goals.join(have, "source", "left").select("source", "share", "cap", F.coalesce("have", F.lit(0)).alias("have")).collect()}
+    have = rounds.cut(goals.join(rows.groupBy("source").agg(F.sum("tokens").alias("have")), "source", "left").withColumn("have", F.coalesce("have", F.lit(0))))
     if total is None:
-        reach = [r["cap"] * r["have"] / r["share"] for r in plan.values() if r["share"] > 0 and r["cap"] * r["have"] > 0]
-        total = min(reach, default=0.0)
-    budget = {s: min(int(r["share"] * total + 1e-6), r["cap"] * r["have"]) for s, r in plan.items()}
-    whole = {s: budget[s] // r["have"] if r["have"] else 0 for s, r in plan.items()}
-    rest = {s: budget[s] - whole[s] * r["have"] for s, r in plan.items()}
-    # the hash as an unsigned number, read BITS at a time from the top
-    bounds = {s: {"prefix": 0, "left": rest[s], "below": 0} for s in plan if rest[s] > 0}
-    unsigned = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
-
-    def head(level: int):
-        return F.shiftrightunsigned("hash", 64 - BITS * level) if level else F.lit(0).cast("bigint")
-
+        total = have.where("share > 0 and cap * have > 0").agg(F.min(F.col("cap") * F.col("have") / F.col("share"))).first()[0] or 0.0
+    most = F.col("cap").cast("double") * F.col("have")
+    budget = F.least(F.floor(F.col("share") * F.lit(float(total)) + 1e-6).cast("double"), most).cast("bigint")
+    whole = F.when(F.col("have") > 0, F.expr("budget div have")).otherwise(0)
+    # the records below the bound: those whose hash, read by the first level * BITS bits, is below prefix
+    state = have.withColumn("budget", budget).withColumn("whole", whole.cast("bigint")).select(
+        "source", "whole", (F.col("budget") - F.col("whole") * F.col("have")).alias("room"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).alias("level")
+    )
+    state = rounds.cut(state.withColumn("fixed", F.col("room") <= 0), fixed=F.expr("count_if(not fixed)"))
     for level in range(1, LEVELS + 1):
-        if not bounds:
+        if not state.measured["fixed"]:
             break
-        border = F.broadcast(spark.createDataFrame([(s, b["prefix"], float(b["left"])) for s, b in bounds.items()], "source string, prefix bigint, room double"))
-        inside = rows.join(border, "source").where(head(level - 1) == F.col("prefix"))
-        sums = inside.groupBy("source", "room", head(level).alias("bucket")).agg(F.sum("tokens").alias("n"))
+        inside = rows.join(per_source(state.where("not fixed").select("source", "prefix", "room")), "source").where(_head(level - 1) == F.col("prefix"))
+        sums = inside.groupBy("source", "room", _head(level).alias("bucket")).agg(F.sum("tokens").alias("n"))
         w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         # the first bucket that no longer fits, and what the buckets before it take
-        run = sums.withColumn("upto", F.sum("n").over(w)).where("upto > room").groupBy("source").agg(F.min(F.struct("bucket", F.col("upto") - F.col("n"))).alias("b"))
-        found = {r["source"]: r["b"] for r in run.collect()}
-        for s in list(bounds):
-            if s in found:
-                bounds[s] = {"prefix": found[s][0], "left": bounds[s]["left"] - found[s][1]}
-            else:  # all of the bucket fits: the border lies at its end
-                bounds[s] = {"prefix": bounds[s]["prefix"], "left": bounds[s]["left"], "all": level}
-        done = [s for s in bounds if "all" in bounds[s]]
-        for s in done:
-            rest[s] = ((bounds[s]["prefix"] + 1) << (64 - BITS * (bounds[s]["all"] - 1))) if bounds[s]["all"] > 1 else 1 << 64
-            bounds.pop(s)
-    for s, b in bounds.items():
-        rest[s] = b["prefix"] << (64 - BITS * LEVELS)
-    limits = [(s, int(whole[s]), _signed(rest[s] if rest.get(s) else 0), bool(rest.get(s, 0) >= 1 << 64)) for s in plan]
-    limit = F.broadcast(spark.createDataFrame(limits, "source string, whole int, threshold bigint, everything boolean"))
-    taken = rows.join(limit, "source").withColumn("repeats", F.col("whole") + (F.col("everything") | (unsigned < F.col("threshold"))).cast("int"))
+        over = sums.withColumn("upto", F.sum("n").over(w)).where("upto > room").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("b"))
+        met, full = F.col("b").isNotNull(), ~F.col("fixed") & F.col("b").isNull()  # full: all of the bucket fits, the bound lies at its end
+        state = rounds.cut(
+            state.join(over, "source", "left").select(
+                "source", "whole", F.when(met, F.col("room") - F.col("b.before")).otherwise(F.col("room")).alias("room"),
+                F.when(met, F.col("b.bucket")).when(full, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("prefix"),
+                F.when(met, F.lit(level)).otherwise(F.col("level")).alias("level"), (F.col("fixed") | full).alias("fixed"),
+            ),
+            state, fixed=F.expr("count_if(not fixed)"),
+        )
+    below = F.when(F.col("level") == 0, F.lit(0).cast("bigint")).otherwise(F.expr(f"shiftrightunsigned(hash, 64 - {BITS} * level)")) < F.col("prefix")
+    taken = rows.join(per_source(state.select("source", "whole", "prefix", "level")), "source").withColumn("repeats", (F.col("whole") + below.cast("int")).cast("int"))
     records = taken.where("repeats > 0").select("id", "source", "tokens", "repeats")
     mixed = records.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.count(F.lit(1)).alias("n_records"), F.max("repeats").alias("most_repeats"))
     whole_mix = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # over one row per target
-    shares = goals.join(have, "source", "left").join(mixed, "source", "left").withColumn("all", whole_mix).select(
-        "source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), F.coalesce("have", F.lit(0)).alias("available_tokens"),
+    shares = have.join(mixed, "source", "left").withColumn("all", whole_mix).select(
+        "source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), F.col("have").alias("available_tokens"),
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("n_records", F.lit(0)).alias("n_records"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("mixed_tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"),
     )
+    rounds.only(rows, have, state)
     return records, shares
 
 
-def _signed(unsigned: int) -> int:
-    """A 64-bit number in the order of signed ones: the least unsigned number becomes the least signed one."""
-    return min(unsigned, (1 << 64) - 1) - (1 << 63)
+def _head(level: int) -> Column:
+    """The first ``level * BITS`` bits of the hash as a number."""
+    return F.shiftrightunsigned("hash", 64 - BITS * level) if level else F.lit(0).cast("bigint")
