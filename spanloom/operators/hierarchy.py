@@ -9,6 +9,8 @@ state is written to the shared checkpoint folder (:class:`Rounds`).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,36 +55,34 @@ def several_parents(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return links.join(kept, "node").where("dropped <> kept").select("node", "kept", "dropped")
 
 
-def _per_node(state: DataFrame, left: int) -> DataFrame:
-    """``state`` of the records that are someone's ``up``, with ``kids``, the number of open records that are below them."""
-    if left <= ONE_TASK_ROWS:  # no key can be hot
-        return state.withColumn("kids", F.lit(1))
-    return state.join(state.where("not done").groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids")), "node")
-
-
 def _climb(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     """(tree, rest): records with ``node, parent, size`` and the unprocessed ones with ``node, parent``.
 
-    After round k a record of depth d is done if d < 2^k; else ``up`` is exactly 2^k above it.
-    ``size`` counts the descendants nearer than 2^k, with the record itself; those from there to
-    2^(k+1) are what the open records pointing at it have counted below themselves. A round that
-    finishes no record ends the climb: what is open then never reaches a root.
+    In round k the open records are those of depth 2^k or more; ``up`` is exactly 2^k above, and
+    ``size`` counts the descendants nearer than 2^k, with the record itself. What points at a record
+    in any round is its descendants at 2^k to 2^(k+1), so its size is 1 and all that ever pointed at
+    it. A record leaves when nothing open is 2^k above it. A round that no record leaves ends the
+    climb: what is open then never reaches a root.
     """
-    root = F.col("parent").isNull()
-    state = rounds.cut(links.select("node", "parent", F.coalesce("parent", "node").alias("up"), root.alias("done"), F.lit(1).cast("bigint").alias("size")), left=F.expr(OPEN_ROWS))
-    left = state.measured["left"]
+    below = rounds.cut(links.where("parent is not null").select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")), rows=F.count(F.lit(1)))
+    every, left = [below], below.measured["rows"]
     while left:
-        below = state.where("not done").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("kids"))
-        grown = rounds.cut(state.join(below, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"), state)
-        per_node = grown.where("kids > 0").select("node", F.col("up").alias("up2"), F.col("done").alias("done2"), "kids")
-        moved = _jump(grown.where("not done").drop("kids"), per_node, left)
-        moved = moved.select("node", "parent", F.col("up2").alias("up"), F.col("done2").alias("done"), "size")
-        state = rounds.cut(moved.unionByName(grown.where("done").drop("kids")), grown, left=F.expr(OPEN_ROWS))
-        before, left = left, state.measured["left"]
-        if left == before:
+        met = below.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("kids"))
+        grown = below.join(met, "node", "left").select("node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        above = below.select("node", F.col("up").alias("up2"))
+        above = above.withColumn("kids", F.lit(1)) if left <= ONE_TASK_ROWS else above.join(met.select("node", "kids"), "node")
+        moved = rounds.cut(_jump(grown, above, left).select("node", F.col("up2").alias("up"), "size"), rows=F.count(F.lit(1)))
+        if moved.measured["rows"] == left:
+            rounds.drop(moved)
             break
-    rounds.only(state)
-    return state.where("done").select("node", "parent", "size"), state.where("not done").select("node", "parent")
+        below, left = moved, moved.measured["rows"]
+        every.append(below)
+    pointed = reduce(DataFrame.unionByName, [t.select(F.col("up").alias("node"), "size") for t in every]).groupBy("node").agg(F.sum("size").alias("more"))
+    tree = links.join(below.select("node"), "node", "left_anti") if left else links
+    tree = rounds.cut(tree.join(pointed, "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")))
+    rest = rounds.cut(links.join(below.select("node"), "node", "left_semi").select("node", "parent"), rows=F.count(F.lit(1))) if left else None
+    rounds.only(tree, rest)
+    return tree, rest
 
 
 def _descend(tree: DataFrame, paths: bool, rounds: Rounds) -> DataFrame:
@@ -90,7 +90,7 @@ def _descend(tree: DataFrame, paths: bool, rounds: Rounds) -> DataFrame:
 
     A family's members are ordered by the MD5 of their ids. Prefix sums of subtree sizes within its
     parts and over them give each record's distance from its parent; downward these distances are
-    summed by doubling.
+    summed by doubling. A record that has reached its root is not written again.
     """
     family = tree.where("parent is not null").withColumn("_h", F.md5(F.col("node").cast("string"))).withColumn("_b", F.substring("_h", 1, SIBLING_DIGITS))
     inside = Window.partitionBy("parent", "_b").orderBy("_h", "node").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,19 +105,26 @@ def _descend(tree: DataFrame, paths: bool, rounds: Rounds) -> DataFrame:
         root.alias("done"), *([F.array("node").alias("path")] if paths else []),
     )
     state = rounds.cut(state, left=F.expr(OPEN_ROWS))
-    left = state.measured["left"]
+    done, left = [state.where("done")], state.measured["left"]
     while left:
-        per_node = _per_node(state, left).select(
+        open_ = state.where("not done")
+        every = reduce(DataFrame.unionByName, [*done, open_])
+        if left > ONE_TASK_ROWS:
+            every = every.join(open_.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids")), "node")
+        else:  # no key can be hot
+            every = every.withColumn("kids", F.lit(1))
+        per_node = every.select(
             "node", F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("pre").alias("pre2"), F.col("done").alias("done2"), "kids",
             *([F.col("path").alias("path2")] if paths else []),
         )
-        moved = _jump(state.where("not done"), per_node, left).select(
+        moved = _jump(open_, per_node, left).select(
             "node", "parent", "size", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("pre") + F.col("pre2")).alias("pre"),
             F.col("done2").alias("done"), *([F.concat("path2", "path").alias("path")] if paths else []),
         )
-        state = rounds.cut(moved.unionByName(state.where("done")), state, left=F.expr(OPEN_ROWS))
+        state = rounds.cut(moved, left=F.expr(OPEN_ROWS))
+        done.append(state.where("done"))
         left = state.measured["left"]
-    return state.withColumnRenamed("up", "root").drop("done")
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("up", "root").drop("done")
 
 
 def _cycles(rest: DataFrame, rounds: Rounds) -> DataFrame:
@@ -170,11 +177,11 @@ def hierarchy(edges: DataFrame, parent: str, child: str, paths: bool = False) ->
     reports the links left out.
     """
     links = parent_links(edges, parent, child)
-    links = links.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("parent")).alias("parent"))
     up, down, rings = (Rounds(edges.sparkSession) for _ in range(3))
+    links = up.cut(links.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("parent")).alias("parent")))
     tree, rest = _climb(links, up)
     placed = _descend(tree, paths, down).withColumn("last", F.col("pre") + F.col("size") - 1)
-    if rest.limit(1).count():
+    if rest is not None:
         caught = _cycles(rest, rings)
         rings.only(caught)
         placed = placed.unionByName(caught, allowMissingColumns=True)
