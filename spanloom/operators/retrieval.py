@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import Rounds
+
 K1, B = 1.4, 0.72
 
 
@@ -14,19 +16,34 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def bm25(posts: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """``query, key, score``: BM25 of each query (query, token; tokens distinct) against all postings.
+#: So many asked tokens at most are sent to the tasks that tokenise; of more, all tokens are kept and met by a join.
+MOST_ASKED = 10_000
+
+
+def asked_postings(docs: DataFrame, key: str, tokens: str, queries: DataFrame) -> tuple[DataFrame, int, float]:
+    """(``key, token, tf, doc_len`` of the tokens of ``queries`` only, number of documents with a token, their mean length).
+
+    The documents are tokenised once: lengths and the asked tokens are written, the sums over all
+    documents taken in passing, and no other token is shuffled.
+    """
+    asked = [r[0] for r in queries.select("token").distinct().limit(MOST_ASKED + 1).collect()]
+    kept = F.filter(tokens, lambda x: x.isin(asked)) if len(asked) <= MOST_ASKED else F.col(tokens)
+    rows = docs.select(key, F.size(tokens).alias("doc_len"), kept.alias("kept")).where("doc_len > 0")
+    rows = Rounds(docs.sparkSession).cut(rows, n=F.count(F.lit(1)), total=F.sum("doc_len"))
+    hits = rows.select(key, "doc_len", F.explode("kept").alias("token")).join(F.broadcast(queries.select("token").distinct()) if len(asked) <= MOST_ASKED else queries.select("token").distinct(), "token")
+    n, total = rows.measured["n"], rows.measured["total"] or 0
+    return hits.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len")), n, total / n if n else 0.0
+
+
+def bm25(hits: DataFrame, n: int, mean: float, key: str, queries: DataFrame) -> DataFrame:
+    """``query, key, score``: BM25 of each query (query, token; tokens distinct) over its tokens' postings among ``n`` documents of ``mean`` length.
 
-    The corpus statistics, two numbers, are read first; the queries meet the postings on the token.
     A token of a third of all rows is spread by the map-side sums of both groupings.
     """
-    size = posts.groupBy(key).agg(F.max("doc_len").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len")).first()
-    n, avg_len = F.lit(size["n"]), F.lit(size["avg_len"] or 1.0)
-    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.distinct().join(df, "token").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hit = posts.join(wanted, "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
-    return hit.groupBy("query", key).agg(F.sum(part).alias("score"))
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    wanted = queries.distinct().join(df, "token").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(mean or 1.0)))
+    return hits.join(wanted, "token").groupBy("query", key).agg(F.sum(part).alias("score"))
 
 
 def top(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

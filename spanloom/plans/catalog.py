@@ -11,7 +11,7 @@ from spanloom.operators import graph as G
 from spanloom.operators import joins as J
 from spanloom.operators import retrieval as R
 from spanloom.operators.csource import classified_lines, scanned
-from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, RECORDS, ROOTS, SITES, _calls, _edges, _facts, _functions, _records, _sites, r3_bm25_topk
+from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, RECORDS, ROOTS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once, r3_bm25_topk
 from spanloom.plans.warehouse import BM25_SQL
 from spanloom.sources.tables import table
 
@@ -105,7 +105,7 @@ WITH r AS (SELECT DISTINCT * FROM graph_runs), n AS (SELECT * FROM r WHERE resul
 SELECT process_name, run_id, results_set FROM n UNION ALL SELECT process_name, run_id, results_set FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.process_name = o.process_name AND n.run_id = o.run_id)
 """)
 def k7_manifest_upsert(spark, d):
-    r = table(spark, d, "graph_runs").distinct()
+    r = once(table(spark, d, "graph_runs"))
     newest = r.agg(F.max("results_set")).first()[0]
     marked = r.withColumn("new", F.col("results_set") == F.lit(newest))
     new, old = marked.where("new"), marked.where("not new")
@@ -269,7 +269,7 @@ def o6_longest_roots(spark, d):
 
 @query("o9_newest_runs", "SELECT results_set, process_name, run_id FROM (SELECT DISTINCT * FROM graph_runs) ORDER BY generated_at DESC, process_name DESC, run_id DESC LIMIT 40")
 def o9_newest_runs(spark, d):
-    return table(spark, d, "graph_runs").distinct().orderBy(F.desc("generated_at"), F.desc("process_name"), F.desc("run_id")).limit(40).select("results_set", "process_name", "run_id")
+    return once(table(spark, d, "graph_runs")).orderBy(F.desc("generated_at"), F.desc("process_name"), F.desc("run_id")).limit(40).select("results_set", "process_name", "run_id")
 
 
 @query("u5_ordered_distinct", f"WITH x AS (SELECT target_function, link_method, min(fact_id) AS p FROM {FACTS} GROUP BY ALL) SELECT target_function, string_agg(link_method, ',' ORDER BY p) AS methods FROM x GROUP BY ALL")
@@ -283,8 +283,8 @@ def u5_ordered_distinct(spark, d):
 
 @query("g4_reachability_label", f"""
 WITH RECURSIVE d AS (SELECT * FROM {DIRECT}), e AS (SELECT * FROM {EDGES}), r AS (SELECT node FROM {ROOTS.format('d')}),
-a AS (SELECT node, 0 AS k FROM r UNION SELECT d.target, a.k + 1 FROM a JOIN d ON d.source = a.node WHERE a.k < 12),
-b AS (SELECT node, 0 AS k FROM r UNION SELECT e.target, b.k + 1 FROM b JOIN e ON e.source = b.node WHERE b.k < 12)
+a AS (SELECT node FROM r UNION SELECT d.target FROM a JOIN d ON d.source = a.node),
+b AS (SELECT node FROM r UNION SELECT e.target FROM b JOIN e ON e.source = b.node)
 SELECT id, CASE WHEN process_name IS NULL THEN 'OUT_OF_PROCESS_SCOPE' WHEN id IN (SELECT node FROM a) THEN 'DIRECT_ROOT' WHEN id IN (SELECT node FROM b) THEN 'CALLBACK' ELSE 'UNREACHABLE_IN_PROCESS' END AS reachability FROM (SELECT DISTINCT id, process_name FROM graph_functions)
 """)
 def g4_reachability_label(spark, d):

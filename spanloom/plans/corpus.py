@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import values as V
+from spanloom.functions.text import plain_path
 from spanloom.operators import graph as G
 from spanloom.operators import joins as J
 from spanloom.operators.csource import scanned
 from spanloom.operators.flow import argument_values, scanned_flow
 from spanloom.operators.hierarchy import hierarchy
 from spanloom.plans.core_problems import P3_CORE
-from spanloom.plans.warehouse import CALLS, DIRECT, FACTS, FUNCTIONS, RECORDS, SITES, _calls, _edges, _facts, _functions, _records, _sites
+from spanloom.plans.warehouse import CALLS, DIRECT, FACTS, FUNCTIONS, RECORDS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once
 from spanloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -239,7 +240,7 @@ def a26_unresolved_reason(spark, d):
 
 @query("a29_run_rollup", "SELECT results_set, count(*) AS runs, count(DISTINCT process_name) AS processes, max(generated_at) AS latest, CAST(sum(function_count) AS BIGINT) AS functions FROM (SELECT DISTINCT * FROM graph_runs) GROUP BY ALL")
 def a29_run_rollup(spark, d):
-    r = table(spark, d, "graph_runs").distinct()
+    r = once(table(spark, d, "graph_runs"))
     return r.groupBy("results_set").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("process_name").alias("processes"), F.max("generated_at").alias("latest"), F.sum(F.col("function_count").cast("bigint")).alias("functions"))
 
 
@@ -372,12 +373,12 @@ def fl8_library_owned(spark, d):
 
 
 @query("fl9_guard_contradiction", """
-WITH g AS (SELECT DISTINCT fact_id, target_site_file AS f, target_site_line AS l, regexp_extract(json_extract_string(metadata, '$.guard'), '> (\\d+)', 1)::INT AS v, json_extract_string(metadata, '$.arm') AS arm FROM discovery_facts WHERE json_extract_string(metadata, '$.guard') IS NOT NULL)
+WITH g AS (SELECT DISTINCT fact_id, file AS f, line AS l, regexp_extract(json_extract_string(metadata, '$.guard'), '> (\\d+)', 1)::INT AS v, json_extract_string(metadata, '$.arm') AS arm FROM """ + FACTS + """ WHERE json_extract_string(metadata, '$.guard') IS NOT NULL)
 SELECT a.fact_id AS fact_a, b.fact_id AS fact_b FROM g a JOIN g b ON a.f = b.f AND a.l = b.l AND a.arm <> b.arm AND a.v = b.v WHERE a.fact_id < b.fact_id
 """)
 def fl9_guard_contradiction(spark, d):
     guard = F.get_json_object("metadata", "$.guard")
-    g = table(spark, d, "discovery_facts").where(guard.isNotNull()).select("fact_id", F.col("target_site_file").alias("f"), F.col("target_site_line").alias("l"), F.regexp_extract(guard, r"> (\d+)", 1).try_cast("int").alias("v"), F.get_json_object("metadata", "$.arm").alias("arm")).distinct()
+    g = table(spark, d, "discovery_facts").where(guard.isNotNull()).select("fact_id", plain_path(F.col("target_site_file")).alias("f"), F.col("target_site_line").alias("l"), F.regexp_extract(guard, r"> (\d+)", 1).try_cast("int").alias("v"), F.get_json_object("metadata", "$.arm").alias("arm")).distinct()
     b = g.select(F.col("fact_id").alias("fact_b"), "f", "l", "v", F.col("arm").alias("arm_b"))
     return g.join(b, ["f", "l", "v"]).where("arm <> arm_b and fact_id < fact_b").select(F.col("fact_id").alias("fact_a"), "fact_b")
 
