@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.cexpr import c_formula
 from spanloom.operators.csource import DIRECTIVE, HEAD, NOT_CALLS, blanked, plain, scan
 from spanloom.operators.graph import goal_values
+from spanloom.operators.skew import sized_broadcast
 
 
 def _split(text: str, code: str, start: int) -> tuple[list[str], int]:
@@ -38,16 +39,18 @@ def _split(text: str, code: str, start: int) -> tuple[list[str], int]:
 
 
 def flow_rows(text: str) -> list[tuple[str, str, str, int, int, str]]:
-    """(what, function, callee, line, position, text): parameters, and arguments of the calls within functions."""
+    """(what, function, callee, line, position, text): static functions, parameters, and arguments of the calls within functions."""
     text = plain(text)
     code = DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), blanked(text))
     starts = [0]
     for line in code.split("\n"):
         starts.append(starts[-1] + len(line) + 1)
     rows = []
-    for what, name, first, last, _ in scan(text):
+    for what, name, first, last, detail in scan(text):
         if what != "function":
             continue
+        if detail == "static":
+            rows.append(("static", name, "", first, 0, ""))
         begin, end = starts[first - 1], starts[last] if last < len(starts) else len(code)
         head = re.compile(rf"\b{re.escape(name)}\s*\(").search(code, begin, end)
         if not head:
@@ -66,39 +69,43 @@ def flow_rows(text: str) -> list[tuple[str, str, str, int, int, str]]:
 
 
 def scanned_flow(files: DataFrame) -> DataFrame:
-    """``path, what, function, callee, line, position, text`` of all C files."""
+    """``process, path, what, function, callee, line, position, text`` of all C files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *r) for p, t in zip(b["path"], b["content"]) for r in flow_rows(t)]
-            yield pd.DataFrame(rows, columns=["path", "what", "function", "callee", "line", "position", "text"])
+            rows = [(q, p, *r) for q, p, t in zip(b["process"], b["path"], b["content"]) for r in flow_rows(t)]
+            yield pd.DataFrame(rows, columns=["process", "path", "what", "function", "callee", "line", "position", "text"])
 
-    c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select("path", "content").distinct()
-    return c.mapInPandas(run, "path string, what string, function string, callee string, line int, position int, text string")
+    c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select(F.coalesce("process_name", F.lit("")).alias("process"), "path", "content").distinct()
+    return c.mapInPandas(run, "process string, path string, what string, function string, callee string, line int, position int, text string")
 
 
 def argument_values(flow: DataFrame, macros: DataFrame, targets: DataFrame) -> DataFrame:
     """``path, line, callee, position, text, kind, value`` for each argument of a call of one of ``targets`` (name).
 
-    ``macros`` has path, name, value (a file's first definition). Kinds: CONST, MACRO, PARAM (a value
+    ``macros`` has path, name, value (a file's first definition). A goal is a parameter of a function
+    of a process; a static function, and a call of one in its file, is one of that file. Kinds: CONST, MACRO, PARAM (a value
     from a caller), EXTERNAL_ENTRY (a parameter nobody passes), UNRESOLVED. An argument that several
     values reach has several rows. Nothing is dropped: what is not understood is UNRESOLVED.
     """
     args = flow.where("what = 'arg'").drop("what")
-    params = flow.where("what = 'param'").select("path", "function", F.col("position").alias("p"), F.col("text").alias("text"))
-    known = args.join(macros.withColumnRenamed("name", "text").withColumnRenamed("value", "body"), ["path", "text"], "left").join(params, ["path", "function", "text"], "left")
+    params = flow.where("what = 'param'").select("process", "path", "function", F.col("position").alias("p"), F.col("text").alias("text"))
+    statics = flow.where("what = 'static'").select("process", "path", F.col("function").alias("callee"), F.lit(True).alias("own")).distinct()
+    known = args.join(macros.withColumnRenamed("name", "text").withColumnRenamed("value", "body"), ["path", "text"], "left").join(params, ["process", "path", "function", "text"], "left")
+    known = known.join(statics, ["process", "path", "callee"], "left").join(statics.select("process", "path", F.col("callee").alias("function"), F.col("own").alias("inside")), ["process", "path", "function"], "left")
     const = c_formula(F.col("text"))
     valued = known.withColumn("value", F.coalesce(F.when(F.col("text").rlike(r"[0-9]"), const), c_formula(F.col("body"))))
-    goal = lambda f, p: F.concat_ws("#", f, p.cast("string"))
+    goal = lambda f, p, static: F.concat_ws("#", "process", F.when(static, F.col("path")), f, p.cast("string"))
     valued = valued.withColumns({
         "kind": F.when(F.col("p").isNotNull(), "PARAM").when(F.col("value").isNull(), "UNRESOLVED").when(F.col("body").isNotNull(), "MACRO").otherwise("CONST"),
-        "sub": F.when(F.col("p").isNotNull(), goal(F.col("function"), F.col("p"))), "goal": goal(F.col("callee"), F.col("position")),
+        "sub": F.when(F.col("p").isNotNull(), goal(F.col("function"), F.col("p"), F.col("inside"))), "goal": goal(F.col("callee"), F.col("position"), F.col("own")),
     })
     facts = valued.where("kind <> 'PARAM'").select("goal", F.concat_ws("|", "kind", F.col("value").cast("string")).alias("value"))
-    every = params.select(goal(F.col("function"), F.col("p")).alias("goal")).distinct()
+    every = params.join(statics.withColumnRenamed("callee", "function"), ["process", "path", "function"], "left").select(goal(F.col("function"), F.col("p"), F.col("own")).alias("goal")).distinct()
     entry = every.join(valued.select("goal").distinct(), "goal", "left_anti").select("goal", F.lit("EXTERNAL_ENTRY").alias("value"))
     reach = goal_values(valued.where("sub is not null").select("goal", "sub"), "goal", "sub", facts.unionByName(entry))
-    at = valued.join(F.broadcast(targets.select(F.col("name").alias("callee")).distinct()), "callee")
+    names = targets.select(F.col("name").alias("callee")).distinct()
+    at = valued.join(sized_broadcast(names, targets.count()), "callee")
     keep = ["path", "line", "callee", "position", "text"]
     own = at.where("sub is null").select(*keep, "kind", "value")
     from_callers = at.where("sub is not null").join(reach.select(F.col("goal").alias("sub"), F.col("value").alias("reached")), "sub", "left").select(

@@ -7,6 +7,8 @@ re-read only. Edges are distinct before the first round; the visited set is neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +39,25 @@ def reachable(edges: DataFrame, source: str, target: str, seeds: DataFrame, max_
     """``node``, ``depth``: all nodes within ``max_depth`` edges of ``seeds`` (column node), with their least distance."""
     rounds = Rounds(edges.sparkSession)
     e = rounds.cut(edges.select(F.col(source).alias("node"), F.col(target).alias("to")).where("node is not null and to is not null").distinct())
-    seen = rounds.cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
+    front = rounds.cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    found, depth = [front], 0
     while max_depth is None or depth < max_depth:
         hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
-        new, step = None, front.select("node", "depth")
+        known = reduce(DataFrame.unionByName, found).select("node")
+        new, step = [], front.select("node", "depth")
         for _ in range(hops):
-            step = step.join(e, "node").select(F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).groupBy("node").agg(F.min("depth").alias("depth"))
-            new = step if new is None else new.unionByName(step)
-        fresh = rounds.cut(new.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti"))
+            step = step.join(e, "node").select(F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).groupBy("node").agg(F.min("depth").alias("depth")).join(known, "node", "left_anti")
+            new.append(step)
         depth += hops
+        fresh = rounds.cut(reduce(DataFrame.unionByName, new).groupBy("node").agg(F.min("depth").alias("depth")), rows=F.count(F.lit(1)), last=F.expr(f"count_if(depth = {depth})"))
+        if fresh.measured["rows"]:
+            found.append(fresh)
         # only nodes first met on the last hop can lead on to others
         front = fresh.where(F.col("depth") == depth)
-        if not fresh.limit(1).count():
+        if not fresh.measured["last"]:
             break
-        seen = rounds.cut(seen.unionByName(fresh), seen)
-    return seen
+    rounds.only(*found)
+    return reduce(DataFrame.unionByName, found)
 
 
 def simple_paths(edges: DataFrame, source: str, target: str, starts: DataFrame, ends: DataFrame, max_nodes: int) -> DataFrame:
@@ -154,26 +159,46 @@ def path_counts(edges: DataFrame, source: str, target: str, starts: DataFrame) -
     return total.groupBy("node").agg(F.sum("counted").alias("n_paths"))
 
 
-def layers(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """``node``, ``layer``: 0 for a node without outgoing edges, else one more than its deepest target; nodes that reach a cycle are absent.
+def condensed(edges: DataFrame, source: str, target: str, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """(``node``, ``component`` of every end of an edge, ``s``, ``t`` the distinct edges between components).
 
-    Each round peels nodes all of whose targets have a layer. Self-edges don't count.
+    A component is named after its least member; a node on no cycle is one by itself.
     """
-    rounds = Rounds(edges.sparkSession)
     e = rounds.cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null and s <> t").distinct())
-    out = e.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     nodes = e.select(F.explode(F.array("s", "t")).alias("node")).distinct()
-    state = nodes.join(out, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("layer"))
-    state, n = rounds.cut(state.withColumn("peeled", F.when(F.col("open") == 0, 0))), 0
+    member = rounds.cut(nodes.join(components(e, "s", "t"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    cyclic = member.where("component <> node").unionByName(member.where("component <> node").select(F.col("component").alias("node"), "component").distinct())
+    side = lambda x: cyclic.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    both = e.join(side("s"), "s", "left").join(side("t"), "t", "left").select(F.coalesce("cs", "s").alias("s"), F.coalesce("ct", "t").alias("t"))
+    return member, rounds.cut(both.where("s <> t").distinct(), e)
+
+
+def layers(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """``node``, ``layer``: 0 for a node none of whose edges leaves its component, else one more than its deepest target outside; all nodes of a component have its layer.
+
+    Level k holds the components from which a path of k edges leads to a leaf; a component's layer is
+    the last level it is in. A level is made from the one before alone, ``HOPS`` levels between two
+    written rounds, and nothing is rewritten.
+    """
+    rounds = Rounds(edges.sparkSession)
+    member, dag = condensed(edges, source, target, rounds)
+    level = member.select(F.col("component").alias("node")).distinct().join(dag.select(F.col("s").alias("node")), "node", "left_anti").withColumn("layer", F.lit(0))
+    level = rounds.cut(level)
+    found, k = [level], 0
     while True:
-        n += 1
-        met = state.where(F.col("peeled") == n - 1).join(e, F.col("node") == F.col("t")).groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("k"), (F.max("layer") + 1).alias("up"))
-        moved = state.join(met, "node", "left").select(
-            "node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), "peeled"
-        )
-        state = rounds.cut(moved.withColumn("peeled", F.when(F.col("peeled").isNotNull(), F.col("peeled")).when(F.col("open") == 0, n)), state)
-        if not state.where(F.col("peeled") == n).limit(1).count():
-            return state.where("peeled is not null").select("node", "layer")
+        new, step = [], level.where(F.col("layer") == k).select("node")
+        for h in range(1, HOPS + 1):
+            step = dag.join(step, dag["t"] == step["node"]).select(F.col("s").alias("node")).distinct()
+            new.append(step.withColumn("layer", F.lit(k + h)))
+        level = rounds.cut(reduce(DataFrame.unionByName, new), rows=F.count(F.lit(1)))
+        if not level.measured["rows"]:
+            break
+        found.append(level)
+        k += HOPS
+    deepest = reduce(DataFrame.unionByName, found).groupBy(F.col("node").alias("component")).agg(F.max("layer").alias("layer"))
+    out = rounds.cut(member.join(deepest, "component").select("node", "component", "layer"))
+    rounds.only(out)
+    return out
 
 
 def nearest_ancestor(edges: DataFrame, source: str, target: str, marked: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -206,17 +231,19 @@ def goal_values(edges: DataFrame, goal: str, subgoal: str, facts: DataFrame) ->
     """
     rounds = Rounds(edges.sparkSession)
     e = rounds.cut(edges.select(F.col(goal).alias("up"), F.col(subgoal).alias("goal")).where("up is not null and goal is not null and up <> goal").distinct())
-    known = rounds.cut(facts.select("goal", "value").where("goal is not null and value is not null").distinct())
-    delta = known
+    delta = rounds.cut(facts.select("goal", "value").where("goal is not null and value is not null").distinct())
+    found = [delta]
     while True:
-        new, step = None, delta
+        known, new, step = reduce(DataFrame.unionByName, found), [], delta
         for _ in range(HOPS):
-            step = step.join(e, "goal").select(F.col("up").alias("goal"), "value").distinct()
-            new = step if new is None else new.unionByName(step)
-        delta = rounds.cut(new.distinct().join(known, ["goal", "value"], "left_anti"))
-        if not delta.limit(1).count():
-            return known
-        known = rounds.cut(known.unionByName(delta), known)
+            step = step.join(e, "goal").select(F.col("up").alias("goal"), "value").distinct().join(known, ["goal", "value"], "left_anti")
+            new.append(step)
+        delta = rounds.cut(reduce(DataFrame.unionByName, new).distinct(), rows=F.count(F.lit(1)))
+        if not delta.measured["rows"]:
+            break
+        found.append(delta)
+    rounds.only(*found)
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -265,19 +292,30 @@ def components(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def fingerprints(edges: DataFrame, source: str, target: str, own: DataFrame) -> DataFrame:
-    """``node``, ``fingerprint``: SHA-256 over the node's ``own`` digest and its targets' sorted fingerprints, leaves first.
+    """``node``, ``fingerprint``: SHA-256 over the node's ``own`` digest, its targets' fingerprints and its component's other digests, leaves first.
 
-    A change of a digest changes the fingerprints of exactly the node and all that depend on it.
-    ``own`` has node and digest (null counts as empty); nodes that reach a cycle have no fingerprint.
+    A change of a digest changes the fingerprints of exactly the node, its component and all that
+    depend on it. ``own`` has node and digest (null, and a node without a row, as empty). Targets
+    within the component count by their digests. Layer by layer, each written once.
     """
     rounds = Rounds(edges.sparkSession)
-    order = rounds.cut(layers(edges, source, target).join(own.groupBy("node").agg(F.max("digest").alias("digest")), "node", "left"))
-    e = rounds.cut(edges.select(F.col(source).alias("s"), F.col(target).alias("node")).where("s is not null and node is not null and s <> node").distinct())
-    top = order.agg(F.max("layer")).first()[0]
-    done = rounds.cut(order.where("layer = 0").select("node", F.sha2(F.coalesce("digest", F.lit("")), 256).alias("fingerprint")))
-    for n in range(1, (top or 0) + 1):
-        level = order.where(F.col("layer") == n).select(F.col("node").alias("s"), "digest")
-        below = e.join(level, "s").join(done, "node").groupBy("s").agg(F.max("digest").alias("digest"), F.array_join(F.array_sort(F.collect_list("fingerprint")), ",").alias("under"))
-        fresh = below.select(F.col("s").alias("node"), F.sha2(F.concat_ws("|", F.coalesce("digest", F.lit("")), "under"), 256).alias("fingerprint"))
-        done = rounds.cut(done.unionByName(fresh), done)
-    return done
+    digests = own.groupBy("node").agg(F.max("digest").alias("digest"))
+    order = rounds.cut(layers(edges, source, target).join(digests, "node", "left").select("node", "component", "layer", F.coalesce("digest", F.lit("")).alias("digest")), top=F.max("layer"))
+    e = edges.select(F.col(source).alias("s"), F.col(target).alias("node")).where("s is not null and node is not null and s <> node").distinct()
+    named = order.select(F.col("node").alias("s"), F.col("component").alias("cs"))
+    e = rounds.cut(e.join(named, "s").join(order.select("node", "component"), "node").where("cs <> component").select("s", "node"))
+    # a component's digests in the order of its members, without the node's own
+    group = order.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("all")).where("n > 1").select("component", "all")
+    peers = F.array_join(F.transform(F.filter(F.coalesce("all", F.array().cast("array<struct<node:string,digest:string>>")), lambda x: x["node"] != F.col("node")), lambda x: x["digest"]), ",")
+    info = rounds.cut(order.join(group, "component", "left").select("node", "layer", "digest", peers.alias("peers")), order)
+    print_of = lambda under: F.sha2(F.concat_ws("|", "digest", under, "peers"), 256).alias("fingerprint")
+    done = [rounds.cut(info.where("layer = 0").select("node", print_of(F.lit(""))))]
+    for n in range(1, (order.measured["top"] or 0) + 1):
+        level = info.where(F.col("layer") == n)
+        known = reduce(DataFrame.unionByName, done)
+        under = e.join(level.select(F.col("node").alias("s")), "s", "left_semi").join(known, "node").groupBy(F.col("s").alias("node")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "fingerprint"))), lambda x: x["fingerprint"]), ",").alias("under")
+        )
+        done.append(rounds.cut(level.join(under, "node", "left").select("node", print_of(F.coalesce("under", F.lit(""))))))
+    rounds.only(*done)
+    return reduce(DataFrame.unionByName, done)

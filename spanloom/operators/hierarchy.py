@@ -56,7 +56,7 @@ def several_parents(edges: DataFrame, parent: str, child: str) -> DataFrame:
 
 
 def _climb(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """(tree, rest): records with ``node, parent, size`` and the unprocessed ones with ``node, parent``.
+    """(tree, rest): records with ``node, parent, size`` and the unprocessed ones with ``node, parent, up``.
 
     In round k the open records are those of depth 2^k or more; ``up`` is exactly 2^k above, and
     ``size`` counts the descendants nearer than 2^k, with the record itself. What points at a record
@@ -80,7 +80,7 @@ def _climb(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     pointed = reduce(DataFrame.unionByName, [t.select(F.col("up").alias("node"), "size") for t in every]).groupBy("node").agg(F.sum("size").alias("more"))
     tree = links.join(below.select("node"), "node", "left_anti") if left else links
     tree = rounds.cut(tree.join(pointed, "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")))
-    rest = rounds.cut(links.join(below.select("node"), "node", "left_semi").select("node", "parent"), rows=F.count(F.lit(1))) if left else None
+    rest = rounds.cut(links.select("node", "parent").join(below.select("node", "up"), "node"), rows=F.count(F.lit(1))) if left else None
     rounds.only(tree, rest)
     return tree, rest
 
@@ -130,10 +130,10 @@ def _descend(tree: DataFrame, paths: bool, rounds: Rounds) -> DataFrame:
 def _cycles(rest: DataFrame, rounds: Rounds) -> DataFrame:
     """``node``, ``root`` (smallest id on its cycle), ``depth`` (-1 on a cycle, -2 below one) of the unprocessed records.
 
-    The records that are someone's 2^k-th ancestor become fewer until only cycles are left.
+    The records that are someone's 2^k-th ancestor become fewer until only cycles are left; the climb
+    up has brought ``up`` far already.
     """
-    state = rounds.cut(rest.select("node", F.col("parent").alias("up")), rows=F.count(F.lit(1)))
-    rows, image = state.measured["rows"], None
+    state, rows, image = rest.select("node", "up"), rest.measured["rows"], None
     while True:
         kids = rounds.cut(state.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("kids")), rows=F.count(F.lit(1)))
         if kids.measured["rows"] == image:

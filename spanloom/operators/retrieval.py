@@ -64,3 +64,21 @@ def fused(lanes: list[tuple[DataFrame, float]], keys: list[str], k: int = 60) ->
         part = lane.select(*keys, (F.lit(float(weight)) / (k + F.col("rank"))).alias("_w"), F.lit(i).alias("_lane"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(*keys).agg(F.sum("_w").alias("score"), F.countDistinct("_lane").alias("lanes"))
+
+
+def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, block: int = 256, slab: int = 65_536) -> DataFrame:
+    """``query``, ``key``, ``score``, ``rank``: the ``k`` nearest of all ``vectors`` to each query (columns ``query`` and ``vector``) by dot product, itself left out.
+
+    Queries go in blocks of about ``block`` and vectors in slabs of about ``slab``; each block meets
+    each slab in one group of rows, so tasks grow with both and none holds all of either. Null
+    vectors are in no result; ties go to the least key; scores are rounded to six digits.
+    """
+    vectors, queries = vectors.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
+    blocks, slabs = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // slab))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select(F.col(query), F.col(vector).alias("_q"), some(query, blocks).alias("_block")).groupBy("_block").agg(F.collect_list(F.struct(query, "_q")).alias("_qs")).withColumn("_slab", each(slabs))
+    rows = vectors.select(F.col(key), F.col(vector), some(key, slabs).alias("_slab")).withColumn("_block", each(blocks)).join(asked, ["_block", "_slab"])
+    met = rows.select(key, vector, F.explode("_qs").alias("_x")).where(F.col(key) != F.col(f"_x.{query}"))
+    scored = met.select(F.col(f"_x.{query}").alias(query), key, F.round(dot(F.col("_x._q"), F.col(vector)), 6).alias("score"))
+    return top(scored, [query], [F.desc("score"), F.col(key)], k)

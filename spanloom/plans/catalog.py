@@ -11,7 +11,7 @@ from spanloom.operators import graph as G
 from spanloom.operators import joins as J
 from spanloom.operators import retrieval as R
 from spanloom.operators.csource import classified_lines, scanned
-from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, RECORDS, ROOTS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once, r3_bm25_topk
+from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, LAYERS, RECORDS, ROOTS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once, r3_bm25_topk
 from spanloom.plans.warehouse import BM25_SQL
 from spanloom.sources.tables import table
 
@@ -297,13 +297,9 @@ def g4_reachability_label(spark, d):
     return f.join(a, "id", "left").join(b, "id", "left").select("id", label.alias("reachability"))
 
 
-@query("g12_dag_depth", f"""
-WITH RECURSIVE e AS (SELECT source AS s, target AS t FROM {DIRECT} WHERE source <> target), par AS (SELECT t AS node, min(s) AS up FROM e GROUP BY ALL),
-walk AS (SELECT s AS node, 0 AS layer FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT par.node, walk.layer + 1 FROM walk JOIN par ON par.up = walk.node)
-SELECT node, layer FROM walk
-""")
+@query("g12_dag_depth", "WITH RECURSIVE " + LAYERS.format(DIRECT, "t", "s") + "SELECT node, layer FROM layered")
 def g12_dag_depth(spark, d):
-    return G.layers(_edges(spark, d, ("direct",)), "target", "source")
+    return G.layers(_edges(spark, d, ("direct",)), "target", "source").select("node", "layer")
 
 
 @query("g26_edge_kinds", f"""

@@ -13,7 +13,7 @@ from spanloom.operators.csource import scanned
 from spanloom.operators.flow import argument_values, scanned_flow
 from spanloom.operators.hierarchy import hierarchy
 from spanloom.plans.core_problems import P3_CORE
-from spanloom.plans.warehouse import CALLS, DIRECT, FACTS, FUNCTIONS, RECORDS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once
+from spanloom.plans.warehouse import CALLS, DIRECT, EDGES, FACTS, FUNCTIONS, RECORDS, SITES, _calls, _edges, _facts, _functions, _records, _sites, once
 from spanloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -30,11 +30,23 @@ def query(name: str, sql: str | None = None):
 # ---- graphs
 
 
-@query("g9_components", P3_CORE + "SELECT start AS node, low AS component FROM on_cycle")
+@query("g9_components", f"""WITH RECURSIVE e AS (SELECT source AS s, target AS t FROM {DIRECT}),
+reach(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM reach r JOIN e ON e.s = r.b)
+SELECT r.a AS node, min(r.b) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a
+""")
 def g9_components(spark: SparkSession, d: str) -> DataFrame:
     return G.components(_edges(spark, d, ("direct",)), "source", "target")
 
 
+@query("g9_components_all_kinds", f"""WITH RECURSIVE e AS (SELECT source AS s, target AS t FROM {EDGES}),
+reach(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM reach r JOIN e ON e.s = r.b)
+SELECT r.a AS node, min(r.b) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a
+""")
+def g9_components_all_kinds(spark, d):
+    """Components over all traversable edges, where cycles share nodes and nodes have several parents."""
+    return G.components(_edges(spark, d), "source", "target")
+
+
 @query("g8_top_caller", P3_CORE + "SELECT function_id AS node, root_id AS top, depth FROM walk")
 def g8_top_caller(spark, d):
     h = hierarchy(_edges(spark, d, ("direct",)), "source", "target").where("depth >= 0")

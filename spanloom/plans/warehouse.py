@@ -703,20 +703,46 @@ def g5_simple_paths(spark, d):
     return G.simple_paths(e, "source", "target", G.roots(e, "source", "target"), ends, 13).withColumn("length", F.col("length").cast("bigint"))
 
 
-@query("g10_layers", f"""
-WITH RECURSIVE e AS (SELECT source AS s, target AS t FROM {DIRECT} WHERE source <> target),
-n AS (SELECT s AS node FROM e UNION SELECT t FROM e),
-up AS (SELECT node, node AS leaf, 0 AS k FROM n WHERE node NOT IN (SELECT s FROM e) UNION SELECT e.s, up.leaf, up.k + 1 FROM up JOIN e ON e.t = up.node WHERE up.k < 100),
-par AS (SELECT t AS node, min(s) AS up FROM e GROUP BY ALL),
-walk AS (SELECT node FROM n WHERE node NOT IN (SELECT t FROM e) UNION ALL SELECT par.node FROM walk JOIN par ON par.up = walk.node),
-bad AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM walk)),
-ring AS (SELECT node AS start, node AS cur, 0 AS k FROM bad UNION ALL SELECT r.start, par.up, r.k + 1 FROM ring r JOIN par ON par.node = r.cur WHERE r.k < 200 AND (r.k = 0 OR r.cur <> r.start)),
-cyc AS (SELECT DISTINCT start AS node FROM ring WHERE k > 0 AND cur = start),
-above AS (SELECT node FROM cyc UNION SELECT e.s FROM above JOIN e ON e.t = above.node)
-SELECT node, max(k) AS layer FROM up WHERE node NOT IN (SELECT node FROM above) GROUP BY ALL
-""")
+CONDENSED = """
+e AS (SELECT source AS s, target AS t FROM {0} WHERE source <> target),
+reach(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM reach r JOIN e ON e.s = r.b),
+comp AS (SELECT r.a AS node, min(r.b) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a),
+m AS (SELECT n.node, coalesce(comp.component, n.node) AS c FROM (SELECT s AS node FROM e UNION SELECT t FROM e) n LEFT JOIN comp ON comp.node = n.node),
+ce AS (SELECT DISTINCT a.c AS s, b.c AS t FROM e JOIN m a ON a.node = e.s JOIN m b ON b.node = e.t WHERE a.c <> b.c)
+"""
+LAYERS = CONDENSED + """,
+f(c, k) AS (SELECT DISTINCT c, 0 FROM m WHERE c NOT IN (SELECT {1} FROM ce) UNION SELECT ce.{1}, f.k + 1 FROM f JOIN ce ON ce.{2} = f.c),
+layered AS (SELECT m.node, m.c, max(f.k) AS layer FROM m JOIN f ON f.c = m.c GROUP BY ALL)
+"""
+
+
+@query("g10_layers", "WITH RECURSIVE " + LAYERS.format(DIRECT, "s", "t") + "SELECT node, layer FROM layered")
 def g10_layers(spark, d):
-    return G.layers(_edges(spark, d, ("direct",)), "source", "target")
+    return G.layers(_edges(spark, d, ("direct",)), "source", "target").select("node", "layer")
+
+
+@query("g10_layers_all_kinds", "WITH RECURSIVE " + LAYERS.format(EDGES, "s", "t") + "SELECT c AS component, count(*) AS nodes, any_value(layer) AS layer FROM layered GROUP BY ALL")
+def g10_layers_all_kinds(spark, d):
+    """Layers of the components over all traversable edges, where nodes have several parents."""
+    return G.layers(_edges(spark, d), "source", "target").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.max("layer").alias("layer"))
+
+
+@query("g11_fingerprints", "WITH RECURSIVE " + LAYERS.format(DIRECT, "s", "t") + """,
+own AS (SELECT id AS node, max(source_sha256) AS digest FROM graph_functions GROUP BY ALL),
+i AS (SELECT l.node, l.c, l.layer, coalesce(own.digest, '') AS digest FROM layered l LEFT JOIN own ON own.node = l.node),
+peer AS (SELECT a.node, coalesce(string_agg(b.digest, ',' ORDER BY b.node), '') AS peers FROM i a LEFT JOIN i b ON b.c = a.c AND b.node <> a.node GROUP BY ALL),
+out_ AS (SELECT e.s, e.t FROM e JOIN m a ON a.node = e.s JOIN m b ON b.node = e.t WHERE a.c <> b.c),
+fp(node, fingerprint, k) USING KEY (node) AS (
+  SELECT i.node, sha256(i.digest || '||' || p.peers), 0 FROM i JOIN peer p ON p.node = i.node WHERE i.layer = 0
+  UNION SELECT i.node, sha256(i.digest || '|' || coalesce(u.under, '') || '|' || p.peers), i.layer FROM i JOIN peer p ON p.node = i.node
+    LEFT JOIN (SELECT o.s, string_agg(f.fingerprint, ',' ORDER BY o.t) AS under FROM out_ o JOIN recurring.fp f ON f.node = o.t GROUP BY ALL) u ON u.s = i.node
+    WHERE i.layer = (SELECT max(k) + 1 FROM fp))
+SELECT node, fingerprint FROM fp
+""")
+def g11_fingerprints(spark, d):
+    """Fingerprints over the dependencies, layer by layer."""
+    own = table(spark, d, "graph_functions").select(F.col("id").alias("node"), F.col("source_sha256").alias("digest"))
+    return G.fingerprints(_edges(spark, d, ("direct",)), "source", "target", own)
 
 
 @query("g13_merged_edges", f"SELECT source, target, count(*) AS n_calls, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, source = target AS recursive FROM {CALLS} WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL")
@@ -849,14 +875,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 @query("r4_dense_topk", DENSE_SQL + "SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 10")
 def r4_dense_topk(spark, d):
-    v = table(spark, d, "embeddings").where("embedding is not null")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # the stated query set against all rows: queries in blocks, each block met by every vector once
-    blocks = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(16))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint")))).join(blocks, "_b")
-    s = rows.select("vec_id", "embedding", F.explode("qs").alias("x")).where("vec_id <> x.query_id")
-    s = s.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(R.dot(F.col("x.q"), F.col("embedding")), 6).alias("score"))
-    return R.top(s, ["query_id"], [F.desc("score"), F.col("vec_id")], 10)
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense_topk(v, "vec_id", "embedding", asked, "query_id", 10)
 
 
 @query("r5_exact_name", f"SELECT n.name, f.id AS function_id FROM (SELECT DISTINCT lower(name) AS name FROM run_functions) n JOIN (SELECT DISTINCT id, lower(name) AS name FROM graph_functions) f USING (name)")

@@ -59,11 +59,14 @@ def test_flow_rows():
 
 def test_values_reach_arguments_through_parameters(spark):
     extra = "int lone(int q) { rtx_open(q, q + 1, 5); return 0; }\nint loop(int r) { loop(r); rtx_open(r, 1, 2); }"
-    files = spark.createDataFrame([("a.c", SOURCE), ("b.c", extra), ("c.py", "x"), ("d.c", None)], "path string, content string")
+    other = "int leaf(int n, int m) { rtx_open(n); return 0; }\nvoid go(void) { leaf(99, 0); }"  # another process has a leaf of its own
+    rows = [("p", "a.c", SOURCE), ("p", "b.c", extra), ("p", "c.py", "x"), ("p", "d.c", None), ("q", "e.c", other), (None, "f.c", "int x(int n) { rtx_open(n); }")]
+    files = spark.createDataFrame(rows, "process_name string, path string, content string")
     macros = spark.createDataFrame([("a.c", "QUE", "0x10")], "path string, name string, value string")
     targets = spark.createDataFrame([("rtx_open",)], "name string")
     got = {(r["path"], r["position"], r["text"], r["kind"], r["value"]) for r in argument_values(scanned_flow(files), macros, targets).collect()}
     assert {("a.c", 1, "n", "PARAM", 7), ("a.c", 1, "n", "PARAM", 16), ("a.c", 3, "QUE", "MACRO", 16), ("a.c", 2, '"a, (b"', "UNRESOLVED", None)} <= got
+    assert {x for x in got if x[0] == "e.c"} == {("e.c", 1, "n", "PARAM", 99)} and ("f.c", 1, "n", "EXTERNAL_ENTRY", None) in got and ("a.c", 1, "n", "PARAM", 99) not in got
     assert {("b.c", 1, "q", "EXTERNAL_ENTRY", None), ("b.c", 2, "q + 1", "UNRESOLVED", None), ("b.c", 3, "5", "CONST", 5), ("b.c", 1, "r", "UNRESOLVED", None)} <= got
 
 
