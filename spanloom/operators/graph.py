@@ -319,3 +319,56 @@ def fingerprints(edges: DataFrame, source: str, target: str, own: DataFrame) ->
         done.append(rounds.cut(level.join(under, "node", "left").select("node", print_of(F.coalesce("under", F.lit(""))))))
     rounds.only(*done)
     return reduce(DataFrame.unionByName, done)
+
+
+def carried_search(edges: DataFrame, source: str, target: str, seeds: DataFrame, label: str | None = None) -> DataFrame:
+    """``node``, ``depth``, ``path`` (ids from the seed, joined by /), ``label``: for each reachable node its first shortest path from ``seeds`` (node).
+
+    First by the path's text. ``label`` of an edge (null for none) is carried along: a node has that
+    of the last labelled edge of its path, empty if there is none. A search in breadth, without a bound.
+    """
+    rounds = Rounds(edges.sparkSession)
+    e = edges.select(F.col(source).alias("node"), F.col(target).alias("to"), (F.col(label) if label else F.lit(None).cast("string")).alias("said"))
+    e = rounds.cut(e.where("node is not null and to is not null").groupBy("node", "to").agg(F.min("said").alias("said")))
+    front = seeds.select("node").where("node is not null").distinct()
+    front = rounds.cut(front.select("node", F.lit(0).alias("depth"), F.col("node").alias("path"), F.lit("").alias("label")))
+    found, depth = [front], 0
+    while True:
+        known, new, step = reduce(DataFrame.unionByName, found).select("node"), [], front
+        for _ in range(HOPS):
+            way = F.struct(F.concat_ws("/", "path", "to").alias("path"), F.coalesce("said", "label").alias("label"))
+            step = step.join(e, "node").groupBy(F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).agg(F.min(way).alias("w"))
+            step = step.join(known, "node", "left_anti").select("node", "depth", "w.path", "w.label")
+            new.append(step)
+        best = reduce(DataFrame.unionByName, new).groupBy("node").agg(F.min(F.struct("depth", "path", "label")).alias("w")).select("node", "w.depth", "w.path", "w.label")
+        depth += HOPS
+        fresh = rounds.cut(best, rows=F.count(F.lit(1)), last=F.expr(f"count_if(depth = {depth})"))
+        if fresh.measured["rows"]:
+            found.append(fresh)
+        front = fresh.where(F.col("depth") == depth)
+        if not fresh.measured["last"]:
+            break
+    rounds.only(*found)
+    return reduce(DataFrame.unionByName, found)
+
+
+def paired_reach(edges: DataFrame, source: str, target: str, seeds: DataFrame) -> DataFrame:
+    """``seed``, ``node``, ``depth``: what each of ``seeds`` (node) reaches by itself, itself at 0, with the least distance."""
+    rounds = Rounds(edges.sparkSession)
+    e = rounds.cut(edges.select(F.col(source).alias("node"), F.col(target).alias("to")).where("node is not null and to is not null").distinct())
+    front = rounds.cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).where("node is not null").distinct())
+    found, depth = [front], 0
+    while True:
+        known, new, step = reduce(DataFrame.unionByName, found).select("seed", "node"), [], front
+        for _ in range(HOPS):
+            step = step.join(e, "node").groupBy("seed", F.col("to").alias("node")).agg((F.min("depth") + 1).alias("depth")).join(known, ["seed", "node"], "left_anti")
+            new.append(step)
+        depth += HOPS
+        fresh = rounds.cut(reduce(DataFrame.unionByName, new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), rows=F.count(F.lit(1)), last=F.expr(f"count_if(depth = {depth})"))
+        if fresh.measured["rows"]:
+            found.append(fresh)
+        front = fresh.where(F.col("depth") == depth)
+        if not fresh.measured["last"]:
+            break
+    rounds.only(*found)
+    return reduce(DataFrame.unionByName, found)

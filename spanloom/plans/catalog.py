@@ -44,17 +44,6 @@ def s7_project_files(spark, d):
     return f.select("process_name", F.when(F.row_number().over(w) == 1, F.col("base")).otherwise(F.col("path")).alias("key"), "path")
 
 
-@query("s8_include_lookup")
-def s8_include_lookup(spark, d):
-    """Ranked include resolution: the file's own folder, else a base name that is unique; unresolved ones stay with null."""
-    files = table(spark, d, "source_files").select("path").distinct()
-    inc = scanned(table(spark, d, "source_files")).where("what = 'include'").select("path", F.col("name").alias("included")).distinct()
-    here = inc.withColumn("near", F.concat(F.regexp_replace("path", "[^/]+$", ""), F.col("included"))).withColumn("base", F.regexp_extract("included", "([^/]+)$", 1))
-    unique = files.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("base")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("target")).where("n = 1")
-    rules = [(files.select(F.col("path").alias("near"), F.col("path").alias("target")), ["near"]), (unique, ["base"])]
-    return J.ranked_match(here, "included", rules, "target", "resolved").select("path", "included", "resolved")
-
-
 SPEC = "cell string, targets array<struct<name: string, type: string, indices: array<int>, handle_index: int, note: string>>, discovery struct<resource: string, lock_arg: int>"
 
 

@@ -149,12 +149,14 @@ def test_fingerprints_change_upward_only(spark):
 
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "s string, t string")
 
-    def of(c):
-        own = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", c), ("d", None)], "node string, digest string")
+    def of(c, y="9"):
+        own = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", c), ("d", None), ("y", y)], "node string, digest string")
         return {r["node"]: r["fingerprint"] for r in fingerprints(e, "s", "t", own).collect()}
 
     one, two = of("3"), of("4")
-    assert set(one) == {"a", "b", "c", "d"} and {n for n in one if one[n] != two[n]} == {"a", "c"}
+    assert set(one) == {"a", "b", "c", "d", "x", "y"} and {n for n in one if one[n] != two[n]} == {"a", "c"}
+    three = of("3", "8")  # both ends of a cycle change with either
+    assert {n for n in one if one[n] != three[n]} == {"x", "y"}
 
 
 def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
