@@ -68,6 +68,12 @@ def in_process(path: Column, prefix: Column) -> Column:
     return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
+def source_root(process_root: Column) -> Column:
+    """The root that a process's paths are relative to: above ``t-*/src/<process>``, else the process's folder."""
+    above = F.regexp_extract(process_root, r"^(.*)/t-[^/]+/src/[^/]+$", 1)
+    return F.when(above != "", above).otherwise(process_root)
+
+
 def numbered(source: Column) -> Column:
     """Source lines with right-aligned numbers of width 5."""
     lines = F.split(source, "\n")

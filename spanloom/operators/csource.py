@@ -115,3 +115,64 @@ def classified_lines(files: DataFrame) -> DataFrame:
 
     c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select("path", "content").distinct()
     return c.mapInPandas(run, "path string, line int, state string")
+
+
+TYPES = frozenset("int char void long short unsigned signed float double struct union enum const static extern inline".split())
+
+
+def occurrences(text: str) -> list[tuple[str, str, int]]:
+    """(name, kind, line) of each name before a parenthesis: ``definition`` if a body follows, ``prototype`` if a semicolon does at depth 0, else ``call``."""
+    text = plain(text)
+    code = DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), blanked(text))
+    rows, depth, at = [], 0, 0
+    for m in HEAD.finditer(code):
+        depth += code.count("{", at, m.start()) - code.count("}", at, m.start())
+        at = m.start()
+        if m[1] in NOT_CALLS or m[1] in TYPES:
+            continue
+        kind = "call"
+        if depth <= 0:
+            end, level = m.end(), 1
+            while level and end < len(code):
+                level += (code[end] == "(") - (code[end] == ")")
+                end += 1
+            after = code[end:].lstrip()[:1]
+            kind = "definition" if after == "{" else "prototype" if after == ";" else "other"
+        rows.append((m[1], kind, code.count("\n", 0, m.start()) + 1))
+    return rows
+
+
+STATIC = re.compile(r"(?:^|[;}])\s*static\s+(?!inline\b)((?:[A-Za-z_]\w*[\s*]+)+)([A-Za-z_]\w*)\s*(\[[^\]]*\]\s*)*(?=[=;,])")
+
+
+def file_statics(text: str) -> list[tuple[str, str, int]]:
+    """(name, type, line) of the static variables of a file, outside of functions."""
+    text = plain(text)
+    code = DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), blanked(text))
+    depth, flat = 0, []
+    for c in code:  # bodies are left out, their place stays
+        depth -= c == "}"
+        flat.append(c if depth <= 0 or c == "\n" else " ")
+        depth += c == "{"
+    flat_code = "".join(flat)
+    return [(m[2], " ".join(m[1].split()), flat_code.count("\n", 0, m.start(2)) + 1) for m in STATIC.finditer(flat_code)]
+
+
+def _per_file(files: DataFrame, rows_of, columns: list[str], schema: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *r) for p, t in zip(b["path"], b["content"]) for r in rows_of(t)]
+            yield pd.DataFrame(rows, columns=["path", *columns])
+
+    c = files.where("content is not null").where(F.lower("path").rlike(r"\.[ch]$")).select("path", "content")
+    return c.mapInPandas(run, schema)
+
+
+def scanned_occurrences(files: DataFrame) -> DataFrame:
+    """``path, name, kind, line`` of the :func:`occurrences` in all C files."""
+    return _per_file(files, occurrences, ["name", "kind", "line"], "path string, name string, kind string, line int")
+
+
+def static_variables(files: DataFrame) -> DataFrame:
+    """``path, name, type, line`` of the :func:`file_statics` of all C files."""
+    return _per_file(files, file_statics, ["name", "type", "line"], "path string, name string, type string, line int")
