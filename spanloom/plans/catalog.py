@@ -305,12 +305,12 @@ def g26_edge_kinds(spark, d):
 # ---- value flow and reports
 
 
-@query("v5_handle_openings", f"""
+@query("wn8_last_open_before_use", f"""
 WITH e AS (SELECT file, line, bool_or(target_function = 'rtx_open') AS opens, bool_or(target_function = 'rtx_close') AS closes FROM {SITES} WHERE file IS NOT NULL AND line IS NOT NULL GROUP BY ALL),
 w AS (SELECT file, line, opens, closes, max(CASE WHEN opens THEN line END) OVER p AS last_open, max(CASE WHEN closes THEN line END) OVER p AS last_close FROM e WINDOW p AS (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT file, line, CASE WHEN last_open > coalesce(last_close, -1) THEN last_open END AS opened_at FROM w WHERE NOT opens AND NOT closes
 """)
-def v5_handle_openings(spark, d):
+def wn8_last_open_before_use(spark, d):
     is_ = lambda n: F.bool_or(F.col("target_function") == n)
     e = _sites(spark, d).where("file is not null and line is not null").groupBy("file", "line").agg(is_("rtx_open").alias("opens"), is_("rtx_close").alias("closes"))
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
