@@ -100,6 +100,15 @@ def whole_tokens(text: str | None) -> list[str]:
     return out
 
 
+def nfkc(text: Column) -> Column:
+    """A text in its compatibility form (NFKC), which Spark has no function for."""
+
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(form, "string")(text)
+
+
 def tokens(text: Column) -> Column:
     """:func:`whole_tokens` of a column, in Arrow batches."""
 

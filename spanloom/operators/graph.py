@@ -372,3 +372,38 @@ def paired_reach(edges: DataFrame, source: str, target: str, seeds: DataFrame) -
             break
     rounds.only(*found)
     return reduce(DataFrame.unionByName, found)
+
+
+def backward_states(edges: DataFrame, source: str, target: str, seeds: DataFrame, most_states: int = 5000, most_depth: int = 256) -> DataFrame:
+    """``seed``, ``states``, ``depth``, ``status``: how many states a search from each of ``seeds`` (node) up the edges has, itself with them.
+
+    Level by level for all seeds at once. A seed whose next level would pass ``most_states`` or lie
+    beyond ``most_depth`` goes no further and has the status INCOMPLETE, so a search that was cut
+    is never taken for a whole one; the others are COMPLETE.
+    """
+    rounds = Rounds(edges.sparkSession)
+    e = rounds.cut(edges.select(F.col(target).alias("node"), F.col(source).alias("to")).where("node is not null and to is not null and node <> to").distinct())
+    front = rounds.cut(seeds.select(F.col("node").alias("seed"), "node").where("node is not null").distinct())
+    seen, depth = [front], 0
+    totals = rounds.cut(front.select("seed", F.lit(1).cast("bigint").alias("states"), F.lit(0).alias("depth"), F.lit("COMPLETE").alias("status")))
+    while True:
+        known = reduce(DataFrame.unionByName, seen)
+        level = rounds.cut(front.join(e, "node").select("seed", F.col("to").alias("node")).distinct().join(known, ["seed", "node"], "left_anti"), rows=F.count(F.lit(1)))
+        if not level.measured["rows"]:
+            break
+        depth += 1
+        more = level.groupBy("seed").agg(F.count(F.lit(1)).alias("more"))
+        over = (F.col("states") + F.col("more") > most_states) | F.lit(depth > most_depth)
+        totals = rounds.cut(
+            totals.join(more, "seed", "left").select(
+                "seed", F.when(F.col("more").isNull() | over, F.col("states")).otherwise(F.col("states") + F.col("more")).alias("states"),
+                F.when(F.col("more").isNull() | over, F.col("depth")).otherwise(F.lit(depth)).alias("depth"), F.when(F.col("more").isNotNull() & over, "INCOMPLETE").otherwise(F.col("status")).alias("status"),
+            ),
+            totals, cut=F.expr("count_if(status = 'INCOMPLETE')"),
+        )
+        front = level
+        if totals.measured["cut"]:
+            front = rounds.cut(level.join(totals.where("status = 'INCOMPLETE'").select("seed"), "seed", "left_anti"), level)
+        seen.append(front)
+    rounds.only(totals)
+    return totals

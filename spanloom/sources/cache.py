@@ -69,3 +69,13 @@ def with_section(text: str, name: str, body: str) -> str:
 def is_stale(text: str, name: str, body: str) -> bool:
     """Whether the section of ``name`` in ``text`` is not ``body``."""
     return with_section(text, name, body) != text
+
+
+def fresh_run_folder(spark: SparkSession, root: str, stamp: str) -> str:
+    """A new folder of a run under ``root``: ``stamp``, or with the first free number where it is taken. A run's folder is never written again."""
+    n = 1
+    while True:
+        at, fs = _path(spark, f"{root}/{stamp}" if n == 1 else f"{root}/{stamp}-{n}")
+        if not fs.exists(at) and fs.mkdirs(at):
+            return at.toString()
+        n += 1

@@ -55,3 +55,29 @@ def test_layers_of_a_graph_with_several_parents_and_a_cycle(spark):
     e = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("b", "c"), ("r", "s"), ("s", "r"), ("s", "b"), ("t", "r"), ("d", "d")]
     got = {r["node"]: (r["component"], r["layer"]) for r in layers(spark.createDataFrame(e, "s string, t string"), "s", "t").collect()}
     assert got == {"d": ("d", 0), "c": ("c", 1), "b": ("b", 2), "a": ("a", 3), "r": ("r", 3), "s": ("r", 3), "t": ("t", 4)}
+
+
+def test_backward_states_say_where_they_were_cut(spark):
+    from spanloom.operators.graph import backward_states
+
+    e = [(f"u{i}", "s") for i in range(8)] + [("top", f"u{i}") for i in range(8)] + [(f"c{i + 1}", f"c{i}") for i in range(6)] + [("c0", "c3"), (None, "s"), ("s", "s")]
+    df = spark.createDataFrame(e, "s string, t string")
+    seeds = spark.createDataFrame([("s",), ("c0",), ("top",), ("s",), (None,)], "node string")
+    run = lambda **b: {r["seed"]: (r["states"], r["depth"], r["status"]) for r in backward_states(df, "s", "t", seeds, **b).collect()}
+    assert run() == {"s": (10, 2, "COMPLETE"), "c0": (7, 6, "COMPLETE"), "top": (1, 0, "COMPLETE")}
+    assert run(most_states=9) == {"s": (9, 1, "INCOMPLETE"), "c0": (7, 6, "COMPLETE"), "top": (1, 0, "COMPLETE")}
+    assert run(most_depth=3)["c0"] == (4, 3, "INCOMPLETE")
+
+
+def test_paired_queries_of_dense_search(spark):
+    from spanloom.operators.retrieval import dense_topk
+
+    vectors = [(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(vectors, "k bigint, v array<float>")
+    asked = df.where("k % 4 = 0").withColumnRenamed("k", "q")
+    got = {(r["q"], r["rank"]): (r["k"], r["score"]) for r in dense_topk(df, "k", "v", asked, "q", 3, block=4, slab=7).collect()}
+    by = dict(vectors)
+    for q in range(0, 60, 4):
+        best = sorted(((-round(sum(a * b for a, b in zip(by[q], by[k])), 6), k) for k in range(60) if k != q))[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(k, -s) for s, k in best]
+    assert len(got) == 45

@@ -23,5 +23,12 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
+def test_without_sql_gives_a_stable_schema(spark, name):
+    one, two = (entry.queries()[name](spark, ROOT) for _ in range(2))
+    assert one.schema == two.schema and len(set(one.columns)) == len(one.columns)
+    assert all(len(r) == len(one.columns) for r in one.collect())
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
