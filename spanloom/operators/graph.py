@@ -246,19 +246,70 @@ def goal_values(edges: DataFrame, goal: str, subgoal: str, facts: DataFrame) ->
     return reduce(DataFrame.unionByName, found)
 
 
+#: So many edges at most are searched for cycles by one task; beyond it they are trimmed and coloured by all.
+ONE_TASK_EDGES = 500_000
+
+
+def _cycles_of(batches):
+    """``node``, ``component`` of a whole small graph (s, t): a depth-first search with low marks, without recursion."""
+    to: dict = {}
+    frame = None
+    for b in batches:
+        frame = type(b)
+        for s, t in zip(b["s"], b["t"], strict=True):
+            to.setdefault(s, []).append(t)
+    if frame is None:
+        return
+    number, low, on, stack, rows = {}, {}, set(), [], []
+    for start in to:
+        if start in number:
+            continue
+        walk = [(start, iter(to[start]))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        on.add(start)
+        while walk:
+            s, rest = walk[-1]
+            for t in rest:
+                if t not in number:
+                    number[t] = low[t] = len(number)
+                    stack.append(t)
+                    on.add(t)
+                    walk.append((t, iter(to.get(t, ()))))
+                    break
+                if t in on:
+                    low[s] = min(low[s], number[t])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[s])
+                if low[s] == number[s]:
+                    members = []
+                    while not members or members[-1] != s:
+                        members.append(stack.pop())
+                        on.discard(members[-1])
+                    if len(members) > 1:
+                        least = min(members)
+                        rows += [(m, least) for m in members]
+    yield frame(rows, columns=["node", "component"], dtype=object)
+
+
 def components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """``node``, ``component`` (its least member): strongly connected components with a cycle, self-edges included.
 
     First nodes are trimmed that nothing enters or leaves, from both ends, until only cycles and
     what lies between them is left. Then each node takes the least node that reaches it, and the
     component of a colour is what can reach the colour's node within the colour; the rest goes on.
+    What is left of ``ONE_TASK_EDGES`` edges or fewer is searched by one task instead.
     """
     rounds = Rounds(edges.sparkSession)
     every = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct()
     found = every.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
     e = rounds.cut(every.where("s <> t"))
     left = e.count()
-    while left:
+    kind = e.schema["s"].dataType.simpleString()
+    local = lambda: e.coalesce(1).mapInPandas(_cycles_of, f"node {kind}, component {kind}")
+    while left > ONE_TASK_EDGES:
         step = e
         for _ in range(HOPS):
             into, out = step.select(F.col("t").alias("s")).distinct(), step.select(F.col("s").alias("t")).distinct()
@@ -267,7 +318,7 @@ def components(edges: DataFrame, source: str, target: str) -> DataFrame:
         before, left = left, e.count()
         if left == before:
             break
-    while left:
+    while left > ONE_TASK_EDGES:
         colour = rounds.cut(e.select(F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("c", F.col("node")))
         while True:
             step = colour
@@ -288,6 +339,8 @@ def components(edges: DataFrame, source: str, target: str) -> DataFrame:
         gone = group.select("node")
         e = rounds.cut(e.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "t"), "t", "left_anti").select("s", "t"), e)
         left = e.count()
+    if left:
+        found = found.unionByName(local())
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 

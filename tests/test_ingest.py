@@ -70,7 +70,11 @@ def test_values_reach_arguments_through_parameters(spark):
     assert {("b.c", 1, "q", "EXTERNAL_ENTRY", None), ("b.c", 2, "q + 1", "UNRESOLVED", None), ("b.c", 3, "5", "CONST", 5), ("b.c", 1, "r", "UNRESOLVED", None)} <= got
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, 3, 10**6])
+def test_components(spark, monkeypatch, limit):
+    import spanloom.operators.graph as G
+
+    monkeypatch.setattr(G, "ONE_TASK_EDGES", limit)
     e = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "a"), ("e", "y"), ("z", "z"), ("p", "q")]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(e, "s string, t string"), "s", "t").collect()}
     assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("z", "z")}
