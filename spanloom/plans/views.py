@@ -8,6 +8,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from spanloom.functions import enums
 from spanloom.functions import questions as Q
@@ -47,7 +48,7 @@ g AS (SELECT * FROM n WHERE symbol <> '')
 """
 
 
-@F.pandas_udf("array<struct<what:string, value:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("what", StringType()), StructField("value", StringType())])))
 def _make_inputs(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [(what, v) for what, vs in M.build_inputs(t).items() for v in vs])
 
@@ -61,7 +62,7 @@ def _makefiles(spark, d):
     return f.join(c, "process_name", "left").select("process_name", F.concat(head, F.coalesce(F.array_join(F.transform("symbols", lambda s: F.concat(F.lit("CFLAGS += -D"), s, F.lit("=1"))), "\n"), F.lit(""))).alias("text"))
 
 
-@F.pandas_udf("map<string, int>")
+@F.pandas_udf(MapType(StringType(), IntegerType()))
 def _make_words(texts: pd.Series) -> pd.Series:
     def one(text: str) -> dict[str, int]:
         names = M.variables(text)
@@ -242,7 +243,7 @@ def pr4_source_roots(spark, d):
     return p.select("root", V.source_root(F.col("root")).alias("source_root"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _dedented(texts: pd.Series) -> pd.Series:
     return texts.map(textwrap.dedent)
 
@@ -260,7 +261,7 @@ def pr26_dedented(spark, d):
     return f.where(at_margin).select("id", _dedented(shifted).alias("code"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _filled(forms: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([enums.fill(f, {1: x, 2: y}) for f, x, y in zip(forms, a, b)])
 
@@ -290,7 +291,7 @@ def v9_enum_values(spark, d):
     return n.select("process_name", F.explode(_enum_map(text)).alias("name", "value"))
 
 
-@F.pandas_udf("map<string, bigint>")
+@F.pandas_udf(MapType(StringType(), LongType()))
 def _enum_map(texts: pd.Series) -> pd.Series:
     return texts.map(enums.enum_values)
 

@@ -32,3 +32,12 @@ def test_without_sql_gives_a_stable_schema(spark, name):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=entry.os.path.dirname(entry.__file__))
+    assert out.returncode == 0, out.stderr
