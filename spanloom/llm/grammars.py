@@ -13,6 +13,8 @@ import sys
 import warnings
 from collections.abc import Iterable
 
+from spanloom.llm.lexing import BRACKETS
+
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
 
 TYPE_WORDS = frozenset("void char short int long float double signed unsigned _Bool _Complex _Imaginary".split())
@@ -578,14 +580,15 @@ def c_statements(tokens: list[str]) -> list[list[str]]:
     out, start, depth, body, n = [], 0, 0, False, len(tokens)
     opened: list[int] = []
     before: int | None = None  # where the parenthesis closed last at depth 0 began
-    for k, t in enumerate(tokens):
-        if t in "([{" and len(t) == 1:
+    for k in [k for k, t in enumerate(tokens) if t in BRACKETS]:
+        t = tokens[k]
+        if t in "([{":
             if not depth and t == "{":
                 last = tokens[k - 1] if k > start else ""
                 body = last == ";" or last == ")" and before is not None and (before == 0 or tokens[before - 1] != "__attribute__")
             opened.append(k)
             depth += 1
-        elif t in ")]}" and len(t) == 1:
+        else:
             depth -= 1
             if not opened:
                 return [tokens]

@@ -140,15 +140,16 @@ def start_states(maps: list[tuple[int, ...]]) -> list[int]:
 
 
 OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+BRACKETS = OPENERS.keys() | CLOSERS.keys()
 
 
 def bracket_summary(tokens: list[str]) -> tuple[str, str] | None:
     """(closers, openers) that stay unmatched within ``tokens``; None if two brackets inside it clash."""
     closed, opened = [], []
-    for t in tokens:
+    for t in [t for t in tokens if t in BRACKETS]:
         if t in OPENERS:
             opened.append(t)
-        elif t in CLOSERS:
+        else:
             if not opened:
                 closed.append(t)
             elif opened.pop() != CLOSERS[t]:

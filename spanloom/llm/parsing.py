@@ -46,6 +46,8 @@ Stretch = tuple[tuple[str, str] | None, list[str]]
 
 def stretches(codes: list[str]) -> list[str | Stretch]:
     """C codes as conditional directives and the stretches between them, summed up."""
+    if "#" not in " ".join(codes):  # no directive, as in most chunks
+        return [(lexing.bracket_summary(codes), codes)] if codes else []
     out: list[str | Stretch] = []
     run: list[str] = []
     for t in codes:
