@@ -28,8 +28,9 @@ def asked_postings(docs: DataFrame, key: str, tokens: str, queries: DataFrame) -
     """
     asked = [r[0] for r in queries.select("token").distinct().limit(MOST_ASKED + 1).collect()]
     kept = F.filter(tokens, lambda x: x.isin(asked)) if len(asked) <= MOST_ASKED else F.col(tokens)
-    rows = docs.select(key, F.size(tokens).alias("doc_len"), kept.alias("kept")).where("doc_len > 0")
-    rows = Rounds(docs.sparkSession).cut(rows, n=F.count(F.lit(1)), total=F.sum("doc_len"))
+    # no filter here: pushed below the tokenising, it would tokenise once more
+    rows = docs.select(key, F.size(tokens).alias("doc_len"), kept.alias("kept"))
+    rows = Rounds(docs.sparkSession).cut(rows, n=F.expr("count_if(doc_len > 0)"), total=F.sum("doc_len"))
     hits = rows.select(key, "doc_len", F.explode("kept").alias("token")).join(F.broadcast(queries.select("token").distinct()) if len(asked) <= MOST_ASKED else queries.select("token").distinct(), "token")
     n, total = rows.measured["n"], rows.measured["total"] or 0
     return hits.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len")), n, total / n if n else 0.0
