@@ -508,10 +508,11 @@ def x51_caller_answers(spark, d):
 def x53_retrieval_stats(spark, d):
     from spanloom.plans.warehouse import _tokens
 
-    t = _tokens(spark, d).select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token"))
-    per = t.groupBy("token").agg(F.count(F.lit(1)).alias("cf"))
-    docs = t.groupBy("doc_id").agg(F.max("n").alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.max("n").alias("longest"))
-    return per.agg(F.count(F.lit(1)).alias("tokens"), F.sum("cf").alias("occurrences")).join(F.broadcast(docs), F.lit(True)).select("documents", "tokens", "occurrences", "longest")
+    t = _tokens(spark, d)
+    docs = t.select(F.size("tokens").cast("bigint").alias("n")).agg(F.count_if(F.col("n") > 0), F.max("n")).first()
+    per = t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cf"))
+    sums = per.agg(F.count(F.lit(1)).alias("tokens"), F.sum("cf").alias("occurrences"))
+    return sums.select(F.lit(docs[0]).cast("bigint").alias("documents"), "tokens", "occurrences", F.lit(docs[1]).cast("bigint").alias("longest"))
 
 
 FORMS = (
