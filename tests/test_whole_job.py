@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from spanloom.operators import graph as G
 
 
 def run(spark, root, name):
@@ -116,3 +117,40 @@ def test_products_are_whole_or_unknown(spark, tmp_path):
     spark.createDataFrame(rows, "process_name string, defines array<string>, undefines array<string>").write.parquet(f"{tmp_path}/preprocessor_configs.parquet")
     want = [(k, f"{x}|{y}") for k, xs, ys in rows[:3] for x in xs for y in ys]
     assert run(spark, tmp_path, "j15_bounded_product") == sorted([*want, ("over", None)], key=str)
+
+
+def jobs_of(spark, group, f):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_path_counts_need_no_round_for_each_level(spark, tmp_path):
+    # 60 diamonds in a row: 120 levels, 2 ** 60 paths
+    edges = [(f"n{i}", to, "direct") for i in range(60) for to in (f"a{i}", f"b{i}")] + [(f"{s}{i}", f"n{i + 1}", "direct") for i in range(60) for s in "ab"]
+    calls(spark, tmp_path, edges)
+    got, jobs = jobs_of(spark, "g18", lambda: dict(run(spark, tmp_path, "g18_path_counts")))
+    assert got == {f"n{i}": 2**i for i in range(61)} | {f"{s}{i}": 2**i for i in range(60) for s in "ab"}
+    assert jobs < 12
+
+
+def test_path_counts_by_parts_and_level_are_those_of_one_task(spark, monkeypatch):
+    # parts of 13, 6, 2 and 1 edges, one of them without a root, a lone start; 8 edges are too many for a task
+    cycle = [("b", "c"), ("c", "d"), ("d", "b"), ("b", "d"), ("c", "c"), ("d", "e"), ("z", "b")]
+    edges = [*[(f"m{i}", f"m{i + 1}") for i in range(11)], ("m0", "m5"), ("m7", "m6"), *cycle, ("x", "y"), ("y", "x"), ("p", "q"), ("q", None), (None, "q")]
+    df = spark.createDataFrame(edges, "s string, t string")
+    starts = spark.createDataFrame([("m0",), ("z",), ("p",), ("lone",), ("p",), (None,)], "node string")
+    want = [*((f"m{i}", 1 if i < 5 else 2) for i in range(12)), ("z", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("p", 1), ("q", 1), ("lone", 1)]
+    for most in (G.ONE_TASK_EDGES, 8):
+        monkeypatch.setattr(G, "ONE_TASK_EDGES", most)
+        assert sorted(map(tuple, G.path_counts(df, "s", "t", starts).collect())) == sorted(want)
+
+
+def test_weak_parts_of_long_ways(spark):
+    # ways whose order is that of their ids, against it and mixed, in tasks of few edges; a ring, a self-edge
+    ids = [f"k{i * 37 % 101:03}" for i in range(101)]
+    edges = [*[(f"u{i:03}", f"u{i + 1:03}") for i in range(100)], *[(f"v{i + 1:03}", f"v{i:03}") for i in range(100)], *zip(ids, ids[1:]), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("self", "self"), (None, "u000")]
+    got = sorted(map(tuple, G.weak_parts(spark.createDataFrame(edges, "s string, t string").repartition(40), "s", "t").collect()))
+    assert got == sorted([*((f"{x}{i:03}", f"{x}000") for x in "uvk" for i in range(101)), ("r1", "r1"), ("r2", "r1"), ("r3", "r1")])
