@@ -154,3 +154,21 @@ def test_weak_parts_of_long_ways(spark):
     edges = [*[(f"u{i:03}", f"u{i + 1:03}") for i in range(100)], *[(f"v{i + 1:03}", f"v{i:03}") for i in range(100)], *zip(ids, ids[1:]), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("self", "self"), (None, "u000")]
     got = sorted(map(tuple, G.weak_parts(spark.createDataFrame(edges, "s string, t string").repartition(40), "s", "t").collect()))
     assert got == sorted([*((f"{x}{i:03}", f"{x}000") for x in "uvk" for i in range(101)), ("r1", "r1"), ("r2", "r1"), ("r3", "r1")])
+
+
+def test_backward_states_need_no_round_for_each_level(spark, tmp_path):
+    calls(spark, tmp_path, [*chain("d", 100), *((f"d{i}", "api", "external_call") for i in (0, 40, 100)), ("away", "api", "external_call")])
+    got, jobs = jobs_of(spark, "v19", lambda: run(spark, tmp_path, "v19_backward_states"))
+    assert got == sorted([("away", 1, 0, "COMPLETE"), *((f"d{i}", i + 1, i, "COMPLETE") for i in (0, 40, 100))], key=str)
+    assert jobs < 12
+
+
+def test_backward_states_by_parts_and_level_are_those_of_one_task(spark, monkeypatch):
+    # parts of 9, 4 and 2 edges; 8 edges are too many for a task
+    edges = [*[(f"m{i + 1}", f"m{i}") for i in range(7)], ("m0", "m4"), ("n", "m1"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "c"), ("x", "c"), ("p", "q"), ("r", "q"), (None, "q")]
+    df = spark.createDataFrame(edges, "s string, t string")
+    seeds = spark.createDataFrame([("m0",), ("m7",), ("b",), ("q",), ("q",), ("lone",), (None,)], "node string")
+    want = [("b", 4, 3, "COMPLETE"), ("lone", 1, 0, "COMPLETE"), ("m0", 6, 4, "INCOMPLETE"), ("m7", 1, 0, "COMPLETE"), ("q", 3, 1, "COMPLETE")]
+    for most in (G.ONE_TASK_EDGES, 8):
+        monkeypatch.setattr(G, "ONE_TASK_EDGES", most)
+        assert sorted(map(tuple, G.backward_states(df, "s", "t", seeds, most_depth=4).collect())) == want
